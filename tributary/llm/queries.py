@@ -2,21 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import minhash
+from tributary.llm import decontaminate, language, lm, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents over 4-word shingles."""
     out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of ten benchmark words, and the items they come from."""
+    found = decontaminate.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labelled ones of two folds of three."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(3) == 1)
+    labels = _table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    train = docs.filter("not held_out").select("doc_id", "text").join(labels, "doc_id")
+    return quality.score(docs, quality.fit(train), keep={"held_out": F.col("held_out")})
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those of two folds of three."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(3) == 1)
+    return language.predict(docs, language.fit(docs.filter("not held_out")), keep={"held_out": F.col("held_out")})
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and mixed-context log probabilities of all documents, learned from nine folds of ten."""
+    return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
+
+_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+bw as (select distinct item, least(len(w), 10) as n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as win
+       from b, lateral (select unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i) where len(w) > 0),
+lens as (select distinct n from bw),
+dw as (select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as win
+       from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lens where len(w) >= n)),
+hit as (select dw.doc_id, dw.i, dw.n, bw.item from dw join bw on dw.n = bw.n and dw.win = bw.win),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hit) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+""",
+}
