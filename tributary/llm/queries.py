@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import decontaminate, language, lm, minhash, quality
+from tributary.llm import chat, decontaminate, html, language, lm, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from ids and mask; one more holds control strings."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(rows.unionByName(more)))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labelled ones of two folds of three."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(3) == 1)
@@ -49,7 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op5_chat_formatting, op6_html_extraction, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
 
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
 
