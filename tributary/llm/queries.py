@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, decontaminate, html, language, lm, minhash, quality
+from tributary.llm import chat, decontaminate, html, language, lm, minhash, quality, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents, the base rules and the verdict of the cascade."""
+    docs = _table(spark, sf_dir, "documents")
+    order = rules.ordered(docs)
+    values = {n: F.col(n) for n in rules.measures(F.col("text"))}
+    base = rules.verdict(values, [r for r in order if r in rules.BASE]).isNotNull()
+    found = rules.measured(docs).withColumn("base_failed", base).withColumn("kept", rules.verdict(values, order).isNull())
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and read back from ids and mask; one more holds control strings."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,11 +72,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op5_chat_formatting, op6_html_extraction, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op5_chat_formatting, op6_html_extraction, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
 
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) as times
+        from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+rep as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as p from win where times > 1) group by doc_id),
+m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+        coalesce(n_repeat_words, 0) as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters
+      from d left join rep using (doc_id)),
+n as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols * 2 > n_words or n_dup_lines * 10 > n_lines * 3 or word_chars < n_words * 2 or word_chars > n_words * 20 or n_upper * 2 > n_letters) as kept
+from n
+""",
     "op2_decontamination": rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
