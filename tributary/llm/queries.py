@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, decontaminate, html, language, lm, minhash, quality, rules
+from tributary.llm import chat, decontaminate, html, language, lm, minhash, pii, quality, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,21 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and a digest of the base spans, and all spans."""
+    found = pii.find_personal(_table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def many(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    return found.select("doc_id", *map(many, range(4)), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labelled ones of two folds of three."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(3) == 1)
@@ -72,7 +87,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op5_chat_formatting, op6_html_extraction, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op5_chat_formatting, op6_html_extraction, op7_pii, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
 
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
 
