@@ -133,26 +133,30 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     return risky, None if risky.isEmpty() else terms
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's id, ``spans`` (kind, start, end, value; base spans and terms) and the columns ``keep``.
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row as (row, spans, removed): the row itself as a struct, so that no names clash."""
+    risky, some = revealing_terms(docs, text_col)
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    rows, spans, removed = docs.select(row), base_spans(text), F.array().cast("array<string>")
+    if some is not None:
+        seen = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
+        held = seen.join(risky, "term").groupBy("id").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+        rows = rows.join(held, F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")), "left")
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        spans = F.concat(spans, F.when(F.col("terms").isNotNull(), _matches(text, pattern, 4)).otherwise(F.array().cast(_SPANS)))
+        removed = F.coalesce("gone", removed)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
+    return rows.select("row", ordered.alias("spans"), removed.alias("removed"))
+
+
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's id, ``spans`` (start, kind, end, value; base spans and terms) and ``removed_terms``.
 
     Offsets are code points, ends are exclusive, spans are ordered by start and then by kind. A null
     or empty text has none. Terms are matched as whole words, case and all, wherever they stand.
+    Rows with a null id are searched like any other.
     """
-    risky, some = revealing_terms(docs, text_col)
-    rows = docs.select(F.col(id_col), F.col(text_col), *(k for k in keep if k not in (id_col, text_col)))
-    spans = base_spans(F.col(text_col))
-    if some is not None:
-        seen = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
-        held = seen.join(risky, "term").groupBy("_id").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_removed"))
-        rows = rows.join(held, rows[id_col].eqNullSafe(held["_id"]), "left")
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        spans = F.concat(spans, F.when(F.col("_terms").isNotNull(), _matches(F.coalesce(F.col(text_col), F.lit("")), pattern, 4)).otherwise(F.array().cast(_SPANS)))
-        removed = F.coalesce("_removed", F.array().cast("array<string>"))
-    else:
-        removed = F.array().cast("array<string>")
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
-    return rows.select(id_col, *keep, ordered.alias("spans"), removed.alias("removed_terms"))
+    return _marked(docs.select(id_col, text_col), id_col, text_col).select(F.col(f"row.`{id_col}`").alias(id_col), "spans", F.col("removed").alias("removed_terms"))
 
 
 def _label(span: Column, removed: Column) -> Column:
@@ -185,6 +189,13 @@ def masked(text: Column, spans: Column, removed: Column) -> Column:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows with all columns as they were, but for the text, masked, and its length."""
-    found = find_personal(docs, id_col, text_col, tuple(c for c in docs.columns if c != id_col))
-    text = found.withColumn(text_col, masked(F.col(text_col), F.col("spans"), F.col("removed_terms"))).select(docs.columns)
-    return text.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else text
+    found = _marked(docs, id_col, text_col).withColumn("masked", masked(F.col(f"row.`{text_col}`"), F.col("spans"), F.col("removed")))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("masked").alias(name)
+        if name == length_col:
+            return F.length("masked").cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"row.`{name}`").alias(name)
+
+    return found.select(*map(column, docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, decontaminate, html, language, lm, minhash, pii, quality, rules
+from tributary.llm import chat, decontaminate, html, language, lm, minhash, mixing, pii, quality, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Domains of the labelled table and their target shares of the tokens.
+TARGETS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, domain) of the labelled documents: toxic ones, and the others by quality."""
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return docs.select("doc_id", "text").join(known.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents under which the labelled domains get their target shares."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.learn(labelled_domains(docs, _table(spark, sf_dir, "labels"))), TARGETS)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and read back from ids and mask; one more holds control strings."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -87,7 +104,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op5_chat_formatting, op6_html_extraction, op7_pii, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_pii, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
 
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
 
