@@ -10,6 +10,7 @@ from tributary.functions import text as T
 from tributary.operators import blocks as B
 from tributary.operators import quality as Q
 from tributary.operators import transport as R
+from tributary.sources import containers as K
 from tributary.sources import tables as S
 
 QUERIES: dict = {}
@@ -379,3 +380,49 @@ def motion_vector_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 201 - 100).alias("x"))
     x = F.col("x")
     return rows.select("event_id", "x", C.lower_mv_precision(x).alias("lowered"), C.lower_mv_precision(x, True).alias("whole"), F.shiftright(x, 3).alias("origin"), x.bitwiseAND(F.lit(7)).alias("part"))
+
+
+@query("""select source, cast(row_number() over (partition by source order by doc_id) - 1 as int) as idx, doc_id * 3000 as pts, octet_length(encode(text)) as size, md5(text) as digest from documents""")
+def ivf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as the frames of a file per source, and read back."""
+    docs = S.table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").alias("idx"), (F.col("doc_id") * 3000).alias("pts"), F.encode("text", "utf-8").alias("payload"))
+    frames = K.ivf_frames(K.ivf_file(docs, ["source"], 64, 64, 90000, 1))
+    return frames.select("source", "idx", "pts", F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("digest"))
+
+
+UNIT_ROWS = f"""with {S.UNITS}, k as (select user_id, event_id, case when type = 2 then 3 else type end as type, t, s, event_type from ob)
+select user_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as idx, cast(type as int) as type, cast(t as int) as temporal_id, cast(s as int) as spatial_id, event_type as payload from k"""
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.units(spark, sf_dir).select("user_id", "event_id", F.when(F.col("type") == 2, 3).otherwise(F.col("type")).alias("type"), "t", "s", F.encode("event_type", "utf-8").alias("payload"))
+
+
+@query(UNIT_ROWS)
+def low_overhead_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units written as one stream per user, and read back."""
+    rows = K.low_overhead_units(K.low_overhead_stream(_coded(spark, sf_dir), ["user_id"], "event_id"))
+    return rows.select("user_id", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(UNIT_ROWS)
+def annexb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units written length by length, and read back."""
+    rows = K.annexb_units(K.annexb_stream(_coded(spark, sf_dir), ["user_id"], "event_id"))
+    return rows.select("user_id", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(_pk(" select event_id, event_id % 5 = 0 as marker, cast(96 + event_id % 4 as int) as payload_type, cast(seq as int) as seq, (event_id * 3000) % 4294967296 as timestamp, ssrc, event_type as payload from pk"))
+def rtp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written and read back."""
+    i = F.col("event_id")
+    coded = S.packets(spark, sf_dir).select("event_id", K.rtp_bytes(i % 5 == 0, 96 + i % 4, F.col("seq"), (i * 3000) % 4294967296, F.col("ssrc"), F.encode("event_type", "utf-8")).alias("content"))
+    return K.rtp_packets(coded).select("event_id", "marker", "payload_type", "seq", "timestamp", "ssrc", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(NACKS + "select ssrc as media_ssrc, cast(pid % 65536 as int) as pid, cast(mask as int) as mask from np")
+def rtcp_nack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss pairs of each stream in one feedback packet, and read back."""
+    pairs = R.packed_nacks(S.lost(spark, sf_dir)).groupBy("ssrc").agg(F.array_sort(F.collect_list(F.struct((F.col("pid") % 65536).alias("pid"), "mask"))).alias("pairs"))
+    coded = pairs.select(K.nack_bytes(F.col("pairs"), F.lit(1), F.col("ssrc")).alias("content"))
+    return K.rtcp_packets(coded).select("media_ssrc", F.explode("nacks").alias("n")).select("media_ssrc", "n.pid", "n.mask")
