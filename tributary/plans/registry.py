@@ -9,9 +9,11 @@ from tributary.functions import columns as C
 from tributary.functions import text as T
 from tributary.operators import blocks as B
 from tributary.operators import quality as Q
+from tributary.operators import relational as RL
 from tributary.operators import transport as R
 from tributary.sources import containers as K
 from tributary.sources import tables as S
+from tributary.streaming import state as ST
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -426,3 +428,53 @@ def rtcp_nack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = R.packed_nacks(S.lost(spark, sf_dir)).groupBy("ssrc").agg(F.array_sort(F.collect_list(F.struct((F.col("pid") % 65536).alias("pid"), "mask"))).alias("pairs"))
     coded = pairs.select(K.nack_bytes(F.col("pairs"), F.lit(1), F.col("ssrc")).alias("content"))
     return K.rtcp_packets(coded).select("media_ssrc", F.explode("nacks").alias("n")).select("media_ssrc", "n.pid", "n.mask")
+
+
+def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals put in order through a window of eight slots, as the stateful stream does it."""
+    return ST.reordered_batch(S.arrivals(spark, sf_dir), 8)
+
+
+QUERIES["stream_reorder"] = stream_reorder
+
+
+@query(f"with {S.UNITS} select user_id, event_type, min(event_id) as first_seen from ob group by 1, 2")
+def first_seen_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.first_seen(S.units(spark, sf_dir), ["user_id", "event_type"], "event_id")
+
+
+@query(_pk(" select ssrc, ext_seq, count(*) as times from arr group by 1, 2 having count(*) > 1"))
+def duplicate_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.repeated(S.arrivals(spark, sf_dir), ["ssrc", "ext_seq"])
+
+
+@query(_pk(""", w as (select *, sum(size) over (partition by ssrc order by ext_seq) - size as before, sum(size) over (partition by ssrc) as total from pk)
+select ssrc, ext_seq, size, least(cast(floor(before * 4 / greatest(total, 1)) as bigint), 3) as batch from w"""))
+def job_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.balanced(S.packets(spark, sf_dir).select("ssrc", "ext_seq", "size"), ["ssrc"], "ext_seq", "size", 4)
+
+
+@query(_pk(" select event_id, size, cast(floor(size * 5 / 10) as bigint) as layer0, cast(floor(size * 3 / 10) as bigint) as layer1, cast(size - floor(size * 5 / 10) - floor(size * 3 / 10) as bigint) as layer2 from pk"))
+def layer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.temporal_layer_budget(S.packets(spark, sf_dir).select("event_id", "size"), "size", [5, 3, 2])
+
+
+@query(_rp(" select clip, encoder, metric, round(rate, 4) as rate, row_number() over w as place, coalesce(metric = lag(metric) over w, false) as repeats from rp window w as (partition by clip, encoder order by metric, rate)"))
+def rd_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.curve_points(S.rate_points(spark, sf_dir), ["clip", "encoder"]).withColumn("rate", F.round("rate", 4))
+
+
+@query(f"""with {S.UNITS}, e as (select user_id as stream, event_id as picture, t = 0 or event_id % 3 = 0 as eligible from ob),
+k as (select *, sum(cast(eligible as int)) over (partition by stream order by picture) - 1 as turn from e)
+select stream, picture, eligible, case when eligible then cast((turn % 10) * 13 as bigint) end as start, case when eligible then cast(least((turn % 10) * 13 + 13, 130) as bigint) end as "end" from k""")
+def cyclic_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = S.units(spark, sf_dir).select(F.col("user_id").alias("stream"), F.col("event_id").alias("picture"), ((F.col("t") == 0) | (F.col("event_id") % 3 == 0)).alias("eligible"))
+    return RL.super_block_refresh(pictures, 130, 10)
+
+
+@query("""select coalesce(c_mktsegment, 'all') as segment, coalesce(cast(c_nationkey as varchar), 'all') as nation, count(*) as n, round(avg(c_acctbal), 4) as mean, grouping(c_mktsegment) + 2 * grouping(c_nationkey) as level
+from customer group by cube (c_mktsegment, c_nationkey)""")
+def summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark's own cube over two dimensions; the reference has overall and per-category rows only."""
+    out = S.table(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), (F.grouping("c_mktsegment") + 2 * F.grouping("c_nationkey")).cast("long").alias("level"))
+    return out.select(F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), F.coalesce(F.col("c_nationkey").cast("string"), F.lit("all")).alias("nation"), "n", "mean", "level")
