@@ -5,12 +5,13 @@ hashes cut to ``BITS`` bits. The signature is split into ``CHUNKS`` chunks. By t
 principle, two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` slots differ in at
 most ``ERRORS`` slots of some chunk; so for each chunk every choice of ``ERRORS`` slots is left out
 in turn and the others are hashed into an index key. All pairs under that distance share a key.
+Texts that share a key with another get a second, long signature of one-bit minimum hashes, and only
+pairs that also differ in at most ``LONG_DISTANCE`` of its bits are confirmed on the full sets.
 
-Pairs within a key are not all emitted. A key's members are first compared with one anchor, links
-are confirmed on the full sets, and components are contracted; further rounds take other anchors for
-the keys whose members still lie in several components; what then remains is compared exhaustively
-across components. A link between two texts is thus never left out unless both are in one component
-already.
+Pairs within a key are not all emitted. Each text is first compared with the few anchors of its keys
+that it shares most keys with, links are confirmed on the full sets, and components are contracted;
+then, in the keys whose members still lie in several components, all pairs across components are
+compared. A link between two texts is thus never left out unless both are in one component already.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tributary.llm.components import connected_components
 from tributary.llm.hashing import mixed, shingle_sets, text_runs, word_hashes
@@ -34,12 +36,17 @@ PER_LONG, LANE = 3, BITS + 1
 LONGS = [f"s{i}" for i in range(SLOTS // PER_LONG)]
 #: Signatures that differ in at most so many slots share an index key.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rounds that compare a key's members with one anchor each, before the exhaustive rest.
-ANCHOR_ROUNDS = 3
+#: Bits of the long signature, and how many may differ: at a similarity of 0.8 a tenth of them are
+#: expected to, and 4.75 standard deviations are allowed above that.
+LONG_BITS = 2048
+LONGER = [f"t{i}" for i in range(LONG_BITS // 64)]
+LONG_DISTANCE = int(LONG_BITS * 0.1 + 4.75 * (LONG_BITS * 0.1 * 0.9) ** 0.5)
+#: Anchors of a key, and the number of anchors that a text is compared with before the exhaustive rest.
+ANCHORS = 3
 _LOW = sum(((1 << BITS) - 1) << (LANE * j) for j in range(PER_LONG))
 _GUARD = sum(1 << (BITS + LANE * j) for j in range(PER_LONG))
 
-_SEEDS = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_SEEDS = mixed(np.arange(1, SLOTS + LONG_BITS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _ODD = mixed(_SEEDS) | np.uint64(1)
 
 
@@ -71,14 +78,31 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _signed(it, words), schema)
 
 
+def _long_signature(shingles: np.ndarray) -> np.ndarray:
+    """One bit of the least hash of each of ``LONG_BITS`` permutations, packed into longs."""
+    bits = np.empty(LONG_BITS, bool)
+    step = max(1, min(64, (1 << 20) // len(shingles)))
+    for s in range(0, LONG_BITS, step):
+        rows = slice(SLOTS + s, SLOTS + min(s + step, LONG_BITS))
+        least = ((shingles[None, :] ^ _SEEDS[rows, None]) * _ODD[rows, None]).min(1)
+        bits[s : s + step] = (mixed(least) >> np.uint64(63)).astype(bool)
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """The id, the full set of shingles and the long signature of every text that has a shingle."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_runs(batch.column(1)):
                 shingles, at = shingle_sets(*word_hashes(data, offsets), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(shingles.view(np.int64)))], names=["id", "shingles"])
+                some = np.flatnonzero(np.diff(at))
+                longs = np.array([_long_signature(shingles[at[k] : at[k + 1]]) for k in some], np.int64).reshape(len(some), len(LONGER))
+                sets = pa.ListArray.from_arrays(pa.array(np.append(at[some], at[-1]).astype(np.int32)), pa.array(shingles.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(some)), sets, *(pa.array(longs[:, k]) for k in range(len(LONGER)))], names=["id", "shingles", *LONGER])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(build, "id long, shingles array<long>")
+    schema = ", ".join(["id long, shingles array<long>", *(f"{c} long" for c in LONGER)])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(build, schema)
 
 
 def _slot(k: int) -> Column:
@@ -103,6 +127,15 @@ def _distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(x) for x in _differing(a, b)))
 
 
+def _long_distance(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in LONGER))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two pairs of signatures are close enough for a link."""
+    return (_distance(a, b) <= DISTANCE) & (_long_distance(a, b) <= LONG_DISTANCE)
+
+
 def _first_key(a: str, b: str) -> Column:
     """The number of the first index key that two signatures share."""
     bits = reduce(
@@ -138,69 +171,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id can't be named: they come back with a null component. An empty table gives an empty one.
     """
     signed = written(signatures(docs, id_col, text_col, words), "signatures")
+    # Written first: a join of written tables is one whose hot keys the adaptive planner can split.
     copies = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    copies = written(copies, "copies")
     nodes = written(signed.join(copies, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), *LONGS), "nodes")
     dropped(signed)
     only = nodes.filter("n > 0 and id = rep").select("id", *LONGS)
 
     keys = F.array(*[F.xxhash64(F.lit(k), *[_slot(s) for s in held]) for k, held in enumerate(_index())])
     posted = only.select("id", F.posexplode(keys).alias("k", "key"))
-    shared = posted.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    members = written(posted.join(shared, "key"), "members")
+    orders = [F.col("id"), *[F.xxhash64(F.lit(turn), "id") for turn in range(1, ANCHORS)]]
+    anchors = posted.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(F.struct(o.alias("o"), F.col("id").alias("t"))).alias(f"a{i}") for i, o in enumerate(orders)])
+    anchors = written(anchors.filter("low < high").select("key", F.array_distinct(F.array(*[f"a{i}.t" for i in range(ANCHORS)])).alias("anchors")), "anchors")
+    members = written(posted.join(anchors.select("key"), "key", "left_semi"), "members")
     involved = members.select("id").distinct()
-    sketch = written(only.join(involved, "id", "left_semi"), "sketches")
-    sets = written(_sets(docs.join(involved.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, words).join(only.select("id"), "id", "left_semi"), "sets")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        a, b = sketch.select(F.col("id").alias("a"), F.struct(*LONGS).alias("p")), sketch.select(F.col("id").alias("b"), F.struct(*LONGS).alias("q"))
-        return pairs.join(b, "b").join(a, "a").withColumn("d", _distance("p", "q")).filter(F.col("d") <= DISTANCE).select("a", "b", "d")
-
-    links: list[DataFrame] = []
-    classes: DataFrame | None = None
-
-    def joined(pairs: DataFrame) -> None:
-        nonlocal classes
-        found = written(_linked(pairs, sets, percent), "links")
-        if classes is not None and found.isEmpty():
-            return
-        links.append(found)
-        was, classes = classes, written(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "classes")
-        dropped(was)
-
-    def placed(df: DataFrame, *names: str) -> DataFrame:
-        for name in names:
-            known = classes.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}")) if classes is not None else None
-            df = (df.join(known, name, "left") if known is not None else df.withColumn(f"c_{name}", F.lit(None).cast("long"))).withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
-        return df
-
-    for turn in range(ANCHOR_ROUNDS):
-        at = placed(members, "id")
-        order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        anchors = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("t"), F.col("c_id").alias("c"))).alias("anchor"), F.min("c_id").alias("low"), F.max("c_id").alias("high"))
-        anchors = anchors.filter("low < high").select("key", F.col("anchor.t").alias("t"), F.col("anchor.c").alias("c"))
-        pairs = at.join(anchors, "key").filter("c_id <> c").select(F.least("id", "t").alias("a"), F.greatest("id", "t").alias("b")).distinct()
-        pairs = written(close(pairs), "pairs")
-        if turn and pairs.isEmpty():
-            break
-        if turn == 0:
-            joined(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")))
-            joined(placed(pairs, "a", "b").filter("c_a <> c_b"))
-        else:
-            joined(pairs)
-        dropped(pairs)
+    whole = written(_sets(docs.join(involved.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, words), "sets")
+    sets, both = whole.select("id", "shingles"), [*LONGS, *LONGER]
+    sketch = written(only.join(whole.select("id", *LONGER), "id"), "sketches")
+
+    # Each text against the anchors that it shares the most keys with.
+    met = members.join(anchors, "key").select("id", F.explode("anchors").alias("t")).filter("id <> t").groupBy("id", "t").agg(F.count(F.lit(1)).alias("keys"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("keys"), "t"))
+    pairs = met.withColumn("rank", rank).filter(F.col("rank") <= ANCHORS).select(F.least("id", "t").alias("a"), F.greatest("id", "t").alias("b")).distinct()
+    p, q = sketch.select(F.col("id").alias("a"), F.struct(*both).alias("p")), sketch.select(F.col("id").alias("b"), F.struct(*both).alias("q"))
+    pairs = pairs.join(q, "b").join(p, "a").filter(_near("p", "q")).select("a", "b")
+    links = written(_linked(written(pairs, "pairs"), sets, percent), "links")
+    classes = written(connected_components(links, "a", "b"), "classes")
 
     # What is left: keys whose members lie in several components. All pairs across components,
     # each at the first key that it shares, so that no pair is made twice.
-    at = written(placed(members, "id"), "placed")
-    sizes = at.groupBy("key", "c_id").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("c_id", F.struct("size", "c_id")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key", "main")
-    open_keys = at.join(largest, "key").join(sketch, "id").select("key", "k", "id", "c_id", "main", F.struct(*LONGS).alias("sig"))
-    x = open_keys.filter("c_id <> main").select("key", "k", F.col("id").alias("x"), F.col("c_id").alias("cx"), F.col("sig").alias("p"))
-    y = open_keys.select("key", F.col("id").alias("y"), F.col("c_id").alias("cy"), "main", F.col("sig").alias("q"))
-    across = x.join(y, "key").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (_distance("p", "q") <= DISTANCE) & (_first_key("p", "q") == F.col("k")))
+    at = written(members.join(classes, "id", "left").select("id", "k", "key", F.coalesce("component", "id").alias("c")), "placed")
+    sizes = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key", "main")
+    largest = written(largest, "largest")
+    open_keys = at.join(largest, "key").join(sketch, "id").select("key", "k", "id", "c", "main", F.struct(*both).alias("sig"))
+    x = open_keys.filter("c <> main").select("key", "k", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("p"))
+    y = open_keys.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), "main", F.col("sig").alias("q"))
+    across = x.join(y, "key").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _near("p", "q") & (_first_key("p", "q") == F.col("k")))
     across = written(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
-    if not across.isEmpty():
-        joined(across)
-
     found = classes.select(F.col("id").alias("rep"), "component")
+    if not across.isEmpty():
+        more = written(_linked(across, sets, percent), "links")
+        if not more.isEmpty():
+            # components of components: the links that are new, between the classes so far
+            for side in ("a", "b"):
+                more = more.join(classes.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(f"c_{side}", F.coalesce("c", side)).drop("c")
+            merged = written(connected_components(more, "c_a", "c_b"), "classes").select(F.col("id").alias("component"), F.col("component").alias("top"))
+            lone = merged.select(F.col("component").alias("rep"), F.col("component")).join(found, "rep", "left_anti")
+            found = found.unionByName(lone).join(merged, "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
     return nodes.select("id", "n", "rep").join(found, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
