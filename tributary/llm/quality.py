@@ -5,8 +5,8 @@ a linear hinge-loss model is fitted on the scaled, length-normalised rows by dua
 and moved part of the way to its mean weight, as in naive Bayes interpolation. N-grams are byte
 trigrams of the text and word-shape n-grams (case, symbols, repetition of words and of lines).
 
-The class counts cover all labelled training rows. Only the linear model is fitted on a sample,
-of about ``SAMPLE`` labelled rows.
+The class counts cover all labelled rows that :func:`fit` is given (a bounded sample of the labels, in
+the query); the linear model is fitted on about ``SAMPLE`` of them.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import chat, decontaminate, html, language, lm, minhash, mixing, pii, quality, rules
+from tributary.llm.labels import labelled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,9 @@ TARGETS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of the labelled documents: toxic ones, and the others by quality."""
-    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    """(text, domain) of a bounded sample of labelled documents: toxic ones, and the others by quality."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return docs.select("doc_id", "text").join(known.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+    return labelled(docs, labels, ["toxic", "quality"]).select("text", domain.alias("domain"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labelled ones of two folds of three."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(3) == 1)
-    labels = _table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    train = docs.filter("not held_out").select("doc_id", "text").join(labels, "doc_id")
+    train = labelled(docs.filter("not held_out"), _table(spark, sf_dir, "labels").filter(_fold(3) != 1), ["quality"])
     return quality.score(docs, quality.fit(train), keep={"held_out": F.col("held_out")})
 
 
