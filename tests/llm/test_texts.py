@@ -91,6 +91,19 @@ def test_terms_that_reveal_and_masks(spark):
     assert pii.sanitised(df.limit(0)).count() == 0
 
 
+def test_terms_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"{w} wrote Zorblax Quen to ann@x.org about {w}, é 4111 1111 1111 1111") for i, w in enumerate("alpha beta gamma delta".split())]
+    rows += [(10 + i, f"the note {i} to bob{i}@y.org about nothing +1 (555) 010-9999") for i in range(900)] + [(5000, "Zorblax alone, zorblax not 1.2.3.400 1.2.3.4"), (5001, None), (5002, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op7_pii(spark, str(tmp_path))
+    assert "term" in got.filter("doc_id = 5000").first().spans
+    same(got, c.sql(queries.ORACLE_SQL["op7_pii"]))
+
+
 def test_copies_of_one_text_reveal_nothing(spark):
     df = spark.createDataFrame([(i, "Zorblax wrote to ann@x.org") for i in range(50)], "doc_id long, text string")
     assert {tuple((s.start, s.end) for s in r.spans) for r in pii.find_personal(df).collect()} == {((17, 26),)}

@@ -105,9 +105,44 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_pii, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
 
+
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
 
+
+def _spans_sql(kind: int, pattern: str, test: str) -> str:
+    """Matches of a pattern that pass a test, with their places: the text between them says where they are."""
+    return rf"""select doc_id, {kind} as kind, a as start, a + length(v) as "end", v as value from (
+ select doc_id, v, cast(sum(length(b)) over w + coalesce(sum(length(v)) over (partition by row order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as a
+ from (select doc_id, row, unnest(m) as v, unnest(p[1:len(m)]) as b, unnest(range(len(m))) as k from (select doc_id, row, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p from d))
+ window w as (partition by row order by k rows between unbounded preceding and current row)) where {test}"""
+
+
+_RUN = r"[\p{L}\p{N}]+"
+_LUHN = "list_sum(list_transform(range(length(g)), lambda i: case when i % 2 = 0 then cast(g[length(g) - i] as int) when cast(g[length(g) - i] as int) > 4 then 2 * cast(g[length(g) - i] as int) - 9 else 2 * cast(g[length(g) - i] as int) end)) % 10 = 0"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 80 * (nx.n + ny.n - i)),
+sym as (select x, y from e union all select y, x from e),
+r as (select doc_id, doc_id as c from d union select r.doc_id, sym.y from r join sym on sym.x = r.c),
+c as (select doc_id, min(c) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d join c using (doc_id) left join n using (doc_id)
+""",
+    "op5_chat_formatting": r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (select *, length(text) + len(regexp_extract_all(text, '<<\\*/?SYS>>|<\\*/?(?:s|ROLE)>|\[\\*/?INST\]')) + case role when 'user' then 13 when 'assistant' then 4 when 'system' then 15
+   else 17 + 4 + length(role) + len(regexp_extract_all(role, '<<\\*/?SYS>>|<\\*/?(?:s|ROLE)>|\[\\*/?INST\]')) end as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ length(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ cast(3 + sum(chars) as bigint) as formatted_chars
+from m group by conv_id
+""",
     "op3_quality_rules": r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) as times
@@ -121,6 +156,25 @@ n as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or n_symbols * 2 > n_words or n_dup_lines * 10 > n_lines * 3 or word_chars < n_words * 2 or word_chars > n_words * 20 or n_upper * 2 > n_letters) as kept
 from n
+""",
+    "op7_pii": rf"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+base as ({_spans_sql(0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')}
+ union all {_spans_sql(1, '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "list_bool_and(list_transform(string_split(v, '.'), lambda x: try_cast(x as hugeint) <= 255))")}
+ union all select * exclude g from (select *, regexp_replace(value, '[^0-9]', '', 'g') as g from ({_spans_sql(2, '[0-9](?:[ -]?[0-9])+', 'true')})) where length(g) between 12 and 19 and {_LUHN}
+ union all {_spans_sql(3, '[+][0-9][ ().0-9-]+[0-9]', f'length({_DIGITS}) between 9 and 15')}),
+ctx as (select distinct kind || ':' || lower(value) as entity, list_sort(list_distinct(regexp_extract_all(substring(t, cast(greatest(start - 60, 0) as int) + 1, cast(least(start, 60) as int)) || ' ' || substring(t, cast("end" as int) + 1, 60), '[\p{{L}}\p{{N}}]{{3,}}'))) as terms
+  from base join d using (doc_id)),
+mentions as (select entity, count(*) as mentions from ctx group by entity),
+pairs as (select entity, term, count(*) as times from (select entity, unnest(terms) as term from ctx) group by 1, 2 having count(*) >= 3),
+texts as (select term, count(*) as texts from (select unnest(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}]{{3,}}'))) as term from d) where term in (select term from pairs) group by term),
+scored as (select term, times / greatest(texts, times) as p, log2(times / greatest(texts, times) * (select count(*) from d) / mentions) as bits from pairs join texts using (term) join mentions using (entity)),
+risky as (select term from scored group by term having max(p) >= 0.8 and arg_max(bits, p) >= 6),
+found as (select * from base union all select * from ({_spans_sql(4, _RUN, 'v in (select term from risky)')}) where exists (select 1 from risky)),
+named as (select doc_id, start, kind, (['email', 'ip', 'card', 'phone', 'term'])[kind + 1] || ':' || start || ':' || "end" as name from found)
+select d.doc_id, count(*) filter (kind = 0) as n_email, count(*) filter (kind = 1) as n_ip, count(*) filter (kind = 2) as n_card, count(*) filter (kind = 3) as n_phone,
+ sha256(coalesce(string_agg(name, ',' order by start, kind) filter (kind < 4), '')) as base_sha256, coalesce(string_agg(name, ',' order by start, kind), '') as spans
+from d left join named using (doc_id) group by d.doc_id
 """,
     "op2_decontamination": rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
