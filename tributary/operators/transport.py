@@ -8,18 +8,20 @@ from pyspark.sql.window import Window
 
 from tributary.functions.columns import clamp
 
-STREAM = Window.partitionBy("ssrc").orderBy("ext_seq")
+def _stream():
+    """The packets of a stream in sequence order (made when used: windows need a session)."""
+    return Window.partitionBy("ssrc").orderBy("ext_seq")
 
 
 def gaps(received: DataFrame) -> DataFrame:
     """(ssrc, first, length) of each run of missing sequence numbers between received ones."""
-    rows = received.select("ssrc", "ext_seq").distinct().withColumn("before", F.lag("ext_seq").over(STREAM))
+    rows = received.select("ssrc", "ext_seq").distinct().withColumn("before", F.lag("ext_seq").over(_stream()))
     return rows.filter(F.col("ext_seq") - F.col("before") > 1).select("ssrc", (F.col("before") + 1).alias("first"), (F.col("ext_seq") - F.col("before") - 1).alias("length"))
 
 
 def gap_report(received: DataFrame) -> DataFrame:
     """Loss per stream: received, expected and lost packets, gaps, the longest gap, loss in percent."""
-    rows = received.select("ssrc", "ext_seq").distinct().withColumn("missing", F.col("ext_seq") - F.lag("ext_seq").over(STREAM) - 1)
+    rows = received.select("ssrc", "ext_seq").distinct().withColumn("missing", F.col("ext_seq") - F.lag("ext_seq").over(_stream()) - 1)
     out = rows.groupBy("ssrc").agg(
         F.count(F.lit(1)).alias("received"), (F.max("ext_seq") - F.min("ext_seq") + 1).alias("expected"),
         F.count_if(F.col("missing") > 0).alias("gaps"), F.coalesce(F.max("missing"), F.lit(0)).alias("longest_gap"))
@@ -34,7 +36,7 @@ def missing_sequences(received: DataFrame) -> DataFrame:
 
 def after_loss(received: DataFrame) -> DataFrame:
     """Packets in order, each with whether one before it is missing."""
-    return received.select("ssrc", "ext_seq", F.coalesce(F.col("ext_seq") - F.lag("ext_seq").over(STREAM) > 1, F.lit(False)).alias("after_loss"))
+    return received.select("ssrc", "ext_seq", F.coalesce(F.col("ext_seq") - F.lag("ext_seq").over(_stream()) > 1, F.lit(False)).alias("after_loss"))
 
 
 def reordered(arrivals: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def reordered(arrivals: DataFrame) -> DataFrame:
     by_arrival = Window.partitionBy("ssrc").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     rows = arrivals.withColumn("furthest", F.max("ext_seq").over(by_arrival))
     once = rows.groupBy("ssrc", "ext_seq").agg(F.min("arrival").alias("arrival"), F.min_by(F.coalesce(F.col("ext_seq") < F.col("furthest"), F.lit(False)), "arrival").alias("late"), F.count(F.lit(1)).alias("copies"))
-    return once.withColumn("position", F.row_number().over(STREAM).cast("long"))
+    return once.withColumn("position", F.row_number().over(_stream()).cast("long"))
 
 
 def unwrapped(packets: DataFrame) -> DataFrame:
@@ -89,14 +91,14 @@ def feedback(received: DataFrame) -> DataFrame:
     """Every expected sequence number of a stream, whether it was received, and its delta in ticks of 250 us."""
     ranges = received.groupBy("ssrc").agg(F.min("ext_seq").alias("low"), F.max("ext_seq").alias("high"))
     expected = ranges.select("ssrc", F.explode(F.sequence("low", "high")).alias("ext_seq"))
-    delta = F.floor((F.col("recv_us") - F.lag("recv_us").over(STREAM)) / 250).cast("long")
+    delta = F.floor((F.col("recv_us") - F.lag("recv_us").over(_stream())) / 250).cast("long")
     seen = received.select("ssrc", "ext_seq", "recv_us").withColumn("delta_ticks", F.coalesce(delta, F.lit(0)))
     return expected.join(seen, ["ssrc", "ext_seq"], "left").select("ssrc", "ext_seq", F.col("recv_us").isNotNull().alias("received"), "delta_ticks")
 
 
 def timeline(report: DataFrame) -> DataFrame:
     """Receive times since the first packet, by running sum over the received ones."""
-    return report.filter("received").select("ssrc", "ext_seq", (F.sum("delta_ticks").over(STREAM) * 250).alias("at_us"))
+    return report.filter("received").select("ssrc", "ext_seq", (F.sum("delta_ticks").over(_stream()) * 250).alias("at_us"))
 
 
 def feedback_summary(report: DataFrame) -> DataFrame:
