@@ -113,16 +113,17 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     text prove nothing. Its probability is the share of its texts that show it beside the entity.
     """
     near = written(_neighbours(docs, text_col), "neighbours")
-    mentions = near.groupBy("entity").agg(F.approx_count_distinct("context").alias("mentions"))
+    mentions = near.groupBy("entity").agg(F.count_distinct("context").alias("mentions"))
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
     pairs = written(pairs, "pairs")
     none = docs.sparkSession.createDataFrame([], "term string, probability double, bits double, removed boolean")
     if pairs.isEmpty():
         return none, None
     terms = pairs.select("term").distinct()
-    # Every text's distinct terms against the candidates; Spark broadcasts them only when they are small.
+    # Texts by term are summed before the join, so that a common word among the candidates costs one row a task.
     seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    # An inner join: a semi join would be pushed below the sum.
+    spread = seen.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).join(terms, "term")
     n = docs.count()
     p = F.col("both") / F.greatest("texts", "both")
     bits = F.log2(p * F.lit(float(max(n, 1))) / F.col("mentions"))
