@@ -132,3 +132,16 @@ def test_mixing_of_odd_tables(spark):
     one = mixing.learn(rows.withColumn("domain", F.lit("a")))
     assert all(abs(r.rate - 1) < 1e-6 for r in mixing.mixed(rows, one, {"a": 2.0, "b": 5.0}).collect())
     assert mixing.mixed(rows.limit(0), one, {"a": 1.0}).count() == 0
+
+
+def test_model_counts_grow_with_the_contexts(spark):
+    """Every word prefix keeps its own count, also beyond the million slots that once held all contexts."""
+    letters = np.random.default_rng(3).integers(97, 123, (200_000, 10)).astype(np.uint8)
+    words = [bytes(w).decode() for w in letters]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("held_out", F.lit(False)).withColumn("mix", F.lit(False))
+    gathered = lm._gathered(lm._chunks(docs)).filter("context & 3 = 2")
+    by_context = gathered.select("context", F.explode("seen").alias("s")).groupBy("context").agg(F.sum(F.shiftright("s", 9)).alias("n"))
+    got = by_context.agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")).first()
+    want = {w[:k] for w in words for k in range(11)}
+    assert len(want) > 1 << 20 and got["contexts"] == len(want) and got["n"] == sum(len(t) + 1 for t in texts)
