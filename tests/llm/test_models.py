@@ -139,9 +139,17 @@ def test_model_counts_grow_with_the_contexts(spark):
     letters = np.random.default_rng(3).integers(97, 123, (200_000, 10)).astype(np.uint8)
     words = [bytes(w).decode() for w in letters]
     texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("held_out", F.lit(False)).withColumn("mix", F.lit(False))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("held_out", F.lit(False))
     gathered = lm._gathered(lm._chunks(docs)).filter("context & 3 = 2")
     by_context = gathered.select("context", F.explode("seen").alias("s")).groupBy("context").agg(F.sum(F.shiftright("s", 9)).alias("n"))
     got = by_context.agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")).first()
     want = {w[:k] for w in words for k in range(11)}
     assert len(want) > 1 << 20 and got["contexts"] == len(want) and got["n"] == sum(len(t) + 1 for t in texts)
+
+
+def test_weights_are_learned_without_ids(spark, docs):
+    """All training texts teach the mixer, whatever their ids: null ids give the same scores."""
+    texts = docs.text.head(60).tolist()
+    rows = [spark.createDataFrame([(i if named else None, t) for i, t in enumerate(texts)], "doc_id long, text string") for named in (True, False)]
+    named, unnamed = (sorted(r.bits_per_byte for r in lm.score(d, F.lit(False)).collect()) for d in rows)
+    assert named == unnamed
