@@ -109,6 +109,19 @@ def test_copies_of_one_text_reveal_nothing(spark):
     assert {tuple((s.start, s.end) for s in r.spans) for r in pii.find_personal(df).collect()} == {((17, 26),)}
 
 
+def test_disclosure_counts_whole_texts_on_both_sides(spark):
+    """Copies of the texts change nothing, a repeated signature block counts once a text, and no cut word is a term."""
+    noise = [(1000 + i, f"the note {i} to bob{i}@y.org about nothing") for i in range(900)]
+    copied = [(100 * i + k, f"{w} wrote Zorblax to ann@x.org about {w}") for i, w in enumerate("alpha beta gamma delta".split()) for k in range(20)]
+    signed = [(500 + i, f"letter {i} on {i * 7} things. " + "-" * 60 + " Quillon ann@x.org " + "-" * 60) for i in range(5)]
+    cut = [(600 + i, f"{'ab' * i} Vormidable" + "." * 52 + f"carl@x.org {'yz' * i}") for i in range(1, 5)]
+    for rows, term in ((copied, "Zorblax"), (signed, "Quillon")):
+        found = pii.revealing_terms(spark.createDataFrame(rows + noise, "doc_id long, text string"))[0].collect()
+        assert {r.term: r.probability for r in found}.get(term) == 1.0
+    near = pii._neighbours(spark.createDataFrame(cut, "doc_id long, text string"), "text").collect()
+    assert not any((r.term or "").endswith("midable") or (r.term or "").endswith("able") for r in near)
+
+
 # --- chat ------------------------------------------------------------------------------------------
 
 CONTROL = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<ROLE>", "</ROLE>", "\\", "<", "[", " a", "é", "\n", "s>"]), max_size=12).map("".join)

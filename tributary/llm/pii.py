@@ -32,7 +32,7 @@ TERM = r"[\p{L}\p{N}]{3,}"
 
 #: Characters on each side of a mention in which terms count as its neighbours.
 CONTEXT = 60
-#: Different neighbourhoods that must show a term with an entity, and the disclosure thresholds.
+#: Different texts that must show a term beside an entity, and the disclosure thresholds.
 SUPPORT, GENERALISE, REMOVE, LEAST_BITS = 3, 0.8, 0.95, 6.0
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -96,35 +96,43 @@ def base_spans(text: Column) -> Column:
 
 
 def _neighbours(docs: DataFrame, text_col: str) -> DataFrame:
-    """(entity, context, term): each term once per distinct neighbourhood of an entity."""
+    """(entity, whole, term): each term once per entity and distinct whole text that shows it beside the entity.
+
+    A word that the edge of the neighbourhood cuts is left out. ``term`` is null where there is none.
+    """
     t = F.col("t")
     hint = t.rlike("|".join(HINTS.values()))
     spans = docs.select(F.col(text_col).alias("t")).filter(hint).select("t", F.explode(base_spans(t)).alias("s"))
-    left = F.substring(t, F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT)))
-    right = F.substring(t, F.col("s.end") + 1, F.lit(CONTEXT))
+    # One character more on each side: a word that starts there is cut.
+    first = F.greatest(F.col("s.start") - (CONTEXT + 1), F.lit(0))
+    left, right = F.substring(t, first + 1, F.col("s.start") - first), F.substring(t, F.col("s.end") + 1, F.lit(CONTEXT + 1))
+    left = F.when(F.col("s.start") > CONTEXT, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
+    right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, r"[\p{L}\p{N}]++$", "")).otherwise(right)
     terms = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", left, right), F.lit(TERM), F.lit(0)))
-    return spans.select(F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64(F.array_sort(terms)).alias("context"), terms.alias("terms")).distinct().select("entity", "context", F.explode("terms").alias("term"))
+    return spans.select(F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64("t").alias("whole"), F.explode_outer(terms).alias("term")).distinct()
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """The terms beyond the thresholds as (term, probability, bits, removed), and the rows that hold candidates.
 
-    A term needs ``SUPPORT`` different neighbourhoods of one entity, so that exact copies of one
-    text prove nothing. Its probability is the share of its texts that show it beside the entity.
+    Everything is counted in different whole texts, so that exact copies of one text prove nothing.
+    A term needs ``SUPPORT`` texts that show it beside one entity. Its probability is the share of
+    its texts that do.
     """
     near = written(_neighbours(docs, text_col), "neighbours")
-    mentions = near.groupBy("entity").agg(F.count_distinct("context").alias("mentions"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
+    mentions = near.groupBy("entity").agg(F.count_distinct("whole").alias("mentions"))
+    pairs = near.filter("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
     pairs = written(pairs, "pairs")
     none = docs.sparkSession.createDataFrame([], "term string, probability double, bits double, removed boolean")
     if pairs.isEmpty():
         return none, None
     terms = pairs.select("term").distinct()
     # Texts by term are summed before the join, so that a common word among the candidates costs one row a task.
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).groupBy(F.xxhash64("t").alias("whole")).agg(F.first("t").alias("t"))
+    seen = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
     # An inner join: a semi join would be pushed below the sum.
     spread = seen.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).join(terms, "term")
-    n = docs.count()
+    n = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).distinct().count()
     p = F.col("both") / F.greatest("texts", "both")
     bits = F.log2(p * F.lit(float(max(n, 1))) / F.col("mentions"))
     scored = pairs.join(spread, "term").join(mentions, "entity").select("term", p.alias("probability"), bits.alias("bits"))
