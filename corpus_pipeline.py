@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
 as the next one's documents. All but the last return the columns of documents. Null and empty texts
-leave at the first stage, which asks for ten words; repeated rows leave at the second.
+leave at the first stage, which asks for ten words; repeated rows leave at the second. Every stage
+judges each row by its text: null and repeated ids are rows like any other.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import decontaminate, minhash, mixing, pii, rules
 from tributary.llm.queries import TARGETS, labelled_domains
-from tributary.llm.scratch import written
+from tributary.llm.scratch import keyed_by, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Null ids stay."""
-    classes = minhash.near_duplicates(docs, words=5, percent=80)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id, null ids last.
+
+    Rows are told apart by a key of their own, so that null and repeated ids are judged by their texts.
+    """
+    key = keyed_by(docs)
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    classes = minhash.near_duplicates(rows, id_col=key, words=5, percent=80).select(key, "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(key).alias("kept")))
+    kept = rows.select(key, "doc_id").join(classes, key).groupBy("component_id").agg(least.alias("least")).select(F.col("least.kept").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

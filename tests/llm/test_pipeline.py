@@ -48,3 +48,16 @@ def test_stages_take_empty_tables_and_nulls(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0
         assert stage(spark, odd, SF).count() <= 4
+
+
+def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    """Copies go and clean rows stay, whatever their ids; one leaked row takes no other with it."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 10)
+    rows = [(None, text(0)), (None, text(0)), (None, text(0) + " more"), (None, text(1)), (5, text(2)), (5, text(3)), (5, text(2)), (7, text(1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = sorted(((r.doc_id, r.text.split()[0]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, "w0x0"), (7, "w1x0"), (5, "w2x0"), (5, "w3x0")], key=str)
+    mixed = docs.unionByName(spark.createDataFrame([(i, item, "en", "s", len(item)) for i in (None, 5)], schema))
+    assert sorted(r.text for r in corpus_pipeline.decontamination(spark, mixed, SF).collect()) == sorted(t for _, t in rows)

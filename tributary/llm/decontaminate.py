@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.scratch import written
+from tributary.llm.scratch import keyed_by, written
 
 #: A block of patterns has about so many windows and bytes at most.
 BLOCK_WINDOWS, BLOCK_BYTES = 100_000, 16 << 20
@@ -160,10 +160,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, share: float = 0.0) -> DataFrame:
     """The rows of which at most ``share`` of the words lie in benchmark windows, with all columns as they were.
 
-    Rows with a null id are kept only if no null-id row has a window in it: ids decide, so one hit
-    removes all rows of an id.
+    Each row is judged by its own text: null and repeated ids are rows like any other, so ``id_col``
+    decides nothing.
     """
-    found = find_benchmark(docs, benchmark, id_col, text_col, window=window)
+    key = keyed_by(docs)
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = find_benchmark(rows, benchmark, key, text_col, window=window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    leaked = found.withColumn("n_hit", hit).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * share)).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(leaked["_leaked"]), "left_anti")
+    leaked = found.withColumn("n_hit", hit).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * share)).select(key)
+    return rows.join(leaked, key, "left_anti").select(docs.columns)

@@ -30,6 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed_by(df: DataFrame) -> str:
+    """A name for a column of row keys that no column of ``df`` has."""
+    return "_".join(["row", *df.columns])
+
+
 def dropped(df: DataFrame | None) -> None:
     """Remove the files of a table made by :func:`written` that nothing reads any more."""
     path = getattr(df, "_tributary_path", None)
