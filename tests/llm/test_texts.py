@@ -184,3 +184,14 @@ def test_odd_pages(spark):
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>x"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     assert sorted(r.text for r in html.extract(df).collect()) == ["", "", "x"]
+
+
+def test_wrappers_named_like_side_parts_are_entered():
+    article = f"<h2>Head</h2><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p>"
+    side = '<div class="sidebar"><p>Beside, it all, at the edge.</p></div>'
+    for wrap in ('div class="content has-sidebar"', 'div id="page-with-header"', "form action='x'"):
+        page = f"<html><body><{wrap}><div>{article}</div>{side}</{wrap.split()[0]}></body></html>"
+        assert html.main_text(page) == "\n".join(["Head", PROSE, PROSE, PROSE]), wrap
+    nested = f'<form><div id="page-with-header"><div class="content has-sidebar"><div>{article}</div>{side}</div></div></form>'
+    assert html.main_text(f"<body>{nested}</body>") == "\n".join(["Head", PROSE, PROSE, PROSE])
+    assert html.main_text(f'<body><div><p>{PROSE}</p></div><div id="comments"><p>{PROSE} {PROSE} {PROSE}</p></div></body>') == PROSE

@@ -29,21 +29,28 @@ SIDE_WORDS = frozenset(
     "login search pagination pager tags skip skiplink paywall".split()
 )
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Text outside all side parts, as a share of a named part's, up to which that part is the page's wrapper.
+WRAPPED = 0.1
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "side", "role", "score", "chars", "links", "commas")
+    __slots__ = ("tag", "parent", "children", "side", "named", "role", "score", "chars", "links", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, side: bool = False, role: str = ""):
-        self.tag, self.parent, self.children, self.side, self.role = tag, parent, [], side, role
+    def __init__(self, tag: str, parent: Node | None, side: bool = False, named: bool = False, role: str = ""):
+        self.tag, self.parent, self.children, self.side, self.named, self.role = tag, parent, [], side or named, named, role
         self.score, self.chars, self.links, self.commas = 0.0, 0, 0, 0
 
 
 def _beside(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element's kind, role, class or id says that it isn't part of the text."""
-    if tag in DROPPED or "hidden" in attrs or _HIDDEN.search(attrs.get("style", "")) or attrs.get("role", "").lower() in SIDE_ROLES:
+    """Whether an element's kind, role or style says that it isn't part of the text."""
+    return tag in DROPPED and tag != "form" or "hidden" in attrs or bool(_HIDDEN.search(attrs.get("style", ""))) or attrs.get("role", "").lower() in SIDE_ROLES - {"form"}
+
+
+def _named(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is a form, or its class or id has a word of side parts: it may still wrap the text."""
+    if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
     if tag in ("html", "body", "article", "main"):
         return False
@@ -74,7 +81,7 @@ class _Tree(HTMLParser):
         if tag == "body":
             self._close({"head"}, set())
         named = {k: v or "" for k, v in attrs}
-        node = Node(tag, self.at, _beside(tag, named), named.get("role", "").lower())
+        node = Node(tag, self.at, beside := _beside(tag, named), not beside and _named(tag, named), named.get("role", "").lower())
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -101,9 +108,36 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _freed(tree.root)
     return tree.root
 
 
+def _freed(root: Node) -> None:
+    """Let parts that only their name (or being a form) sets aside pass if they wrap nearly all of the page's text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (not c.side or c.named)]
+    whole: dict[Node, int] = {}  # characters outside links, with named parts and without
+    clear: dict[Node, int] = {}
+    for node in reversed(order):
+        own = 0 if node.tag == "a" else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        inner = [] if node.tag == "a" else [c for c in node.children if c in whole]
+        whole[node] = own + sum(whole[c] for c in inner)
+        clear[node] = own + sum(clear[c] for c in inner if not c.side)
+    outside = clear[root]
+    for node in sorted((c for c in order if c.side), key=lambda x: -whole[x]):  # a wrapper before what it wraps
+        if not whole[node] or outside > WRAPPED * whole[node]:
+            break  # the others are smaller
+        up = node.parent
+        while up is not None and not up.side:
+            up = up.parent
+        if up is None:
+            node.side = False
+            outside += clear[node]
+
+
 def _ordered(root: Node) -> list[Node]:
     """The elements outside side parts, parents before children."""
     out, stack = [], [root]
