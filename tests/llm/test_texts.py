@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tributary.llm import chat, html, pii, queries, rules
+from tributary.llm.scratch import written
 
 
 def test_queries_with_sql(spark, duck):
@@ -195,3 +196,11 @@ def test_wrappers_named_like_side_parts_are_entered():
     nested = f'<form><div id="page-with-header"><div class="content has-sidebar"><div>{article}</div>{side}</div></div></form>'
     assert html.main_text(f"<body>{nested}</body>") == "\n".join(["Head", PROSE, PROSE, PROSE])
     assert html.main_text(f'<body><div><p>{PROSE}</p></div><div id="comments"><p>{PROSE} {PROSE} {PROSE}</p></div></body>') == PROSE
+
+
+def test_rule_sample_is_scanned_in_parallel(spark, monkeypatch):
+    """Only the drawn rows go to one task: the scan isn't coalesced."""
+    plans = []
+    monkeypatch.setattr(rules, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rules.ordered(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert plans and not any("Coalesce" in p for p in plans) and all("Exchange" in p for p in plans)

@@ -111,7 +111,7 @@ def ordered(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
     n = docs.count()
     if not n:
         return list(rules)
-    drawn = written(docs.select(F.col(text_col).alias("text")).sample(False, min(1.0, sample / n), seed=3).coalesce(1), "rule-sample")
+    drawn = written(docs.select(F.col(text_col).alias("text")).sample(False, min(1.0, sample / n), seed=3).repartition(1), "rule-sample")
     values, found = measures(F.col("text")), []
     for rule in rules:
         best = float("inf")
