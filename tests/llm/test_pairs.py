@@ -112,3 +112,12 @@ def test_clean_documents_keep_their_columns(spark):
     out = decontaminate.clean_documents(docs, items, window=3)
     assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == ["q", "z z z"]
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == 3
+
+
+def test_pairs_with_a_key_are_left_to_the_long_signature(spark):
+    """Texts that share a key aren't dropped for the number of slots that differ."""
+    near = {c: 0 for c in [*minhash.LONGS, *minhash.LONGER]}
+    far = near | {c: sum(1 << (minhash.LANE * j) for j in range(minhash.PER_LONG)) for c in minhash.LONGS[: minhash.DISTANCE // minhash.PER_LONG + 1]}
+    schema = "struct<" + ",".join(f"{c}:long" for c in near) + ">"
+    df = spark.createDataFrame([(tuple(near.values()), tuple(far.values()))], f"p {schema}, q {schema}")
+    assert df.select(minhash._near("p", "q").alias("x")).first().x

@@ -6,7 +6,7 @@ principle, two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` s
 most ``ERRORS`` slots of some chunk; so for each chunk every choice of ``ERRORS`` slots is left out
 in turn and the others are hashed into an index key. All pairs under that distance share a key.
 Texts that share a key with another get a second, long signature of one-bit minimum hashes, and only
-pairs that also differ in at most ``LONG_DISTANCE`` of its bits are confirmed on the full sets.
+pairs that differ in at most ``LONG_DISTANCE`` of its bits are confirmed on the full sets.
 
 Pairs within a key are not all emitted. Each text is first compared with the few anchors of its keys
 that it shares most keys with, links are confirmed on the full sets, and components are contracted;
@@ -123,17 +123,13 @@ def _differing(a: str, b: str) -> list[Column]:
     return [(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) + F.lit(_LOW)).bitwiseAND(F.lit(_GUARD)) for c in LONGS]
 
 
-def _distance(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(x) for x in _differing(a, b)))
-
-
 def _long_distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in LONGER))
 
 
 def _near(a: str, b: str) -> Column:
-    """Whether two pairs of signatures are close enough for a link."""
-    return (_distance(a, b) <= DISTANCE) & (_long_distance(a, b) <= LONG_DISTANCE)
+    """Whether two texts that share an index key are close enough for a link, by the long signature alone."""
+    return _long_distance(a, b) <= LONG_DISTANCE
 
 
 def _first_key(a: str, b: str) -> Column:
