@@ -87,35 +87,6 @@ def test_base_scores_are_exact(spark, docs, monkeypatch):
     assert got.bits_per_byte[got.held_out].median() < 2.8
 
 
-def test_coding_is_a_distribution():
-    """The probabilities of all next symbols sum to one, whatever the tables hold."""
-    r = np.random.default_rng(2)
-    coder = lm.Coder(r.integers(0, 50, 257))
-    mixer = lm.Mixer(r.integers(0, 5, lm.STARTS[-1]), r.integers(0, 5, lm.STARTS[-1]))
-    context = [np.full(257, x, np.uint32) for x in (7, 8, 9)]
-    node, bit, slots, length = coder.decisions(np.arange(257), context)
-    each = np.exp2(np.add.reduceat(mixer.costs(node, bit, slots).astype(np.float64), np.cumsum(length) - length))
-    assert abs(each.sum() - 1) < 1e-4
-
-
-def test_contexts_stop_at_the_text():
-    texts = [b"ab cd", b"", b"ab"]
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.array([0, 5, 5, 7])
-    symbols, contexts, at = lm.Coder.contexts(data, offsets)
-    assert symbols.tolist() == [97, 98, 32, 99, 100, 256, 256, 97, 98, 256] and at.tolist() == [0, 6, 7, 10]
-    for c in contexts:
-        assert c[0] == c[6] == c[7] and c[1] == c[8] and c[2] == c[9]
-
-
-def test_scores_of_odd_texts(spark):
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "é" * 3000)], "doc_id long, text string").withColumn("row", F.lit(1))
-    for held in (F.lit(False), F.lit(True)):
-        got = lm.score(odd, held).collect()
-        assert len(got) == 5 and all(np.isfinite([r.score, r.base_score]).all() for r in got)
-        assert {r.n_tokens for r in got if r.doc_id in (1, 2)} == {1}
-    assert lm.score(odd.limit(0), F.lit(False)).count() == 0
-
-
 def test_mixing_meets_its_targets(spark):
     got = queries.op4_source_mixing(spark, SF).toPandas()
     assert len(got) == 1000 and (got.rate >= 0).all()
@@ -132,24 +103,3 @@ def test_mixing_of_odd_tables(spark):
     one = mixing.learn(rows.withColumn("domain", F.lit("a")))
     assert all(abs(r.rate - 1) < 1e-6 for r in mixing.mixed(rows, one, {"a": 2.0, "b": 5.0}).collect())
     assert mixing.mixed(rows.limit(0), one, {"a": 1.0}).count() == 0
-
-
-def test_model_counts_grow_with_the_contexts(spark):
-    """Every word prefix keeps its own count, also beyond the million slots that once held all contexts."""
-    letters = np.random.default_rng(3).integers(97, 123, (200_000, 10)).astype(np.uint8)
-    words = [bytes(w).decode() for w in letters]
-    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("held_out", F.lit(False))
-    gathered = lm._gathered(lm._chunks(docs)).filter("context & 3 = 2")
-    by_context = gathered.select("context", F.explode("seen").alias("s")).groupBy("context").agg(F.sum(F.shiftright("s", 9)).alias("n"))
-    got = by_context.agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")).first()
-    want = {w[:k] for w in words for k in range(11)}
-    assert len(want) > 1 << 20 and got["contexts"] == len(want) and got["n"] == sum(len(t) + 1 for t in texts)
-
-
-def test_weights_are_learned_without_ids(spark, docs):
-    """All training texts teach the mixer, whatever their ids: null ids give the same scores."""
-    texts = docs.text.head(60).tolist()
-    rows = [spark.createDataFrame([(i if named else None, t) for i, t in enumerate(texts)], "doc_id long, text string") for named in (True, False)]
-    named, unnamed = (sorted(r.bits_per_byte for r in lm.score(d, F.lit(False)).collect()) for d in rows)
-    assert named == unnamed
