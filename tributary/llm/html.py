@@ -8,6 +8,7 @@ and those siblings that score well enough are kept.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -48,30 +49,44 @@ def _beside(tag: str, attrs: dict[str, str]) -> bool:
     return tag in DROPPED and tag != "form" or "hidden" in attrs or bool(_HIDDEN.search(attrs.get("style", ""))) or attrs.get("role", "").lower() in SIDE_ROLES - {"form"}
 
 
-def _named(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element is a form, or its class or id has a word of side parts: it may still wrap the text."""
+def _named(tag: str, attrs: dict[str, str], within: bool) -> bool:
+    """Whether an element is a form, or its class or id has a word of side parts: it may still wrap the text.
+
+    ``within``: inside an article or the main part, where what is named a header holds the title.
+    """
     if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    words = [w.lower() for w in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
-    return any(w in SIDE_WORDS for w in words)
+    words = {w.lower() for w in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} & SIDE_WORDS
+    return bool(words - {"header"} if within else words)
 
 
 class _Tree(HTMLParser):
+    """The elements of a page. Open elements are also listed by tag, so that no tag looks through all of them."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None)
+        self.root = Node("#root", None)
+        self.open, self.places = [self.root], {}
+
+    def _cut(self, place: int) -> None:
+        """Close the open elements from a place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of ``tags``."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _close(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
         """Close the outermost open element of ``tags`` that no element of ``within`` shields."""
-        node, found = self.at, None
-        while node is not self.root and node.tag not in within:
-            if node.tag in tags:
-                found = node
-            node = node.parent
-        if found is not None:
-            self.at = found.parent
+        some = [self.places[t] for t in tags if self.places.get(t)]
+        if some:
+            shield = self._last(within)
+            outer = [p[k] for p in some if (k := bisect_right(p, shield)) < len(p)]
+            if outer:
+                self._cut(min(outer))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS_P:
@@ -81,10 +96,13 @@ class _Tree(HTMLParser):
         if tag == "body":
             self._close({"head"}, set())
         named = {k: v or "" for k, v in attrs}
-        node = Node(tag, self.at, beside := _beside(tag, named), not beside and _named(tag, named), named.get("role", "").lower())
-        self.at.children.append(node)
+        beside = _beside(tag, named)
+        within = any(self.places.get(t) for t in ("article", "main"))
+        node = Node(tag, self.open[-1], beside, not beside and _named(tag, named, within), named.get("role", "").lower())
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -92,16 +110,13 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            if tag not in BLOCK and node.tag in BLOCK:
-                return  # an inline end tag doesn't close blocks
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        place = self._last({tag})
+        # an inline end tag doesn't close blocks
+        if place and (tag in BLOCK or self._last(BLOCK) < place):
+            self._cut(place)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def parse(html: str) -> Node:
@@ -127,12 +142,16 @@ def _freed(root: Node) -> None:
         whole[node] = own + sum(whole[c] for c in inner)
         clear[node] = own + sum(clear[c] for c in inner if not c.side)
     outside = clear[root]
+    above: dict[Node, Node | None] = {}  # the innermost named part around each part
+    for node in order:
+        up = node.parent
+        above[node] = None if up is None else up if up.named else above[up]
     for node in sorted((c for c in order if c.side), key=lambda x: -whole[x]):  # a wrapper before what it wraps
         if not whole[node] or outside > WRAPPED * whole[node]:
             break  # the others are smaller
-        up = node.parent
-        while up is not None and not up.side:
-            up = up.parent
+        up = above[node]
+        while up is not None and not up.side:  # one of the few that were let pass
+            up = above[up]
         if up is None:
             node.side = False
             outside += clear[node]
@@ -176,6 +195,11 @@ def _density(node: Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
+def _paragraphs(node: Node) -> bool:
+    """Whether a container holds a long paragraph of its own, and few links."""
+    return _density(node) < 0.25 and any(isinstance(c, Node) and not c.side and c.tag == "p" and c.chars > 60 and _density(c) < 0.25 for c in node.children)
+
+
 def chosen(root: Node) -> list[Node]:
     """The elements whose text is the article, in page order."""
     nodes = _ordered(root)
@@ -196,13 +220,13 @@ def chosen(root: Node) -> list[Node]:
         top = best
     if top.parent is None:
         return [top]
-    least = max(10.0, 0.2 * rank(top))
+    least = 0.2 * rank(top)
     kept = []
     for s in top.parent.children:
         if s is top:
             kept.append(s)
         elif isinstance(s, Node) and not s.side and top.tag != "body":
-            if (s.tag in BLOCK and s.tag != "p" and rank(s) >= least) or (s.tag == "p" and _density(s) < 0.25 and s.chars > 80) or (s.tag == "p" and s.chars and not s.links and s.commas):
+            if (s.tag in BLOCK and s.tag != "p" and (rank(s) >= max(10.0, least) or _paragraphs(s))) or (s.tag == "p" and _density(s) < 0.25 and s.chars > 80) or (s.tag == "p" and s.chars and not s.links and s.commas):
                 kept.append(s)
     return kept
 
@@ -242,7 +266,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` and the main text of every page, from its whole html; one row for each row."""
+    """``keep`` and the main text of every page, from its whole html; one row for each row.
+
+    A null or empty page has an empty text, as has one of side parts only. Repeated rows are read
+    alike, a very long page is read whole, and an empty table gives an empty one.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in pages.select(*keep).schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tributary.llm.hashing import text_runs
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
-#: Bound of the labelled rows drawn for training, and windows taken from each.
-SAMPLE, PER_ROW = 4000, 2
+#: Labelled rows drawn for training, about; all windows of their whole texts are used.
+SAMPLE = 1000
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 NONE = "und"
 
@@ -131,10 +131,17 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def share_of(wanted: float, n: int) -> float:
+    """The share of ``n`` rows to draw so that ``wanted`` are expected; above zero at any size."""
+    return min(1.0, wanted / n) if n else 0.0
+
+
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE) -> ByteNet:
-    """Train on windows of about ``sample`` rows, the same number of each language where there are enough.
+    """Train on all windows of about ``sample`` rows, the same number of each language where there are enough.
 
-    Rows with a null text or language are left out; with no rows the network knows no language.
+    Rows are drawn by the hash of key and text, alike at every size; a repeated row is drawn once.
+    Rows with a null text or language are left out; with no rows, as in an empty table, the network
+    knows no language.
     """
     rows = train.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col, text_col).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,19 +149,18 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
     net = ByteNet(classes)
     if not classes:
         return net
-    share = F.lit(0)
+    share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(1e6 * min(1.0, sample / len(classes) / n))).otherwise(share)
-    drawn = rows.filter(F.pmod("draw", F.lit(1_000_000)) < share).select("text", "lang", "draw")
+        share = F.when(F.col("lang") == lang, share_of(sample / len(classes), n)).otherwise(share)
+    drawn = rows.filter(F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53)) < share).groupBy("lang", "draw").agg(F.min("text").alias("text")).select("text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got, langs = [], []
             for k in range(batch.num_rows):
                 x, _ = windows(np.frombuffer(batch.column(0)[k].as_py().encode(), np.uint8))
-                pick = np.random.default_rng(batch.column(2)[k].as_py() & 0xFFFFFFFF).permutation(len(x))[:PER_ROW]
-                got += [x[i].tobytes() for i in pick]
-                langs += [batch.column(1)[k].as_py()] * len(pick)
+                got += [w.tobytes() for w in x]
+                langs += [batch.column(1)[k].as_py()] * len(x)
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(langs, pa.string())], names=["x", "lang"])
 
     got = sorted((r["lang"], bytes(r["x"])) for r in drawn.mapInArrow(cut, "x binary, lang string").collect())
@@ -167,7 +173,9 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
     """id, lang_pred and score per row, from all windows of the whole text.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if the
-    network knows no language. ``keep``: further columns.
+    network knows no language; of languages that score alike the first by name wins. Repeated rows
+    are judged alike, a very long text by all its windows; an empty table gives an empty one.
+    ``keep``: further columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     keep = keep or {}

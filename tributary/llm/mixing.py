@@ -4,15 +4,17 @@ A naive Bayes classifier learned from a labelled table gives every document a po
 domains. Non-negative document rates are then fitted by projected gradient steps so that the
 expected tokens of each domain, summed over documents, have the target shares of the corpus.
 
-The squared error is weighted with the inverse of the domains' token matrix, under which a step of
-length one is exact as long as no rate is clipped at zero. A step needs one sum over the documents
-per domain; a rate follows from the steps so far, so that nothing but the posteriors is stored.
+The squared error is weighted with the inverse of the domains' token matrix over the documents whose
+rate isn't clipped at zero, under which a step of length one is exact as long as no other rate gets
+clipped. A step is one sum over the documents; a rate follows from the steps so far, so that nothing
+but the posteriors is stored. Steps end when the targets are met, or when they come no closer.
 
 Everything runs inside the JVM.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -28,7 +30,9 @@ BUCKETS = 4096
 TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\s]++"
 #: Evidence of longer texts is scaled down to that of so many indicators, to keep memberships soft.
 EVIDENCE = 25.0
-STEPS, TOLERANCE = 40, 1e-7
+#: Steps at most, and how far a share may be from its target; what is left is logged.
+STEPS, TOLERANCE = 60, 1e-7
+LOG = logging.getLogger(__name__)
 
 
 def indicators(text: Column) -> Column:
@@ -108,18 +112,24 @@ def mixed(docs: DataFrame, model: Memberships, targets: dict[str, float], id_col
 
     if total and k and weights.sum() > 0:
         weights = weights / weights.sum()
-        cells = base.agg(*[F.sum(F.col("n") * p[i] * p[j] / total).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        matrix = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                matrix[i, j] = matrix[j, i] = cells[f"g{i}_{j}"]
-        inverse = np.linalg.pinv(matrix, rcond=1e-10)
+        tokens = F.when(F.col("r") > 0, F.col("n") / total).otherwise(0.0)
+        best, since, reached = float("inf"), 0, []
         for _ in range(STEPS):
-            sums = base.withColumn("r", rate()).agg(*[F.sum(F.col("r") * F.col("n") * p[i] / total).alias(f"s{i}") for i in range(k)]).first()
+            sums = base.withColumn("r", rate()).agg(
+                *[F.sum(F.col("r") * F.col("n") * p[i] / total).alias(f"s{i}") for i in range(k)],
+                *[F.sum(tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
+            ).first()
             miss = np.array([sums[f"s{i}"] for i in range(k)]) - weights
-            if np.abs(miss).max() <= TOLERANCE:
+            reached.append(float(np.abs(miss).max()))
+            since = 0 if reached[-1] < 0.9 * best else since + 1
+            best = min(best, reached[-1])
+            if reached[-1] <= TOLERANCE or since > 5:
                 break
-            history.append(inverse @ miss)
+            matrix = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            history.append(np.linalg.pinv(matrix, rcond=1e-10) @ miss)
+        if reached[-1] > TOLERANCE:
+            del history[int(np.argmin(reached)) :]
+            LOG.warning("targets are missed by up to %.3g of the tokens after %d steps", best, len(reached))
     u = F.pmod(F.xxhash64(F.lit("copies"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = base.withColumn("rate", rate())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"), *kept)

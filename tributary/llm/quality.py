@@ -6,7 +6,7 @@ and moved part of the way to its mean weight, as in naive Bayes interpolation. N
 trigrams of the text and word-shape n-grams (case, symbols, repetition of words and of lines).
 
 The class counts cover all labelled rows that :func:`fit` is given (a bounded sample of the labels, in
-the query); the linear model is fitted on about ``SAMPLE`` of them.
+the query); the linear model is fitted on ``SAMPLE`` of them at most.
 """
 
 from __future__ import annotations
@@ -80,14 +80,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _feature_rows(df: DataFrame) -> DataFrame:
-    """(label, indicators) of (text, label) rows."""
+    """(label, draw, indicators) of (text, label, draw) rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_runs(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array([f.tobytes() for f in features(data, offsets)], pa.binary())], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], batch.column(2)[i:j], pa.array([f.tobytes() for f in features(data, offsets)], pa.binary())], names=["label", "draw", "features"])
 
-    return df.mapInArrow(build, "label int, features binary")
+    return df.mapInArrow(build, "label int, draw long, features binary")
 
 
 def _class_counts(df: DataFrame) -> DataFrame:
@@ -160,8 +160,12 @@ def _line(margins: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on the rows whose label is 0 or 1. With no rows or one class only, a constant model."""
-    rows = train.filter(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(key_col).alias("draw"))
+    """Fit on the rows whose label is 0 or 1. With no rows or one class only, a constant model.
+
+    Class counts cover all rows; the linear model is fitted on the ``sample`` rows with the least
+    hashes of key and text, of which repeated ones count as often as they occur.
+    """
+    rows = train.filter(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(key_col, text_col).alias("draw"))
     size = 1 << BITS
     counts, totals = np.ones((2, size)), np.zeros(2)
     for r in _class_counts(rows.select("text", "label")).collect():  # at most 2 * (2^BITS + 1) rows
@@ -173,9 +177,8 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "quality", ke
         p = (totals[1] + 0.5) / (totals.sum() + 1)
         return Model(np.zeros(size), np.zeros(size), 0.0, float(np.log(p / (1 - p))))
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
-    share = min(1.0, sample / totals.sum())
-    drawn = rows.filter(F.pmod("draw", F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "label")
-    got = sorted((r["label"], bytes(r["features"])) for r in _feature_rows(drawn).collect())
+    drawn = _feature_rows(rows.select("text", "label", "draw")).orderBy("draw", "label").limit(sample)
+    got = sorted((r["label"], bytes(r["features"])) for r in drawn.select("label", "features").collect())
     found = [np.frombuffer(f, np.int32) for _, f in got]
     positive = np.array([label == 1 for label, _ in got])
     if not len(got) or positive.all() or not positive.any():
@@ -192,7 +195,9 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "quality", ke
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """id, score and predicted for every row, from its whole text; a null text counts as empty.
 
-    A text without any indicator gets the model's score at margin 0. ``keep``: further columns.
+    A text without any indicator gets the model's score at margin 0; a score of exactly 0.5 predicts
+    1. Repeated rows are judged alike, a very long text is read whole, and an empty table gives an
+    empty one. ``keep``: further columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or {}

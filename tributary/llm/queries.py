@@ -35,9 +35,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of all documents, the base rules and the verdict of the cascade."""
     docs = _table(spark, sf_dir, "documents")
     order = rules.ordered(docs)
-    values = {n: F.col(n) for n in rules.measures(F.col("text"))}
-    base = rules.verdict(values, [r for r in order if r in rules.BASE]).isNotNull()
-    found = rules.measured(docs).withColumn("base_failed", base).withColumn("kept", rules.verdict(values, order).isNull())
+    base = rules.verdict({n: F.col(n) for n in rules.BASIC}, rules.BASE).isNotNull()
+    found = rules.judged(docs, order).withColumn("base_failed", base).withColumn("kept", F.col("rejected_by").isNull())
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
