@@ -117,7 +117,7 @@ def test_disclosure_counts_whole_texts_on_both_sides(spark):
     signed = [(500 + i, f"letter {i} on {i * 7} things. " + "-" * 60 + " Quillon ann@x.org " + "-" * 60) for i in range(5)]
     cut = [(600 + i, f"{'ab' * i} Vormidable" + "." * 52 + f"carl@x.org {'yz' * i}") for i in range(1, 5)]
     for rows, term in ((copied, "Zorblax"), (signed, "Quillon")):
-        found = pii.revealing_terms(spark.createDataFrame(rows + noise, "doc_id long, text string"))[0].collect()
+        found = pii.revealing_terms(spark.createDataFrame(rows + noise, "doc_id long, text string")).collect()
         assert {r.term: r.probability for r in found}.get(term) == 1.0
     near = pii._neighbours(spark.createDataFrame(cut, "doc_id long, text string"), "text").collect()
     assert not any((r.term or "").endswith("midable") or (r.term or "").endswith("able") for r in near)

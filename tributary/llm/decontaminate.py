@@ -136,7 +136,8 @@ def _search(docs: DataFrame, patterns: list[tuple[bytes, list[str]]], first: boo
                 all_items.append(sorted(items))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, "id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -149,7 +150,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     patterns = written(_pattern_rows(benchmark, item_col, item_text_col, window), "patterns")
     size = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("pattern") + F.size("items") * 16).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // BLOCK_WINDOWS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for block in range(blocks):
         rows = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
         found = _search(out if block == 0 else written(out, "searched"), [(bytes(r["pattern"]), sorted(r["items"])) for r in rows], block == 0)

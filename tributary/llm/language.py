@@ -205,6 +205,6 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
                     scores.append(float(q[best] / q.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(2 + n)[i:j] for n in range(len(names)))], names=["id", "lang_pred", "score", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in keep.items()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in keep.items()))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join(["id long, lang_pred string, score double", *(f"{n} {kinds[n]}" for n in keep)])).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, ", ".join([f"id {kinds['id']}, lang_pred string, score double", *(f"{n} {kinds[n]}" for n in keep)])).withColumnRenamed("id", id_col)

@@ -74,8 +74,8 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """One row per document: id, n (set size), f1 and f2 (fingerprint of the set), the packed signature."""
-    schema = ", ".join(["id long", "n long", "f1 long", "f2 long", *(f"{c} long" for c in LONGS)])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _signed(it, words), schema)
+    schema = ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}", "n long", "f1 long", "f2 long", *(f"{c} long" for c in LONGS)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _signed(it, words), schema)
 
 
 def _long_signature(shingles: np.ndarray) -> np.ndarray:
@@ -101,8 +101,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(np.append(at[some], at[-1]).astype(np.int32)), pa.array(shingles.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(some)), sets, *(pa.array(longs[:, k]) for k in range(len(LONGER)))], names=["id", "shingles", *LONGER])
 
-    schema = ", ".join(["id long, shingles array<long>", *(f"{c} long" for c in LONGER)])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(build, schema)
+    schema = ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}, shingles array<long>", *(f"{c} long" for c in LONGER)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(build, schema)
 
 
 def _slot(k: int) -> Column:

@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.native import let
-from tributary.llm.scratch import written
+from tributary.llm.native import let, running
+from tributary.llm.scratch import keyed_by, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns. Repetitions are possessive and a run of characters is entered at its start only,
@@ -41,18 +41,16 @@ def _matches(text: Column, pattern: Column, kind: int) -> Column:
     """(kind, start, end, value) of the matches in order, by code points."""
 
     def placed(pairs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+        ends = running(F.transform(pairs, lambda x: x["n"] + F.length(x["value"])), lambda s, n: s + n, F.lit(0))
 
-        def step(s: Column, x: Column) -> Column:
-            begin = s["at"] + F.length(x["before"])
-            end = begin + F.length(x["value"])
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        def spans(e: Column) -> Column:
+            return F.transform(pairs, lambda x, i: F.struct(F.lit(kind).alias("kind"), (F.get(e, i) + x["n"]).alias("start"), F.get(e, i + 1).alias("end"), x["value"].alias("value")))
 
-        return F.aggregate(pairs, start, step, lambda s: s["out"])
+        return let(ends, spans)
 
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = let(found, lambda m: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda b, v: F.struct(b.alias("before"), v.alias("value"))))
-    return placed(pairs)
+    pairs = let(found, lambda m: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda b, v: F.struct(F.length(b).alias("n"), v.alias("value"))))
+    return let(pairs, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -112,8 +110,12 @@ def _neighbours(docs: DataFrame, text_col: str) -> DataFrame:
     return spans.select(F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64("t").alias("whole"), F.explode_outer(terms).alias("term")).distinct()
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """The terms beyond the thresholds as (term, probability, bits, removed), and the rows that hold candidates.
+#: So many terms beyond the thresholds are looked up in every row by a set; more are joined.
+LISTED = 20_000
+
+
+def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The terms beyond the thresholds as (term, probability, bits, removed); none for an empty table.
 
     Everything is counted in different whole texts, so that exact copies of one text prove nothing.
     A term needs ``SUPPORT`` texts that show it beside one entity. Its probability is the share of
@@ -123,9 +125,8 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     mentions = near.groupBy("entity").agg(F.count_distinct("whole").alias("mentions"))
     pairs = near.filter("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
     pairs = written(pairs, "pairs")
-    none = docs.sparkSession.createDataFrame([], "term string, probability double, bits double, removed boolean")
     if pairs.isEmpty():
-        return none, None
+        return docs.sparkSession.createDataFrame([], "term string, probability double, bits double, removed boolean")
     terms = pairs.select("term").distinct()
     # Texts by term are summed before the join, so that a common word among the candidates costs one row a task.
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).groupBy(F.xxhash64("t").alias("whole")).agg(F.first("t").alias("t"))
@@ -138,21 +139,33 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     scored = pairs.join(spread, "term").join(mentions, "entity").select("term", p.alias("probability"), bits.alias("bits"))
     best = scored.groupBy("term").agg(F.max("probability").alias("probability"), F.max_by("bits", "probability").alias("bits"))
     risky = best.filter((F.col("probability") >= GENERALISE) & (F.col("bits") >= LEAST_BITS))
-    risky = written(risky.withColumn("removed", F.col("probability") >= REMOVE), "terms")
-    return risky, None if risky.isEmpty() else terms
+    return written(risky.withColumn("removed", F.col("probability") >= REMOVE), "terms")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
     """Every row as (row, spans, removed): the row itself as a struct, so that no names clash."""
-    risky, some = revealing_terms(docs, text_col)
+    risky = revealing_terms(docs, text_col)
     row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
     rows, spans, removed = docs.select(row), base_spans(text), F.array().cast("array<string>")
-    if some is not None:
-        seen = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)))).alias("term"))
-        held = seen.join(risky, "term").groupBy("id").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
-        rows = rows.join(held, F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")), "left")
+    listed = risky.limit(LISTED + 1).collect()
+    if listed:
+        if len(listed) <= LISTED:
+            # few enough for every task to hold: each row is looked up where it is
+            names = [r["term"] for r in listed]
+            gone = [r["term"] for r in listed if r["removed"]]
+            held = F.filter(tokens, lambda x: x.isin(names))
+            rows = rows.withColumn("terms", held).withColumn("gone", F.filter("terms", lambda x: x.isin(gone)) if gone else removed)
+        else:
+            key = keyed_by(docs)
+            whole = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+            rows = whole.select(F.col(key).alias("key"), row)
+            seen = rows.select("key", F.explode(tokens).alias("term"))
+            held = seen.join(risky, "term").groupBy("key").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+            rows = rows.join(held, "key", "left")
+        some = F.coalesce(F.size("terms"), F.lit(0)) > 0
         pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        spans = F.concat(spans, F.when(F.col("terms").isNotNull(), _matches(text, pattern, 4)).otherwise(F.array().cast(_SPANS)))
+        spans = F.concat(spans, F.when(some, _matches(text, pattern, 4)).otherwise(F.array().cast(_SPANS)))
         removed = F.coalesce("gone", removed)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
     return rows.select("row", ordered.alias("spans"), removed.alias("removed"))
@@ -165,7 +178,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or empty text has none. Terms are matched as whole words, case and all, wherever they stand.
     Rows with a null id are searched like any other.
     """
-    return _marked(docs.select(id_col, text_col), id_col, text_col).select(F.col(f"row.`{id_col}`").alias(id_col), "spans", F.col("removed").alias("removed_terms"))
+    return _marked(docs.select(id_col, text_col), text_col).select(F.col(f"row.`{id_col}`").alias(id_col), "spans", F.col("removed").alias("removed_terms"))
 
 
 def _label(span: Column, removed: Column) -> Column:
@@ -180,14 +193,12 @@ def masked(text: Column, spans: Column, removed: Column) -> Column:
     """The text with each span replaced by its kind; of spans that overlap, the first one's kind stands for all."""
 
     def apart(ordered: Column) -> Column:
-        kind = "array<struct<start:int,kind:int,end:int,value:string>>"
-
-        def step(out: Column, x: Column) -> Column:
-            last = F.element_at(out, -1)
-            joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], x["end"]).alias("end"), last["value"].alias("value"))))
-            return F.when((F.size(out) > 0) & (x["start"] < F.try_element_at(out, F.lit(-1))["end"]), joined).otherwise(F.concat(out, F.array(x)))
+        # a span opens a new one unless one before it ends behind its start
+        def opened(ends: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: F.get(ordered, i)["start"] >= F.get(ends, i))
+            return let(first, lambda f: F.transform(f, lambda i, k: let(F.get(ordered, i), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), F.get(ends, F.coalesce(F.get(f, k + 1), F.size(ordered))).alias("end"), x["value"].alias("value")))))
 
-        return F.aggregate(ordered, F.array().cast(kind), step)
+        return let(running(F.transform(ordered, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), opened)
 
     def joined(s: Column) -> Column:
         pieces = F.transform(s, lambda x, i: let(F.coalesce(F.get(s, i - 1)["end"], F.lit(0)), lambda a: F.concat(F.substring(text, a + 1, x["start"] - a), _label(x, removed))))
@@ -196,9 +207,12 @@ def masked(text: Column, spans: Column, removed: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(apart(spans), joined))
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """All rows with all columns as they were, but for the text, masked, and its length."""
-    found = _marked(docs, id_col, text_col).withColumn("masked", masked(F.col(f"row.`{text_col}`"), F.col("spans"), F.col("removed")))
+def sanitised(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All rows with all columns as they were, but for the text, masked, and its length.
+
+    A null text stays null; repeated rows are masked alike; an empty table gives an empty one.
+    """
+    found = _marked(docs, text_col).withColumn("masked", masked(F.col(f"row.`{text_col}`"), F.col("spans"), F.col("removed")))
 
     def column(name: str) -> Column:
         if name == text_col:

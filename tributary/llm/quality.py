@@ -210,6 +210,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = m.probability(np.array([m.margin(f) for f in features(data, offsets)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(batch.column(2 + k)[i:j] for k in range(len(names)))], names=["id", "score", "predicted", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in keep.items()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in keep.items()))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join(["id long, score double, predicted int", *(f"{n} {kinds[n]}" for n in keep)])).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, ", ".join([f"id {kinds['id']}, score double, predicted int", *(f"{n} {kinds[n]}" for n in keep)])).withColumnRenamed("id", id_col)
