@@ -6,41 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import normal_category
-
-
-def fmtp(text: Column) -> dict[str, Column]:
-    """profile, level_idx and tier of a parameter list; 0, 5 and 0 where absent; null where out of range."""
-    pairs = F.str_to_map(F.regexp_replace(text, r"\s+", ""), F.lit(";"), F.lit("="))
-
-    def field(name: str, default: int, top: int) -> Column:
-        raw = F.try_element_at(pairs, F.lit(name))
-        value = F.coalesce(raw, F.lit(str(default))).try_cast("int")
-        return F.when(value.between(0, top), value)
-
-    return {"profile": field("profile", 0, 2), "level_idx": field("level-idx", 5, 31), "tier": field("tier", 0, 1)}
-
-
-def fmtp_text(profile: Column, level: Column, tier: Column) -> Column:
-    return F.format_string("profile=%d;level-idx=%d;tier=%d", profile, level, tier)
-
-
-def allows(own: dict[str, Column], stream: dict[str, Column]) -> Column:
-    """Whether a receiver's parameters admit a stream's: no higher profile, no higher level, tier no higher at its level."""
-    order = F.struct(stream["level_idx"].alias("l"), stream["tier"].alias("t")) <= F.struct(own["level_idx"].alias("l"), own["tier"].alias("t"))
-    return (stream["profile"] <= own["profile"]) & order
-
-
-def rtpmap(line: Column) -> dict[str, Column]:
-    """Payload type, codec and clock rate of an ``a=rtpmap:`` line; nulls where it is none."""
-    shape = r"^a=rtpmap:(\d{1,3}) ([A-Za-z0-9-]+)/(\d+)$"
-    ok = line.rlike(shape)
-    return {"payload_type": F.when(ok, F.regexp_extract(line, shape, 1).cast("int")), "codec": F.when(ok, F.regexp_extract(line, shape, 2)), "clock": F.when(ok, F.regexp_extract(line, shape, 3).cast("int"))}
-
-
-def simulcast(line: Column) -> Column:
-    """Lists of alternatives of the send direction of an ``a=simulcast:`` line."""
-    sent = F.regexp_extract(line, r"send ([^ ]+)", 1)
-    return F.when(sent != "", F.transform(F.split(sent, ";"), lambda x: F.split(x, ",")))
+from tributary.functions.sdp import allows, fmtp, fmtp_text, rtpmap, simulcast
 
 
 def fragments(size: Column, mtu: int) -> Column:

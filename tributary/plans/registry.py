@@ -340,15 +340,6 @@ def determinism_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.deterministic(S.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], F.md5((F.col("o_custkey") % 7).cast("string").cast("binary")))
 
 
-@query("""with l as (select event_id, 'profile=' || event_id % 4 || case when event_id % 3 = 0 then '' else '; level-idx=' || event_id % 40 end || ';tier=' || event_id % 3 as line from events),
-p as (select event_id, cast(regexp_extract(line, 'profile=(\\d+)', 1) as int) as a, cast(coalesce(nullif(regexp_extract(line, 'level-idx=(\\d+)', 1), ''), '5') as int) as b, cast(regexp_extract(line, 'tier=(\\d+)', 1) as int) as c from l)
-select event_id, case when a between 0 and 2 then a end as profile, case when b between 0 and 31 then b end as level_idx, case when c between 0 and 1 then c end as tier from p""")
-def sdp_fmtp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id")
-    line = F.concat(F.lit("profile="), i % 4, F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("; level-idx="), i % 40)), F.lit(";tier="), i % 3)
-    return S.table(spark, sf_dir, "events").select("event_id", *[v.alias(k) for k, v in T.fmtp(line).items()])
-
-
 @query("select doc_id, case when n_chars < 128 then 1 when n_chars < 16384 then 2 when n_chars < 2097152 then 3 else 4 end as coded_bytes from documents")
 def leb128_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", C.leb128_length(F.col("n_chars")).alias("coded_bytes"))
@@ -478,3 +469,7 @@ def summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark's own cube over two dimensions; the reference has overall and per-category rows only."""
     out = S.table(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), (F.grouping("c_mktsegment") + 2 * F.grouping("c_nationkey")).cast("long").alias("level"))
     return out.select(F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), F.coalesce(F.col("c_nationkey").cast("string"), F.lit("all")).alias("nation"), "n", "mean", "level")
+
+
+# Further queries, which register themselves.
+from tributary.plans import description  # noqa: E402, F401
