@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import columns as C
 from tributary.sources import containers as K
+from tributary.sources import rtcp as RC
 
 
 def frame(spark, *contents):
@@ -56,7 +57,7 @@ def test_rtp_extensions_and_padding(spark):
 def test_rtcp_compound(spark):
     report = struct.pack(">BBHI", 0x81, 201, 7, 1) + struct.pack(">IIIIII", 2, (25 << 24) | 0xFFFFFF, 3, 4, 5, 6)
     nack = struct.pack(">BBHII", 0x81, 205, 3, 1, 2) + struct.pack(">HH", 10, 3)
-    rows = K.rtcp_packets(frame(spark, report + nack, report[:-1])).orderBy("k", "idx").collect()
+    rows = RC.rtcp_packets(frame(spark, report + nack, report[:-1])).orderBy("k", "idx").collect()
     good = [r for r in rows if r.k == 0]
     assert (good[0].reports[0].lost, good[0].reports[0].fraction_lost) == (-1, 25)
     assert [(n.pid, n.mask) for n in good[1].nacks] == [(10, 3)]

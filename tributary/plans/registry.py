@@ -12,6 +12,7 @@ from tributary.operators import quality as Q
 from tributary.operators import relational as RL
 from tributary.operators import transport as R
 from tributary.sources import containers as K
+from tributary.sources import rtcp as RC
 from tributary.sources import tables as S
 from tributary.streaming import state as ST
 
@@ -417,8 +418,8 @@ def rtp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rtcp_nack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss pairs of each stream in one feedback packet, and read back."""
     pairs = R.packed_nacks(S.lost(spark, sf_dir)).groupBy("ssrc").agg(F.array_sort(F.collect_list(F.struct((F.col("pid") % 65536).alias("pid"), "mask"))).alias("pairs"))
-    coded = pairs.select(K.nack_bytes(F.col("pairs"), F.lit(1), F.col("ssrc")).alias("content"))
-    return K.rtcp_packets(coded).select("media_ssrc", F.explode("nacks").alias("n")).select("media_ssrc", "n.pid", "n.mask")
+    coded = pairs.select(RC.nack_bytes(F.col("pairs"), F.lit(1), F.col("ssrc")).alias("content"))
+    return RC.rtcp_packets(coded).select("media_ssrc", F.explode("nacks").alias("n")).select("media_ssrc", "n.pid", "n.mask")
 
 
 def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,4 +473,4 @@ def summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries, which register themselves.
-from tributary.plans import description  # noqa: E402, F401
+from tributary.plans import description, payload  # noqa: E402, F401

@@ -173,6 +173,18 @@ def annexb_units(rows: DataFrame, content: str = "content") -> DataFrame:
     return _scan(rows, content, _UNIT.replace("type int", "frame_unit int, type int"), _annexb)
 
 
+def resized(raw: Column) -> Column:
+    """A unit's bytes with a size field: as they are if they have one, else with the flag set and the size put in.
+
+    Null for fewer bytes than the header has.
+    """
+    first = F.conv(F.hex(F.substring(raw, 1, 1)), 16, 10).cast("int")
+    head = F.when(first.bitwiseAND(F.lit(4)) != 0, 2).otherwise(1)
+    flagged = F.concat(_be(first.bitwiseOR(F.lit(2)), 1), F.substring(raw, F.lit(2), head - 1))
+    made = F.when(first.bitwiseAND(F.lit(2)) != 0, raw).otherwise(F.concat(flagged, _sized(F.substring(raw, head + 1, F.lit(1 << 30)))))
+    return F.when(F.octet_length(raw) >= head, made)
+
+
 def _sized(bytes_: Column) -> Column:
     """Bytes behind their length as a variable-length integer."""
     groups = F.transform(leb128_bytes(F.octet_length(bytes_).cast("long")), lambda x: F.lpad(F.hex(x), 2, "0"))
@@ -247,39 +259,45 @@ def rtp_packets(rows: DataFrame, content: str = "content") -> DataFrame:
     return _scan(rows, content, "marker boolean, payload_type int, seq int, timestamp long, ssrc long, csrc array<long>, profile int, extensions array<struct<id:int,payload:binary>>, payload binary", _rtp)
 
 
+def extension(elements: Column, profile: Column, number: Column | int) -> Column:
+    """The payload of the element with an id; null if there is none, or if the id can't be one of the profile."""
+    number = number if isinstance(number, Column) else F.lit(number)
+    found = F.get(F.filter(elements, lambda x: x["id"] == number), 0)["payload"]
+    return F.when((number > 0) & ((profile != 0xBEDE) | (number < 15)), found)
+
+
+def joined_bytes(parts: Column) -> Column:
+    """The bytes of a short array of binaries, one behind the other."""
+    return F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x)), ""))
+
+
+def _padded(bytes_: Column, step: int = 4) -> Column:
+    """Bytes filled up with zeros to a multiple of ``step``."""
+    return F.concat(bytes_, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.octet_length(bytes_), F.lit(step)))))
+
+
+def rtp_packet_bytes(marker: Column, payload_type: Column, seq: Column, timestamp: Column, ssrc: Column, payload: Column, csrc: Column, extensions: Column, padding: Column) -> Column:
+    """A packet with sources, one-byte-header extension elements (id, payload) and padding; 0 bytes of padding are none."""
+    body = _padded(joined_bytes(F.transform(extensions, lambda x: F.concat(_be(x["id"] * 16 + F.octet_length(x["payload"]) - 1, 1), x["payload"]))))
+    extended = F.size(extensions) > 0
+    first = 0x80 + F.when(padding > 0, 0x20).otherwise(0) + F.when(extended, 0x10).otherwise(0) + F.size(csrc)
+    head = F.concat(_be(first, 1), _be(F.when(marker, 128).otherwise(0) + payload_type, 1), _be(seq, 2), _be(timestamp, 4), _be(ssrc, 4), joined_bytes(F.transform(csrc, lambda x: _be(x, 4))))
+    middle = F.when(extended, F.concat(_be(F.lit(0xBEDE), 2), _be(F.octet_length(body) / 4, 2), body)).otherwise(F.unhex(F.lit("")))
+    last = F.when(padding > 0, F.concat(F.unhex(F.repeat(F.lit("00"), (padding - 1).cast("int"))), _be(padding, 1))).otherwise(F.unhex(F.lit("")))
+    return F.concat(head, middle, payload, last)
+
+
+def rtx_bytes(payload_type: Column, seq: Column, timestamp: Column, ssrc: Column, original_seq: Column, payload: Column, marker: Column) -> Column:
+    """A packet sent again: a stream of its own, with the original sequence number before the payload."""
+    return rtp_bytes(marker, payload_type, seq, timestamp, ssrc, F.concat(_be(original_seq, 2), payload))
+
+
+def rtx_original(payload: Column) -> tuple[Column, Column]:
+    """(original sequence number, original payload) of a packet sent again; nulls for a payload of less than two bytes."""
+    whole = F.octet_length(payload) >= 2
+    return F.when(whole, F.conv(F.hex(F.substring(payload, 1, 2)), 16, 10).cast("int")), F.when(whole, F.substring(payload, 3, 1 << 30))
+
+
 def rtp_bytes(marker: Column, payload_type: Column, seq: Column, timestamp: Column, ssrc: Column, payload: Column) -> Column:
     """A packet without sources or extensions."""
     return F.concat(_be(F.lit(0x80), 1), _be(F.when(marker, 128).otherwise(0) + payload_type, 1), _be(seq, 2), _be(timestamp, 4), _be(ssrc, 4), payload)
-
-
-def _rtcp(data: bytes) -> Iterator[dict]:
-    at, i = 0, 0
-    while at < len(data):
-        first, kind, words = struct.unpack(">BBH", _take(data, at, 4, "report header"))
-        if first >> 6 != 2:
-            raise ValueError("not version 2")
-        body = _take(data, at + 4, 4 * words, "report")
-        row = {"idx": i, "type": kind, "count": first & 31, "ssrc": None, "media_ssrc": None, "nacks": None, "reports": None}
-        if kind in (200, 201):
-            row["ssrc"] = struct.unpack(">I", _take(body, 0, 4, "report"))[0]
-            start, row["reports"] = 24 if kind == 200 else 4, []
-            for k in range(first & 31):
-                ssrc, lost, high, jitter, lsr, delay = struct.unpack(">IIIIII", _take(body, start + 24 * k, 24, "report block"))
-                row["reports"].append({"ssrc": ssrc, "fraction_lost": lost >> 24, "lost": (lost & 0xFFFFFF) - (1 << 24 if lost & 0x800000 else 0), "highest": high, "jitter": jitter, "lsr": lsr, "delay": delay})
-        elif kind in (205, 206):
-            row["ssrc"], row["media_ssrc"] = struct.unpack(">II", _take(body, 0, 8, "feedback"))
-            if kind == 205 and first & 31 == 1:
-                row["nacks"] = [dict(zip(("pid", "mask"), struct.unpack(">HH", _take(body, k, 4, "pair")), strict=True)) for k in range(8, len(body), 4)]
-        yield row
-        at, i = at + 4 + 4 * words, i + 1
-
-
-def rtcp_packets(rows: DataFrame, content: str = "content") -> DataFrame:
-    """The packets of compound reports: report blocks of senders and receivers, and loss pairs."""
-    return _scan(rows, content, "idx int, type int, count int, ssrc long, media_ssrc long, nacks array<struct<pid:int,mask:int>>, reports array<struct<ssrc:long,fraction_lost:int,lost:int,highest:long,jitter:long,lsr:long,delay:long>>", _rtcp)
-
-
-def nack_bytes(pairs: Column, ssrc: Column, media: Column) -> Column:
-    """A feedback packet of (pid, mask) pairs."""
-    listed = F.transform(pairs, lambda p: F.concat(F.lpad(F.hex(p["pid"]), 4, "0"), F.lpad(F.hex(p["mask"]), 4, "0")))
-    return F.concat(_be(F.lit(0x81), 1), _be(F.lit(205), 1), _be(F.size(pairs) + 2, 2), _be(ssrc, 4), _be(media, 4), F.unhex(F.array_join(listed, "")))
