@@ -41,7 +41,7 @@ def test_session_description(spark):
 
 
 def test_allows(spark):
-    df = spark.createDataFrame([("profile=1;level-idx=8;tier=0", "profile=0;level-idx=8;tier=0"), ("profile=0;level-idx=5;tier=0", "profile=0;level-idx=5;tier=1")], "a string, b string")
+    df = spark.createDataFrame([("profile=1;level-idx=8;tier=0", "profile=0;level-idx=8;tier=0"), ("profile=0;level-idx=8;tier=0", "profile=0;level-idx=8;tier=1")], "a string, b string")
     assert [r[0] for r in df.select(T.allows(T.fmtp(F.col("a")), T.fmtp(F.col("b")))).collect()] == [True, False]
 
 

@@ -44,15 +44,24 @@ def bd_rate(points: DataFrame, anchor: str) -> DataFrame:
     """Mean rate difference to the anchor at equal quality, in percent.
 
     Log rate is fitted by a cubic of the metric, centred and scaled over both curves, and the
-    difference of the integrals over the common range of metrics is turned into a percentage. A row
-    has a status: too few points on a curve, no common range, or ok.
+    difference of the integrals over the common range of metrics is turned into a percentage. Every
+    pair of a clip and another encoder has a row with a status: no anchor, too few points on a curve,
+    an invalid point (a rate that is not positive, or no number), a repeated metric, no common range,
+    or ok.
     """
+    number = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf"))
+    sound = F.coalesce(number(F.col("rate")) & number(F.col("metric")) & (F.col("rate") > 0), F.lit(False))
     a = points.filter(F.col("encoder") == anchor).select("clip", "rate", "metric")
     c = points.filter(F.col("encoder") != anchor).select("clip", "encoder", "rate", "metric")
-    ra = a.groupBy("clip").agg(F.min("metric").alias("a_low"), F.max("metric").alias("a_high"))
-    rc = c.groupBy("clip", "encoder").agg(F.min("metric").alias("c_low"), F.max("metric").alias("c_high"))
-    ranges = rc.join(ra, "clip").select("clip", "encoder", F.greatest("a_low", "c_low").alias("low"), F.least("a_high", "c_high").alias("high"),
-                                        ((F.least("a_low", "c_low") + F.greatest("a_high", "c_high")) / 2).alias("centre"), ((F.greatest("a_high", "c_high") - F.least("a_low", "c_low")) / 2).alias("scale"))
+
+    def judged(curve: DataFrame, of: list[str], p: str) -> DataFrame:
+        return curve.groupBy(*of).agg(F.count(F.lit(1)).alias(f"{p}_n"), F.count_if(~sound).alias(f"{p}_bad"), F.count_distinct("metric").alias(f"{p}_different"), F.min("metric").alias(f"{p}_low"), F.max("metric").alias(f"{p}_high"))
+
+    all_ = judged(c, ["clip", "encoder"], "c").join(judged(a, ["clip"], "a"), "clip", "left")
+    fault = F.when(F.col("a_n").isNull(), "no anchor").when((F.col("a_n") < POINTS) | (F.col("c_n") < POINTS), "too few points").when((F.col("a_bad") > 0) | (F.col("c_bad") > 0), "invalid point").when((F.col("a_different") < F.col("a_n")) | (F.col("c_different") < F.col("c_n")), "repeated metric")
+    low, high = F.greatest("a_low", "c_low"), F.least("a_high", "c_high")
+    all_ = all_.withColumn("status", F.coalesce(fault, F.when(high <= low, "no overlap"), F.lit("ok"))).withColumn("low", F.when(F.col("a_n").isNotNull(), low)).withColumn("high", F.when(F.col("a_n").isNotNull(), high))
+    ranges = all_.filter("status = 'ok'").select("clip", "encoder", "low", "high", ((F.least("a_low", "c_low") + F.greatest("a_high", "c_high")) / 2).alias("centre"), ((F.greatest("a_high", "c_high") - F.least("a_low", "c_low")) / 2).alias("scale"))
     keys = ["clip", "encoder"]
     both = _sums(c.join(ranges, keys), "c", keys).join(_sums(a.join(ranges, "clip"), "a", keys).drop("centre", "scale", "low", "high"), keys)
     lo, hi = (F.col("low") - F.col("centre")) / F.col("scale"), (F.col("high") - F.col("centre")) / F.col("scale")
@@ -60,9 +69,9 @@ def bd_rate(points: DataFrame, anchor: str) -> DataFrame:
     def area(k: list[Column]) -> Column:
         return sum(((F.pow(hi, F.lit(i + 1)) - F.pow(lo, F.lit(i + 1))) * k[i] / (i + 1) for i in range(4)), F.lit(0.0))
 
-    status = F.when((F.col("an") < POINTS) | (F.col("cn") < POINTS), "too few points").when(F.col("high") <= F.col("low"), "no overlap").otherwise("ok")
     gain = (F.exp((area(_fit("c")) - area(_fit("a"))) / (hi - lo)) - 1) * 100
-    return both.withColumn("status", status).select("clip", "encoder", "low", "high", F.when(F.col("status") == "ok", F.round(gain, 3)).alias("bd_rate"), "status")
+    gains = both.select("clip", "encoder", F.round(gain, 3).alias("bd_rate"))
+    return all_.join(gains, keys, "left").select("clip", "encoder", "low", "high", "bd_rate", "status")
 
 
 def bd_rate_groups(rates: DataFrame) -> DataFrame:
@@ -102,3 +111,41 @@ def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFra
 def deterministic(runs: DataFrame, keys: list[str], digest: Column) -> DataFrame:
     """Whether all runs of a group have one digest."""
     return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.count_distinct(digest).alias("digests")).withColumn("same", F.col("digests") <= 1)
+
+
+def summary_grid(summaries: DataFrame, groups: DataFrame, encoders: list[str], metrics: list[str]) -> DataFrame:
+    """Every (clip, encoder, metric) with its summary; one that is missing is an error row."""
+    grid = groups.select("clip", F.explode(F.array(*map(F.lit, encoders))).alias("encoder")).withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
+    found = grid.join(summaries, ["clip", "encoder", "metric"], "left")
+    return found.withColumn("status", F.when(F.col("status").isNull(), "missing clip summary").otherwise(F.col("status")))
+
+
+def parallelism_by_bitrate(jobs: DataFrame, encoder: str, value: Column, order: str) -> DataFrame:
+    """The parallelism that the last sound job of each bitrate was seen with."""
+    sound = jobs.filter((F.col("encoder") == encoder) & (F.col("status") == "ok")).withColumn("value", value).filter((F.col("value") > 0) & ~F.isnan("value") & (F.col("value") < float("inf")))
+    return sound.groupBy("bitrate").agg(F.max_by("value", order).alias("parallelism"))
+
+
+def accumulated(rows: DataFrame, keys: list[str], counters: str) -> DataFrame:
+    """Sums of arrays of counters, place by place."""
+    places = rows.select(*keys, F.posexplode(counters).alias("place", "value"))
+    return places.groupBy(*keys, "place").agg(F.sum("value").alias("total"))
+
+
+def decoder_summary(runs: DataFrame, decoder: str, value: str, base: str) -> DataFrame:
+    """Upper median of each decoder's runs, and its ratio to that of the base decoder."""
+    medians = order_statistics(runs, [decoder], value).select(decoder, "median")
+    one = F.max(F.when(F.col(decoder) == base, F.col("median"))).over(Window.partitionBy(F.lit(0)))  # a row per decoder
+    return medians.select(decoder, "median", (F.col("median") / one).alias("ratio"))
+
+
+def run_order(jobs: DataFrame, keys: list[str], passes: int, seed: int) -> DataFrame:
+    """Every job once a pass, shuffled within the pass by a digest of seed, pass and job."""
+    rows = jobs.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pass").cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("pass").orderBy(digest, *keys)))
+
+
+def shared_paths(artifacts: DataFrame, path: str, label: str) -> DataFrame:
+    """Paths that more than one artifact would be written to, with their labels."""
+    return artifacts.groupBy(path).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels")).filter("n > 1")

@@ -115,17 +115,27 @@ def clamped_bitrate(packets: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def buffer_levels(packets: DataFrame, drain: int, size: int, chunk: int = 512) -> DataFrame:
-    """Level of a leaky buffer after each packet: a running sum held to 0..size.
+    """Level of a leaky buffer after each packet: a running sum held to 0..size."""
+    return held_sums(packets.select("ssrc", "ext_seq", (F.col("size") - drain).alias("add")), 0, size, chunk)
+
+
+def rate_levels(packets: DataFrame, budget: int, surplus: int, chunk: int = 512) -> DataFrame:
+    """Level of a rate controller's buffer after each frame: its budget less its size is added, held to 24 frames of debt and ``surplus`` of credit."""
+    return held_sums(packets.select("ssrc", "ext_seq", (F.lit(budget) - F.col("size")).alias("add")), -24 * budget, max(surplus, 1) * budget, chunk)
+
+
+def held_sums(steps: DataFrame, low: int, high: int, chunk: int = 512) -> DataFrame:
+    """Running sums of ``add`` per stream from 0, held to low..high after each step.
 
     Clamped additions compose to clamped additions, so chunks of a stream are folded on their own
     first, then the levels between chunks, and last the levels within each chunk.
     """
-    rows = packets.select("ssrc", "ext_seq", (F.col("size") - drain).alias("add"), F.floor(F.col("ext_seq") / chunk).alias("chunk"))
+    rows = steps.select("ssrc", "ext_seq", F.col("add").cast("long").alias("add"), F.floor(F.col("ext_seq") / chunk).alias("chunk"))
     parts = rows.groupBy("ssrc", "chunk").agg(F.array_sort(F.collect_list(F.struct("ext_seq", "add"))).alias("steps"))
-    whole = F.struct(F.lit(0).cast("long").alias("add"), F.lit(0).cast("long").alias("low"), F.lit(size).cast("long").alias("high"))
+    whole = F.struct(F.lit(0).cast("long").alias("add"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
 
     def composed(m, x):
-        return F.struct((m["add"] + x["add"]).alias("add"), clamp(m["low"] + x["add"], 0, size).cast("long").alias("low"), clamp(m["high"] + x["add"], 0, size).cast("long").alias("high"))
+        return F.struct((m["add"] + x["add"]).alias("add"), clamp(m["low"] + x["add"], low, high).cast("long").alias("low"), clamp(m["high"] + x["add"], low, high).cast("long").alias("high"))
 
     maps = parts.groupBy("ssrc").agg(F.array_sort(F.collect_list(F.struct("chunk", F.aggregate("steps", whole, composed).alias("map")))).alias("maps"))
     begun = F.array().cast("array<struct<chunk:bigint,before:bigint,after:bigint>>")
@@ -140,11 +150,52 @@ def buffer_levels(packets: DataFrame, drain: int, size: int, chunk: int = 512) -
 
     def within(out, x):
         before = F.coalesce(F.try_element_at(out, F.lit(-1))["level"], F.col("before"))
-        return F.concat(out, F.array(F.struct(x["ext_seq"].alias("ext_seq"), clamp(before + x["add"], 0, size).cast("long").alias("level"))))
+        return F.concat(out, F.array(F.struct(x["ext_seq"].alias("ext_seq"), clamp(before + x["add"], low, high).cast("long").alias("level"))))
 
     return parts.join(starts, ["ssrc", "chunk"]).select("ssrc", F.explode(F.aggregate("steps", levels, within)).alias("p")).select("ssrc", "p.ext_seq", "p.level")
 
 
+def repaired_at(requests: DataFrame, sent: DataFrame, slots: int = 64) -> DataFrame:
+    """Requested packets (ssrc, seq, at) that a cache of ``slots`` slots holds when they are asked for.
+
+    ``at`` is the last packet sent before the request; a slot keeps the last packet stored in it by
+    then. Packets sent again are numbered by stream in the order of the requests.
+    """
+    stored = sent.select("ssrc", (F.col("ext_seq") % slots).alias("slot"), F.col("ext_seq").alias("at"), F.lit(0).alias("turn"), F.struct(F.col("ext_seq").alias("seq"), "size").alias("stored"), F.lit(None).cast("long").alias("seq"))
+    asked = requests.select("ssrc", (F.col("seq") % slots).alias("slot"), "at", F.lit(1).alias("turn"), F.lit(None).cast(stored.schema["stored"].dataType).alias("stored"), "seq")
+    order = Window.partitionBy("ssrc", "slot").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    found = stored.unionByName(asked).withColumn("held", F.last("stored", ignorenulls=True).over(order)).filter((F.col("turn") == 1) & (F.col("held.seq") == F.col("seq")))
+    return found.select("ssrc", "seq", "at", "held.size", F.row_number().over(Window.partitionBy("ssrc").orderBy("at", "seq")).cast("long").alias("rtx_seq"))
+
+
+def reference_frames(pictures: DataFrame, stream: str, picture: str, slots: str, refreshes: str) -> DataFrame:
+    """For each picture and each of its reference slots the last picture that refreshed the slot before; null if none did.
+
+    ``slots`` is an array of slot numbers, ``refreshes`` an array of those that the picture refreshes.
+    """
+    stored = pictures.select(stream, picture, F.explode(refreshes).alias("slot"), F.lit(1).alias("turn"), F.lit(None).cast("int").alias("place"), F.col(picture).alias("stored"))
+    asked = pictures.select(stream, picture, F.posexplode(slots).alias("place", "slot")).select(stream, picture, "slot", F.lit(0).alias("turn"), "place", F.lit(None).cast(pictures.schema[picture].dataType).alias("stored"))
+    order = Window.partitionBy(stream, "slot").orderBy(picture, "turn").rowsBetween(Window.unboundedPreceding, 0)
+    return stored.unionByName(asked).withColumn("reference", F.last("stored", ignorenulls=True).over(order)).filter("turn = 0").select(stream, picture, "place", "slot", "reference")
+
+
+def unit_events(units: DataFrame, stream: str, order: str) -> DataFrame:
+    """What each unit does: a frame header again after the first of its frame is ignored, a delimiter ends a pending frame."""
+    kind = F.col("type")
+    last = F.last(F.when(kind.isin(2, 3, 6), kind), ignorenulls=True).over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    names = {1: "sequence", 2: "delimiter", 3: "frame header", 4: "tiles", 5: "metadata", 6: "frame", 8: "tile list", 15: "padding"}
+    event = F.when(kind == 7, F.when(last == 3, "ignored").otherwise("frame header"))
+    for number, name in names.items():
+        event = event.when(kind == number, name)
+    return units.withColumn("event", event.otherwise("reserved"))
+
+
+def layer_outputs(outputs: DataFrame, keys: list[str], order: str, spatial: str, pinned: int = -1) -> DataFrame:
+    """The output of each group that is shown: the last one of the pinned layer (null if there is none), or the last of all; and how many there were."""
+    taken = F.when(F.lit(pinned < 0) | (F.col(spatial) == pinned), F.struct(order, spatial))
+    return outputs.groupBy(*keys).agg(F.max(taken).alias("t"), F.count(F.lit(1)).alias("completed")).select(*keys, "t.*", "completed")
+
+
 def sessions(units: DataFrame) -> DataFrame:
     """Runs of units between sequence starts (a sign-up starts a new coded sequence)."""
     order = Window.partitionBy("user_id").orderBy("event_id")

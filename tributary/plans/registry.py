@@ -250,12 +250,6 @@ def block_me_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.best_references(S.blocks(spark, sf_dir))
 
 
-@query(_bl(""", v as (select vec_id, cast(len(list_distinct(q)) as int) as colours, cast(list_sum(list_transform(q, lambda x: x * x)) as bigint) - ((cast(list_sum(q) as bigint) * cast(list_sum(q) as bigint)) >> 6) as spread from bl)
-select *, colours between 2 and 40 and spread > 1000 as screen from v"""))
-def screen_content_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.content_class(S.blocks(spark, sf_dir))
-
-
 def _rp(rest: str) -> str:
     return f"with {S.POINTS}{rest}"
 
@@ -298,9 +292,10 @@ xs as (select clip, encoder, low, high, (l + h) / 2 as centre, (h - l) / 2 as sc
 cc as (select clip, encoder, {_powers('c')} from (select clip, encoder, (metric - centre) / scale as x, ln(rate) as y from rp join xs using (clip, encoder)) group by 1, 2),
 aa as (select clip, encoder, {_powers('a')} from (select xs.clip, xs.encoder, (metric - centre) / scale as x, ln(rate) as y from rp join xs on rp.clip = xs.clip and rp.encoder = 'A') group by 1, 2),
 bd as (select clip, encoder, low, high, (low - centre) / scale as lo, (high - centre) / scale as hi, cc.* exclude (clip, encoder), aa.* exclude (clip, encoder) from xs join cc using (clip, encoder) join aa using (clip, encoder)),
-br as (select clip, encoder, low, high, case when an < 4 or cn < 4 then 'too few points' when high <= low then 'no overlap' else 'ok' end as status, round((exp(({_curve('c')} - {_curve('a')}) / (hi - lo)) - 1) * 100, 3) as gain from bd) """)
+fl as (select clip, encoder, min(rate) <= 0 as bad, count(distinct metric) < count(*) as twice from rp group by 1, 2),
+br as (select clip, encoder, low, high, case when an < 4 or cn < 4 then 'too few points' when f.bad or g.bad then 'invalid point' when f.twice or g.twice then 'repeated metric' when high <= low then 'no overlap' else 'ok' end as status, round((exp(({_curve('c')} - {_curve('a')}) / (hi - lo)) - 1) * 100, 3) as gain from bd join fl f using (clip, encoder) join fl g on g.clip = bd.clip and g.encoder = 'A') """)
 ORACLE_SQL["bd_rate"] = BD + "select clip, encoder, low, high, case when status = 'ok' then gain end as bd_rate, status from br"
-ORACLE_SQL["bd_rate_groups"] = BD + "select coalesce(encoder, 'all') as encoder, case when count(*) filter (status <> 'ok') = 0 then round(avg(gain), 2) end as mean, count(*) as clips, count(*) filter (status <> 'ok') as failed from br group by grouping sets ((encoder), ())"
+ORACLE_SQL["bd_rate_groups"] = BD + "select coalesce(encoder, 'all') as encoder, case when count(*) filter (status <> 'ok') = 0 then round(avg(case when status = 'ok' then gain end), 2) end as mean, count(*) as clips, count(*) filter (status <> 'ok') as failed from br group by grouping sets ((encoder), ())"
 
 
 @query("""with r as (select p_brand, p_retailprice, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_partkey) - 1 as i, count(*) over (partition by p_brand) as n from part),
@@ -376,12 +371,17 @@ def motion_vector_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "x", C.lower_mv_precision(x).alias("lowered"), C.lower_mv_precision(x, True).alias("whole"), F.shiftright(x, 3).alias("origin"), x.bitwiseAND(F.lit(7)).alias("part"))
 
 
+#: Bytes of a file or stream, about; longer ones are written as several.
+FILE = 64 << 20
+
+
 @query("""select source, cast(row_number() over (partition by source order by doc_id) - 1 as int) as idx, doc_id * 3000 as pts, octet_length(encode(text)) as size, md5(text) as digest from documents""")
 def ivf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts written as the frames of a file per source, and read back."""
     docs = S.table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").alias("idx"), (F.col("doc_id") * 3000).alias("pts"), F.encode("text", "utf-8").alias("payload"))
-    frames = K.ivf_frames(K.ivf_file(docs, ["source"], 64, 64, 90000, 1))
-    return frames.select("source", "idx", "pts", F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("digest"))
+    parts = K.segmented(docs, ["source"], "doc_id", F.octet_length("payload").cast("long") + 12, FILE)
+    frames = K.ivf_frames(K.ivf_file(parts, ["source", "segment", "first"], 64, 64, 90000, 1))
+    return frames.select("source", (F.col("first") + F.col("idx")).alias("idx"), "pts", F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("digest"))
 
 
 UNIT_ROWS = f"""with {S.UNITS}, k as (select user_id, event_id, case when type = 2 then 3 else type end as type, t, s, event_type from ob)
@@ -389,21 +389,37 @@ select user_id, cast(row_number() over (partition by user_id order by event_id)
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.units(spark, sf_dir).select("user_id", "event_id", F.when(F.col("type") == 2, 3).otherwise(F.col("type")).alias("type"), "t", "s", F.encode("event_type", "utf-8").alias("payload"))
+    rows = S.units(spark, sf_dir).select("user_id", "event_id", F.when(F.col("type") == 2, 3).otherwise(F.col("type")).alias("type"), "t", "s", F.encode("event_type", "utf-8").alias("payload"))
+    return K.segmented(rows, ["user_id"], "event_id", F.octet_length("payload").cast("long") + 8, FILE)
 
 
 @query(UNIT_ROWS)
 def low_overhead_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units written as one stream per user, and read back."""
-    rows = K.low_overhead_units(K.low_overhead_stream(_coded(spark, sf_dir), ["user_id"], "event_id"))
-    return rows.select("user_id", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+    rows = K.low_overhead_units(K.low_overhead_stream(_coded(spark, sf_dir), ["user_id", "segment", "first"], "event_id"))
+    return rows.select("user_id", (F.col("first") + F.col("idx")).alias("idx"), "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
 
 
 @query(UNIT_ROWS)
 def annexb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units written length by length, and read back."""
-    rows = K.annexb_units(K.annexb_stream(_coded(spark, sf_dir), ["user_id"], "event_id"))
-    return rows.select("user_id", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+    rows = K.annexb_units(K.annexb_stream(_coded(spark, sf_dir), ["user_id", "segment", "first"], "event_id"))
+    return rows.select("user_id", (F.col("first") + F.col("idx")).alias("idx"), "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(UNIT_ROWS.replace("select user_id, cast(row", "select user_id, cast((row_number() over (partition by user_id order by event_id) - 1) // 10 as int) as temporal_unit, cast(row", 1))
+def annexb_temporal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units written as temporal units of ten, and read back."""
+    coded = _coded(spark, sf_dir).withColumn("ten", F.floor(F.col("place") / 10))
+    rows = K.annexb_units(K.annexb_stream(coded, ["user_id"], "event_id", "ten"))
+    return rows.select("user_id", "temporal_unit", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(UNIT_ROWS)
+def annexb_to_low_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length-delimited streams turned into low-overhead ones, and read back."""
+    streams = K.annexb_as_low_overhead(K.annexb_stream(_coded(spark, sf_dir), ["user_id"], "event_id"), ["user_id"])
+    return K.low_overhead_units(streams).select("user_id", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
 
 
 @query(_pk(" select event_id, event_id % 5 = 0 as marker, cast(96 + event_id % 4 as int) as payload_type, cast(seq as int) as seq, (event_id * 3000) % 4294967296 as timestamp, ssrc, event_type as payload from pk"))
@@ -416,8 +432,8 @@ def rtp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NACKS + "select ssrc as media_ssrc, cast(pid % 65536 as int) as pid, cast(mask as int) as mask from np")
 def rtcp_nack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss pairs of each stream in one feedback packet, and read back."""
-    pairs = R.packed_nacks(S.lost(spark, sf_dir)).groupBy("ssrc").agg(F.array_sort(F.collect_list(F.struct((F.col("pid") % 65536).alias("pid"), "mask"))).alias("pairs"))
+    """Loss pairs of each stream in feedback packets of at most some sixty pairs, and read back."""
+    pairs = R.packed_nacks(S.lost(spark, sf_dir)).groupBy("ssrc", F.floor(F.col("pid") / 1024)).agg(F.array_sort(F.collect_list(F.struct((F.col("pid") % 65536).alias("pid"), "mask"))).alias("pairs"))
     coded = pairs.select(RC.nack_bytes(F.col("pairs"), F.lit(1), F.col("ssrc")).alias("content"))
     return RC.rtcp_packets(coded).select("media_ssrc", F.explode("nacks").alias("n")).select("media_ssrc", "n.pid", "n.mask")
 
@@ -473,4 +489,4 @@ def summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries, which register themselves.
-from tributary.plans import description, payload  # noqa: E402, F401
+from tributary.plans import bench, description, payload  # noqa: E402, F401

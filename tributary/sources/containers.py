@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from tributary.functions.columns import leb128_bytes
 
@@ -100,7 +101,7 @@ def _be(value: Column, n: int) -> Column:
 
 
 def ivf_file(frames: DataFrame, keys: list[str], width: int, height: int, den: int, num: int) -> DataFrame:
-    """Each group's frames (idx, pts, payload) as the bytes of one file."""
+    """Each group's frames (idx, pts, payload) as the bytes of one file; large groups are cut by :func:`segmented` first."""
     record = F.concat(_le(F.octet_length("payload"), 4), _le(F.col("pts"), 8), F.col("payload"))
     grouped = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", record.alias("bytes")))).alias("f"), F.count(F.lit(1)).alias("n"))
     head = F.concat(F.unhex(F.lit(b"DKIF".hex())), _le(F.lit(0), 2), _le(F.lit(32), 2), F.unhex(F.lit(b"AV01".hex())), _le(F.lit(width), 2), _le(F.lit(height), 2), _le(F.lit(den), 4), _le(F.lit(num), 4), _le(F.col("n"), 4), _le(F.lit(0), 4))
@@ -197,19 +198,37 @@ def unit_bytes(kind: Column, temporal: Column, spatial: Column, payload: Column,
     return F.concat(head, _sized(payload) if sized else payload)
 
 
+def segmented(rows: DataFrame, keys: list[str], order: str, size: Column, limit: int) -> DataFrame:
+    """Rows with ``place`` (from 0) and ``segment`` in their group, and ``first``, the segment's first place.
+
+    A segment holds rows of about ``limit`` bytes, so that what is written from one is bounded
+    however large the group is; segments follow each other.
+    """
+    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).withColumn("segment", F.floor((F.sum(size).over(ahead) - size) / limit))
+    return out.withColumn("first", F.min("place").over(Window.partitionBy(*keys, "segment")))
+
+
 def low_overhead_stream(units: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Each group's units (type, t, s, payload) as one low-overhead stream."""
+    """Each group's units (type, t, s, payload) as one low-overhead stream; large groups are cut by :func:`segmented` first."""
     record = unit_bytes(F.col("type"), F.col("t"), F.col("s"), F.col("payload"))
-    listed = F.array_sort(F.collect_list(F.struct(order, F.hex(record).alias("b"))))
-    return units.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(listed, lambda x: x["b"]), "")).alias("content"))
+    listed = F.array_sort(F.collect_list(F.struct(order, record.alias("b"))))
+    return units.groupBy(*keys).agg(joined_bytes(F.transform(listed, lambda x: x["b"])).alias("content"))
 
 
-def annexb_stream(units: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Each group's units as one temporal unit of one frame unit, length by length."""
+def annexb_stream(units: DataFrame, keys: list[str], order: str, temporal: str | None = None) -> DataFrame:
+    """Each group's units as temporal units of one frame unit, length by length: one for each value of ``temporal``, or one in all."""
     record = _sized(unit_bytes(F.col("type"), F.col("t"), F.col("s"), F.col("payload"), sized=False))
-    listed = F.array_sort(F.collect_list(F.struct(order, F.hex(record).alias("b"))))
-    frame = units.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(listed, lambda x: x["b"]), "")).alias("frame"))
-    return frame.select(*keys, _sized(_sized(F.col("frame"))).alias("content"))
+    rows = units.withColumn("_unit", F.col(temporal) if temporal else F.lit(0))
+    listed = F.array_sort(F.collect_list(F.struct(order, record.alias("b"))))
+    frames = rows.groupBy(*keys, "_unit").agg(_sized(_sized(joined_bytes(F.transform(listed, lambda x: x["b"])))).alias("b"))
+    return frames.groupBy(*keys).agg(joined_bytes(F.transform(F.array_sort(F.collect_list(F.struct("_unit", "b"))), lambda x: x["b"])).alias("content"))
+
+
+def annexb_as_low_overhead(rows: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Length-delimited streams as low-overhead ones."""
+    units = annexb_units(rows.select(*keys, content), content).filter("error is null")
+    return low_overhead_stream(units.withColumnRenamed("temporal_id", "t").withColumnRenamed("spatial_id", "s"), keys, "idx")
 
 
 # --- packets ---------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Stateful packet streams: reordering within a window, and reassembly of fragments.
+"""Stateful packet streams: reordering within a window, and rates per window of event time.
 
 The state of a stream is bounded: at most ``slots`` packets ahead of the next one are held, and a
 packet beyond that window makes the stream jump, which marks the next row as after a loss.
@@ -81,16 +81,22 @@ def reordered_stream(packets: DataFrame, slots: int = 32, idle: str = "10 second
 def reordered_batch(packets: DataFrame, slots: int = 32, order: str = "arrival") -> DataFrame:
     """The same over a finished table: each stream is taken in order of arrival and flushed at its end."""
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        next_seq, lost, held, out = None, False, {}, []
-        rows = rows.sort_values(order)
-        for seq, size in zip(rows["ext_seq"].tolist(), rows["size"].tolist(), strict=True):
-            next_seq, lost, done = release(next_seq, held, lost, seq, size, slots)
-            out += done
-        out += flush(next_seq or 0, held, lost)
-        return pd.DataFrame({"ssrc": [key[0]] * len(out), "ext_seq": [r[0] for r in out], "size": [r[1] for r in out], "after_loss": [r[2] for r in out]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the streams of a task follow each other; only the window of one is held
+        stream, next_seq, lost, held = None, None, False, {}
+        for rows in frames:
+            out: list[tuple[int, int, int, bool]] = []
+            for ssrc, seq, size in zip(rows["ssrc"].tolist(), rows["ext_seq"].tolist(), rows["size"].tolist(), strict=True):
+                if ssrc != stream:
+                    out += [(stream, *r) for r in flush(next_seq or 0, held, lost)]
+                    stream, next_seq, lost, held = ssrc, None, False, {}
+                next_seq, lost, done = release(next_seq, held, lost, seq, size, slots)
+                out += [(ssrc, *r) for r in done]
+            yield pd.DataFrame(out, columns=["ssrc", "ext_seq", "size", "after_loss"])
+        yield pd.DataFrame([(stream, *r) for r in flush(next_seq or 0, held, lost)], columns=["ssrc", "ext_seq", "size", "after_loss"])
 
-    return packets.select("ssrc", "ext_seq", "size", order).groupBy("ssrc").applyInPandas(whole, OUT)
+    rows = packets.select("ssrc", "ext_seq", "size", order).repartition("ssrc").sortWithinPartitions("ssrc", order)
+    return rows.mapInPandas(run, OUT)
 
 
 def windowed_rates(packets: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
