@@ -14,9 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.native import let, running
 from tributary.llm.scratch import keyed_by, written
 
 #: A block of patterns has about so many windows and bytes at most.
@@ -116,28 +117,55 @@ def _pattern_rows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     return rows.groupBy("pattern").agg(F.collect_set("item").alias("items"))
 
 
-def _search(docs: DataFrame, patterns: list[tuple[bytes, list[str]]], first: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+class _Patterns:
+    """Patterns with their items, as they are sent to all tasks; a worker builds the search tables once."""
+
+    def __init__(self, patterns: list[tuple[bytes, list[str]]]):
+        self.patterns, self.tables = patterns, None
+
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+        if self.tables is None:
+            self.tables = WuManber([p for p, _ in self.patterns])
+        spans, found = self.tables.search(words)
+        return spans, sorted({i for p in found for i in self.patterns[p][1]})
+
+    def __getstate__(self) -> dict:
+        return {"patterns": self.patterns, "tables": None}
+
+
+def _search(docs: DataFrame, patterns: list[tuple[bytes, list[str]]]) -> DataFrame:
+    """(id, n_words, spans, items) of every row of (id, text), for one block of patterns."""
+    shared = docs.sparkSession.sparkContext.broadcast(_Patterns(patterns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        tables = WuManber([p for p, _ in known])
         for batch in batches:
             n, all_spans, all_items = [], [], []
-            for k in range(batch.num_rows):
-                words = words_of(batch.column(1)[k].as_py())
-                spans, found = tables.search(words)
-                items = {i for p in found for i in known[p][1]}
-                if not first:
-                    spans = merged([*spans, *((s["start"], s["end"]) for s in batch.column(3)[k].as_py())])
-                    items |= set(batch.column(4)[k].as_py())
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                spans, items = known.search(words)
                 n.append(len(words))
                 all_spans.append([{"start": a, "end": b} for a, b in spans])
-                all_items.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
+                all_items.append(items)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.mapInArrow(run, f"id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+
+
+def _merged_spans(parts: Column) -> Column:
+    """Spans of several searches, in order, those that touch or overlap made one."""
+
+    def joined(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(-1).cast("long"))
+
+        def opened(e: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i)["start"] > F.get(e, i))
+            return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i)["start"].alias("start"), F.get(e, F.coalesce(F.get(f, k + 1), F.size(s))).alias("end"))))
+
+        return let(ends, opened)
+
+    return let(F.array_sort(F.flatten(parts)), joined)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -145,17 +173,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     ``items`` are the ids, as sorted strings, of the items of which a window occurs. Null and empty
     texts have no words; an item without words or without an id has no windows; a shorter item is
-    one window as a whole. Repeated items count once. One row comes back for each input row.
+    one window as a whole. Repeated items count once. One row comes back for each input row; an
+    empty table gives an empty one. Beyond one block of patterns the rows are written once, each
+    block scans them, and only what is found is put together.
     """
     patterns = written(_pattern_rows(benchmark, item_col, item_text_col, window), "patterns")
     size = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("pattern") + F.size("items") * 16).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // BLOCK_WINDOWS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for block in range(blocks):
-        rows = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
-        found = _search(out if block == 0 else written(out, "searched"), [(bytes(r["pattern"]), sorted(r["items"])) for r in rows], block == 0)
-        out = found
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+
+    def block_of(k: int) -> list[tuple[bytes, list[str]]]:
+        return [(bytes(r["pattern"]), sorted(r["items"])) for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()]
+
+    if blocks == 1:
+        found = _search(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), block_of(0))
+        return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("name"), F.col(text_col).alias("text")), "searched")
+    parts = None
+    for k in range(blocks):
+        found = _search(rows.select("id", "text"), block_of(k))
+        # the first block's rows bring the number of words of every text
+        part = written(found if k == 0 else found.filter(F.size("items") > 0), "found")
+        parts = part if parts is None else parts.unionByName(part)
+    whole = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = rows.select("id", "name").join(whole, "id")
+    return out.select(F.col("name").alias(id_col), "n_words", _merged_spans(F.col("parts")).alias("spans"), "items")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, share: float = 0.0) -> DataFrame:
