@@ -56,7 +56,7 @@ def _named(tag: str, attrs: dict[str, str], within: bool) -> bool:
     """
     if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") or "class" not in attrs and "id" not in attrs:
         return False
     words = {w.lower() for w in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} & SIDE_WORDS
     return bool(words - {"header"} if within else words)
@@ -68,12 +68,14 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None)
-        self.open, self.places = [self.root], {}
+        self.open, self.places, self.blocks = [self.root], {}, [0]
 
     def _cut(self, place: int) -> None:
         """Close the open elements from a place on."""
         while len(self.open) > place:
             self.places[self.open.pop().tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
 
     def _last(self, tags: set[str] | frozenset[str]) -> int:
         """The place of the innermost open element of ``tags``."""
@@ -89,7 +91,7 @@ class _Tree(HTMLParser):
                 self._cut(min(outer))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.places.get("p"):
             self._close({"p"}, SCOPE)
         if tag in SAME_LEVEL:
             self._close(*SAME_LEVEL[tag])
@@ -97,11 +99,13 @@ class _Tree(HTMLParser):
             self._close({"head"}, set())
         named = {k: v or "" for k, v in attrs}
         beside = _beside(tag, named)
-        within = any(self.places.get(t) for t in ("article", "main"))
+        within = bool(self.places.get("article") or self.places.get("main"))
         node = Node(tag, self.open[-1], beside, not beside and _named(tag, named, within), named.get("role", "").lower())
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -110,10 +114,10 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        place = self._last({tag})
+        opened = self.places.get(tag)
         # an inline end tag doesn't close blocks
-        if place and (tag in BLOCK or self._last(BLOCK) < place):
-            self._cut(place)
+        if opened and (tag in BLOCK or self.blocks[-1] < opened[-1]):
+            self._cut(opened[-1])
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
