@@ -206,7 +206,7 @@ def negotiates(sdp: Column, codec: str = "av1", clock: int = 90_000) -> Column:
 
         def sound(x: Column) -> Column:
             own_fmtp = F.filter(lines, lambda y: y.startswith("a=fmtp:") & (F.get(_fields(_rest(y, "fmtp")), 0) == number(x)))
-            return F.array_contains(listed, number(x)) & ((F.size(own_fmtp) == 0) | ((F.size(own_fmtp) == 1) & fmtp_attribute(F.get(own_fmtp, 0))["ok"]))
+            return F.array_contains(listed, number(x)) & (F.size(own_fmtp) <= 1) & F.forall(own_fmtp, lambda y: fmtp_attribute(y)["ok"])
 
         return F.coalesce(active, F.lit(False)) & F.exists(bound, sound)
 
