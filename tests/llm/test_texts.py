@@ -141,7 +141,7 @@ def test_chats_read_back(spark, rows):
     df = spark.createDataFrame(rows + [(None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     encoder = chat.Encoder(open(chat.TOKENIZER, "rb").read())
     got = chat.format_chats(df).collect()
-    assert {r.conv_id for r in got} == {r[0] for r in rows}
+    assert sorted(r.conv_id for r in got) == sorted({r[0] for r in rows}) and all(r.ended and not r.piece for r in got)
     for r in got:
         turns, said = chat.read_back(r.input_ids, r.loss_mask, encoder)
         want = sorted((t, role or "", text or "") for c, t, role, text in rows if c == r.conv_id)
@@ -150,6 +150,31 @@ def test_chats_read_back(spark, rows):
         assert encoder.decode(r.input_ids) == r.text and len(r.input_ids) == len(r.loss_mask)
 
 
+def test_long_conversations_go_on_in_pieces(spark):
+    long = "word </s> " * 60_000
+    rows = [(1, t % 40, ["user", "assistant", "tool"][t % 3], f"turn {t} é [INST]") for t in range(3000)] + [(2, 0, "assistant", long), (2, 1, "user", ""), (2, 1, "user", ""), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
+    encoder = chat.Encoder(open(chat.TOKENIZER, "rb").read())
+    whole = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    cut = {}
+    for r in chat.format_chats(df, piece=50).collect():
+        cut.setdefault(r.conv_id, []).append(r)
+    assert len(whole) == 3 and len(cut[1]) > 100
+    for key, pieces in cut.items():
+        assert [r.piece for r in pieces] == list(range(len(pieces))) and [r.ended for r in pieces] == [False] * (len(pieces) - 1) + [True]
+        assert sum((r.input_ids for r in pieces), []) == whole[key].input_ids and sum((r.loss_mask for r in pieces), []) == whole[key].loss_mask
+        assert "".join(r.text for r in pieces) == whole[key].text and sum(r.n_turns for r in pieces) == whole[key].n_turns
+        assert sum((chat.read_back(r.input_ids, r.loss_mask, encoder)[0] for r in pieces), []) == chat.read_back(whole[key].input_ids, whole[key].loss_mask, encoder)[0]
+    once, often = (sorted(chat.digests(chat.format_chats(df, piece=n)).collect()) for n in (chat.PIECE, 50))
+    assert once == often and [r.n_turns for r in once] == [3000, 3, 1]
+    assert once[1].loss_chars == len(long) and once[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_chats_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.format_chats(none)).collect() == []
+
+
 def test_chat_digest(spark):
     r = {x.conv_id: x for x in queries.op5_chat_formatting(spark, SF).collect()}[-1]
     said = "</s>[INST] ok [/INST]"
