@@ -23,6 +23,17 @@ def test_labels_are_drawn_by_hash_up_to_the_bound(spark):
     assert labelled(docs, labels.limit(0), ["quality"]).count() == 0 and labelled(docs, labels, ["quality"]).count() == 400
 
 
+def test_drawn_rows_are_those_with_the_least_hashes(spark):
+    texts = [(i % 7, f"text number {i % 23} " * (i % 5), i % 7 % 2) for i in range(300)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, label int").withColumn("draw", F.xxhash64("doc_id", "text"))
+    plain = sorted((r.label, bytes(r.features)) for r in quality._feature_rows(rows.select("text", "label", "draw")).collect())
+    for n in (1, 40, 150, 300, 500):
+        least = quality._feature_rows(rows.select("text", "label", "draw")).orderBy("draw", "label").limit(n).collect()
+        got = quality._drawn(rows.repartition(5), n)
+        assert got == sorted((r.label, bytes(r.features)) for r in least) and len(got) == min(n, 300)
+    assert got == plain and quality._drawn(rows.limit(0), 10) == []
+
+
 def fake(master, folder=None):
     context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: folder), getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=lambda d: made.append(d))
     made = []

@@ -159,6 +159,21 @@ def _line(margins: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
     return float(t[0]), float(t[1])
 
 
+def _drawn(rows: DataFrame, sample: int) -> list[tuple[int, bytes]]:
+    """(label, features) of the ``sample`` rows with the least draws. Draws are counted first, so that
+    the driver gets features of these rows alone, and those of repeated rows once."""
+    often, left = {}, sample
+    for r in rows.groupBy("draw", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("draw", "label").limit(sample).collect():
+        if left:
+            often[r["draw"], r["label"]] = min(r["n"], left)
+            left -= often[r["draw"], r["label"]]
+    if not often:
+        return []
+    some = rows.filter(F.col("draw") <= max(draw for draw, _ in often)).select("text", "label", "draw")
+    once = _feature_rows(some).groupBy("draw", "label").agg(F.first("features").alias("features"))
+    return sorted((r["label"], bytes(r["features"])) for r in once.collect() for _ in range(often.get((r["draw"], r["label"]), 0)))
+
+
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on the rows whose label is 0 or 1. With no rows or one class only, a constant model.
 
@@ -177,8 +192,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "quality", ke
         p = (totals[1] + 0.5) / (totals.sum() + 1)
         return Model(np.zeros(size), np.zeros(size), 0.0, float(np.log(p / (1 - p))))
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
-    drawn = _feature_rows(rows.select("text", "label", "draw")).orderBy("draw", "label").limit(sample)
-    got = sorted((r["label"], bytes(r["features"])) for r in drawn.select("label", "features").collect())
+    got = _drawn(rows, sample)
     found = [np.frombuffer(f, np.int32) for _, f in got]
     positive = np.array([label == 1 for label, _ in got])
     if not len(got) or positive.all() or not positive.any():
