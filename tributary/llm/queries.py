@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, decontaminate, html, language, lm, minhash, mixing, pii, quality, rules
+from tributary.llm import chat, decontaminate, html, language, lines, lm, minhash, mixing, native, pii, quality, rules, runs, whitening
 from tributary.llm.labels import labelled
 
 
@@ -102,7 +102,44 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_pii, op8_quality_classifier, op9_language_id, op10_lm_scoring)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them hold."""
+    left = lines.drop_common_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 32 strongest components of their covariance, scaled to variance one."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), most=32, scale=64.0, offset=1_000_000)
+
+
+def _with_run(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by the crc32 of its id, gets a periodic end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.transform(F.slice(w, a + 1, n), lambda _, i: F.get(w, a + i % p))
+        return F.when(n == 0, "").otherwise(F.array_join(F.concat(F.slice(w, F.lit(1), a), again), " "))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, native.let(native.words(F.col("text")), planted)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, one in ten of which is given a run."""
+    found = runs.periodic_runs(_with_run(_table(spark, sf_dir, "documents")), least=12)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op3_quality_rules, op4_source_mixing, op5_chat_formatting, op6_html_extraction, op7_pii, op8_quality_classifier, op9_language_id, op10_lm_scoring, op11_line_dedup, op12_embedding_whitening, op13_periodic_runs)}
 
 
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
@@ -121,6 +158,30 @@ _LUHN = "list_sum(list_transform(range(length(g)), lambda i: case when i % 2 = 0
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_line_dedup": rf"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+e as (select r, line, i, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_ASCII}') as key from (select r, unnest(l) as line, unnest(range(len(l))) as i from d)),
+f as (select key from e where key <> '' group by key having count(distinct r) >= 10),
+k as (select r, string_agg(line, chr(10) order by i) filter (f.key is null) as left_text, count(f.key) as n_dropped from e left join f using (key) group by r)
+select doc_id, len(l) as n_lines, n_dropped, sha256(coalesce(left_text, '')) as kept_sha256 from d join k using (r)
+""",
+    "op13_periodic_runs": r"""
+with c as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint),
+   lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384::bigint * (s & 1)))), 4294967295::bigint) as h from documents),
+g as (select *, len(w) as n, h // 10 as g from c),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from g),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+d as (select r, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) end as w from p),
+t as (select r, unnest(w) as x, unnest(range(n)) as i from d),
+e as (select u.r, v.i - u.i as p, u.i from t u join t v on u.r = v.r and u.x = v.x and u.i < v.i),
+s as (select r, p, min(i) as start, count(*) + p as length from (select r, p, i, i - row_number() over (partition by r, p order by i) as k from e) group by r, p, k having count(*) >= greatest(p, 12 - p)),
+q as (select r, start, length, min(p) as period from s group by r, start, length),
+b as (select r, count(*) as n_runs, min({'l': -length, 's': start, 'p': period}) as b, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from q group by r),
+o as (select distinct r, unnest(range(start + period, start + length)) as i from q),
+k as (select r, string_agg(x, ' ' order by i) as left_words from t anti join o using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, -b.l as length, b.p as period, -1000 * b.l // b.p as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(left_words, '')) as collapsed_sha256
+from d left join b using (r) left join k using (r)
+""",
     "op1_minhash_near_dedup": rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII}'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
