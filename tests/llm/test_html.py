@@ -31,6 +31,18 @@ TEMPLATES = {
 }
 
 
+TEMPLATES |= {
+    "names inside a line": f'<body>{NAV}<article><h1>Harbour <em class="alert">opens</em></h1><p><span class="social">{A[:11]}</span>{A[11:]}</p><p><strong class="ad" role="alert">{B}</strong></p></article>{FOOT}</body>',
+    "named sections of the article": f'<body>{NAV}<article><section id="related-work"><h1>Harbour opens</h1><p>{A}</p></section><div class="popup-art"><p>{B}</p></div></article>{FOOT}</body>',
+    "links under a doubtful name": f'<body><article>{ARTICLE}<div class="related-reports"><a href="/x">{C}</a><p>Also see</p></div></article></body>',
+    "a form under a doubtful name": f'<body><article>{ARTICLE}<div class="subscribe-harbour"><p>{C}</p><button>Go</button></div></article></body>',
+    "comments within": f'<body><main>{ARTICLE}<div class="comments-section" id="c1"><p>{C}</p></div></main></body>',
+    "header element of the article": f"<body><header><p>{C}</p></header><article><header><h1>Harbour opens</h1></header><p>{A}</p><p>{B}</p></article></body>",
+    "sections of unlike depth": f'<body>{NAV}<div class="s1"><div><h1>Harbour opens</h1><p>{A}</p></div></div><div class="s2"><div><div><p>{B}</p></div></div></div>{FOOT}</body>',
+    "a short line beside sections": f'<body>{NAV}<div><div><h1>Harbour opens</h1><p>{A}</p></div><div><div><p>{B}</p></div></div><div>All rights reserved</div></div><div><a href="/">{C}</a></div></body>',
+}
+
+
 @pytest.mark.parametrize("name", TEMPLATES)
 def test_template(name):
     assert html.main_text(f"<html><head><title>x</title></head>{TEMPLATES[name]}</html>") == TEXT
@@ -57,3 +69,24 @@ def test_time_is_linear_in_the_page(piece):
 
     small = max(min(seconds(5_000) for _ in range(2)), 0.02)
     assert seconds(40_000) < 8 * small * 3
+
+
+def test_columns_stay_together():
+    columns = [[f"{x} {k} {w}." for k, x in enumerate((A, B, C))] for w in ("left", "middle", "right")]
+    page = "".join(f'<div class="col"><p>{"</p><p>".join(c)}</p></div>' for c in columns)
+    assert html.main_text(f'<body>{NAV}<div class="row">{page}</div>{SIDE}{FOOT}</body>') == "\n".join(x for c in columns for x in c)
+
+
+def test_sections_of_unlike_depth():
+    one, two = [f"{A} {k}" for k in range(3)], [f"{B} {k}" for k in range(2)]
+    assert html.main_text(f'<body><div class="s1"><div><p>{"</p><p>".join(one)}</p></div></div><div class="s2"><div><div><p>{"</p><p>".join(two)}</p></div></div></div>{FOOT}</body>') == "\n".join(one + two)
+
+
+def test_tables_of_pages(spark):
+    """Null, empty and repeated pages, one of side parts only, a very long one; columns of clashing names; no pages."""
+    long = "<body><article>" + f"<p>{A}</p>" * 20_000 + "</article></body>"
+    rows = [(1, "u", None), (2, "u", ""), (None, None, f"<body>{NAV}{FOOT}</body>"), (4, "v", TEMPLATES["article element"]), (4, "v", TEMPLATES["article element"]), (5, "w", long)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, _html string")
+    got = sorted(((r.page_id or 0, r.text) for r in html.extract(df).collect()))
+    assert got == [(0, ""), (1, ""), (2, ""), (4, TEXT), (4, TEXT), (5, "\n".join([A] * 20_000))]
+    assert html.extract(df.limit(0)).collect() == [] and html.extract(df).columns == ["page_id", "url", "text"]

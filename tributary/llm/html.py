@@ -2,7 +2,8 @@
 
 Paragraphs pass points for their length and commas up to their ancestors, less the further up; a
 container's points are discounted by the share of its text that lies in links. The best container
-and those siblings that score well enough are kept.
+and those siblings that score well enough are kept; where no article is marked, a container around the best one that gains enough points
+takes its place, so that text in several columns or sections stays together.
 """
 
 from __future__ import annotations
@@ -29,7 +30,16 @@ SIDE_WORDS = frozenset(
     "signup share sharing social related recommended recommendations recirc outbrain taboola sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus respond replies reply "
     "login search pagination pager tags skip skiplink paywall".split()
 )
+# Words that say no more in such a name, so that a name of these and side words is a side part's.
+PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons by center col column container content count desktop extra field form global group holder icon icons id in inner item items js left link links list main message "
+    "mobile more news of on outer page panel pane post posts reading right row section short site slot small stories story text the thread to top unit wrap wrapper zone article large inline block view views".split()
+)
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Link text, as a share of a part's text, from which on a part of a doubtful name is a side part.
+LINKED = 0.33
+#: Points of paragraphs that a container must add to what it holds to be taken instead, as a share.
+GAIN = 0.2
 #: Text outside all side parts, as a share of a named part's, up to which that part is the page's wrapper.
 WRAPPED = 0.1
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -37,29 +47,34 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "side", "named", "role", "score", "chars", "links", "commas")
+    __slots__ = ("tag", "parent", "children", "side", "named", "doubtful", "role", "score", "points", "chars", "links", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, side: bool = False, named: bool = False, role: str = ""):
-        self.tag, self.parent, self.children, self.side, self.named, self.role = tag, parent, [], side or named, named, role
-        self.score, self.chars, self.links, self.commas = 0.0, 0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, side: bool = False, named: bool = False, doubtful: bool = False, role: str = ""):
+        self.tag, self.parent, self.children, self.side, self.named, self.doubtful, self.role = tag, parent, [], side or named, named, doubtful, role
+        self.score, self.points, self.chars, self.links, self.commas = 0.0, 0.0, 0, 0, 0
 
 
-def _beside(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element's kind, role or style says that it isn't part of the text."""
-    return tag in DROPPED and tag != "form" or "hidden" in attrs or bool(_HIDDEN.search(attrs.get("style", ""))) or attrs.get("role", "").lower() in SIDE_ROLES - {"form"}
+def _beside(tag: str, attrs: dict[str, str], within: bool) -> bool:
+    """Whether an element's kind, role or style says that it isn't part of the text; an article's own header is part of it."""
+    if tag in DROPPED and tag != "form" and not (within and tag == "header") or "hidden" in attrs or _HIDDEN.search(attrs.get("style", "")):
+        return True
+    return tag in BLOCK and attrs.get("role", "").lower() in SIDE_ROLES - {"form"}
 
 
-def _named(tag: str, attrs: dict[str, str], within: bool) -> bool:
-    """Whether an element is a form, or its class or id has a word of side parts: it may still wrap the text.
+def _named(tag: str, attrs: dict[str, str], within: bool) -> tuple[bool, bool]:
+    """Whether an element is a form, or its class or id has a word of side parts (it may still wrap the text); and whether that is in doubt.
 
-    ``within``: inside an article or the main part, where what is named a header holds the title.
+    Names of elements inside a line are never looked at. ``within``: inside an article or the main part, where
+    what is named a header holds the title, and a name that also has other words proves nothing.
     """
     if tag == "form" or attrs.get("role", "").lower() == "form":
-        return True
-    if tag in ("html", "body", "article", "main") or "class" not in attrs and "id" not in attrs:
-        return False
-    words = {w.lower() for w in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} & SIDE_WORDS
-    return bool(words - {"header"} if within else words)
+        return True, False
+    if tag not in BLOCK or tag in ("html", "body", "article", "main") or "class" not in attrs and "id" not in attrs:
+        return False, False
+    names = [{w.lower() for w in _NAME.findall(name)} for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    side = SIDE_WORDS - {"header"} if within else SIDE_WORDS
+    hit = [n for n in names if n & side]
+    return bool(hit), bool(hit) and within and not any(all(w in side or w in PLAIN_WORDS or w.isdigit() for w in n) for n in hit)
 
 
 class _Tree(HTMLParser):
@@ -98,9 +113,10 @@ class _Tree(HTMLParser):
         if tag == "body":
             self._close({"head"}, set())
         named = {k: v or "" for k, v in attrs}
-        beside = _beside(tag, named)
         within = bool(self.places.get("article") or self.places.get("main"))
-        node = Node(tag, self.open[-1], beside, not beside and _named(tag, named, within), named.get("role", "").lower())
+        beside = _beside(tag, named, within)
+        by_name, doubtful = (False, False) if beside else _named(tag, named, within)
+        node = Node(tag, self.open[-1], beside, by_name, doubtful, named.get("role", "").lower())
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
@@ -127,10 +143,27 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _settled(tree.root)
     _freed(tree.root)
     return tree.root
 
 
+def _settled(root: Node) -> None:
+    """Parts of a doubtful name stay in the text, unless they are full of links or hold a form."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node)]
+    sums: dict[Node, tuple[int, int, bool]] = {}  # characters, those in links, whether there are fields of a form
+    for node in reversed(order):
+        inner = [sums[c] for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style", "noscript", "template")]
+        chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(x[0] for x in inner)
+        sums[node] = chars, chars if node.tag == "a" else sum(x[1] for x in inner), node.tag in ("form", "button", "input", "select", "textarea") or any(x[2] for x in inner)
+        if node.doubtful:
+            node.side = node.named = sums[node][2] or sums[node][1] > LINKED * chars
+
+
 def _freed(root: Node) -> None:
     """Let parts that only their name (or being a form) sets aside pass if they wrap nearly all of the page's text."""
     order, stack = [], [root]
@@ -189,10 +222,14 @@ def _scored(nodes: list[Node]) -> None:
         if node.chars < 10 or node.links > 0.5 * node.chars or not (node.tag in ("p", "pre", "blockquote", "td", "li", "dd") or node.tag in ("div", "section", "article", "main", "body")) or (inner and node.tag != "blockquote"):
             continue
         points, up, level = 1 + node.commas + min(node.chars / 100, 3.0), node.parent, 0
+        node.points = points
         while up is not None and level < 5:
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
         node.score += points if node.tag not in ("p", "li", "dd") else 0
+    for node in reversed(nodes):  # a container's points are those of all paragraphs in it
+        if node.parent is not None:
+            node.parent.points += node.points
 
 
 def _density(node: Node) -> float:
@@ -204,6 +241,30 @@ def _paragraphs(node: Node) -> bool:
     return _density(node) < 0.25 and any(isinstance(c, Node) and not c.side and c.tag == "p" and c.chars > 60 and _density(c) < 0.25 for c in node.children)
 
 
+def _worth(node: Node) -> bool:
+    """Whether a part of a container that was taken for its gain is text of the article."""
+    if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"):
+        return True
+    return _density(node) < 0.5 and (node.points >= 2 or node.tag in ("p", "ul", "ol", "dl", "table", "pre", "blockquote", "figure"))
+
+
+def _widened(best: Node) -> Node:
+    """The container around ``best`` up to which each gains enough points; parts beside the way that aren't text are set aside."""
+    weight = lambda n: n.points * (1 - _density(n))
+    top, up = best, best.parent
+    while up is not None and up.tag not in ("html", "#root"):
+        if weight(up) > (1 + GAIN) * weight(top):
+            top = up
+        up = up.parent
+    node = best
+    while node is not top:
+        for c in node.parent.children:
+            if isinstance(c, Node) and c is not node and c.tag in BLOCK and not _worth(c):
+                c.side = True
+        node = node.parent
+    return top
+
+
 def chosen(root: Node) -> list[Node]:
     """The elements whose text is the article, in page order."""
     nodes = _ordered(root)
@@ -221,7 +282,7 @@ def chosen(root: Node) -> list[Node]:
     if node is None:
         while best.tag in ("td", "tbody", "thead", "blockquote", "dl", "pre") and best.parent is not None and best.parent.tag not in ("body", "#root"):
             best = best.parent
-        top = best
+        top = _widened(best)
     if top.parent is None:
         return [top]
     least = 0.2 * rank(top)
