@@ -16,7 +16,7 @@ MODE_NUMBERS = {
 # The resolution steps between layers, in the order they are tried.
 SCALINGS = ((8, 1), (4, 1), (2, 1), (3, 2), (1, 1), (2, 3), (1, 2), (1, 4), (1, 8))
 # Names that encoders go by.
-ENCODERS = {"goav1": "goav1", "aomenc": "aomenc", "libaom": "aomenc", "libaom-av1": "aomenc", "svt-av1": "svt-av1", "svtav1": "svt-av1", "svt": "svt-av1", "svtav1encapp": "svt-av1", "svt-av1encapp": "svt-av1"}
+ENCODERS = {"aomenc": "aomenc", "libaom": "aomenc", "libaom-av1": "aomenc", "svt-av1": "svt-av1", "svtav1": "svt-av1", "svt": "svt-av1", "svtav1encapp": "svt-av1", "svt-av1encapp": "svt-av1"}
 
 
 def scalability_mode(name: Column) -> dict[str, Column]:
@@ -76,9 +76,10 @@ def select_operating_point(points: Column, temporal: Column, spatial: Column) ->
     return F.get(F.filter(F.sequence(F.lit(0), F.size(points) - 1), lambda i: operating_point_matches(F.get(points, i), temporal, spatial)), 0)
 
 
-def encoder_name(name: Column) -> Column:
-    """The one name of a known encoder; null for others."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ENCODERS.items() for x in pair]), F.lower(F.trim(name)))
+def encoder_name(name: Column, more: dict[str, str] | None = None) -> Column:
+    """The one name of a known encoder, or of one in ``more``; null for others."""
+    known = ENCODERS | (more or {})
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.lower(F.trim(name)))
 
 
 def observed_parallelism(wall: Column, user: Column, system: Column) -> Column:

@@ -166,16 +166,16 @@ def bit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", M.uvlc(M.uvlc_bytes(i * 2654435761 % 4294967295)).alias("value"), M.read_bits(word, F.lit(8), F.lit(11)).alias("field"))
 
 
-NAMES, PATTERNS = [" GoAV1 ", "libaom", "SVT", "svtav1encapp", "x264", ""], ["^BenchmarkA_1$", "^Benchmark$", "BenchmarkA$", "^BenchmarkA/b$", "^BenchmarkZz"]
+NAMES, PATTERNS = [" Own ", "libaom", "SVT", "svtav1encapp", "x264", ""], ["^BenchmarkA_1$", "^Benchmark$", "BenchmarkA$", "^BenchmarkA/b$", "^BenchmarkZz"]
 
 
-@query(f"""select event_id, ({_list(['goav1', 'aomenc', 'svt-av1', 'svt-av1', None, None])})[event_id % 6 + 1] as encoder, event_id % 5 = 0 as exact, case when event_id % 3 < 2 then md5(event_type) || md5(event_type) end as digest,
+@query(f"""select event_id, ({_list(['own', 'aomenc', 'svt-av1', 'svt-av1', None, None])})[event_id % 6 + 1] as encoder, event_id % 5 = 0 as exact, case when event_id % 3 < 2 then md5(event_type) || md5(event_type) end as digest,
 (event_id * 3) & 5 <> 0 and event_id & 2 <> 0 as chosen, event_id % 4 < 2 as stream_id, sha256(event_type) as file_digest, case when event_id % 4 < 3 then cast(event_id % 4 as int) end as profile from events""")
 def name_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoder names, benchmark patterns, digests, masks of vectors, stream ids and profiles."""
     i, d = F.col("event_id"), F.md5(F.col("event_type").cast("binary"))
     return _events(spark, sf_dir).select(
-        "event_id", M.encoder_name(_pick(NAMES, i)).alias("encoder"), M.is_exact_benchmark(_pick(PATTERNS, i)).alias("exact"), M.canonical_sha256(F.when(i % 3 == 0, F.upper(F.concat(d, d))).when(i % 3 == 1, F.concat(F.lit(" "), d, d)).otherwise(d)).alias("digest"),
+        "event_id", M.encoder_name(_pick(NAMES, i), {"own": "own"}).alias("encoder"), M.is_exact_benchmark(_pick(PATTERNS, i)).alias("exact"), M.canonical_sha256(F.when(i % 3 == 0, F.upper(F.concat(d, d))).when(i % 3 == 1, F.concat(F.lit(" "), d, d)).otherwise(d)).alias("digest"),
         M.selected(i * 3, i, 5, 2).alias("chosen"), M.is_stream_id(_pick(["a1", "Zz9", "a-1", ""], i)).alias("stream_id"), F.sha2(F.col("event_type").cast("binary"), 256).alias("file_digest"), M.profile(_pick(["0", "1", "2", "3"], i)).alias("profile"))
 
 
@@ -252,8 +252,8 @@ def summary_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select l_linenumber as bitrate, arg_max(l_extendedprice / l_quantity, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber) as parallelism from lineitem where l_returnflag = 'A' and l_linestatus = 'F' group by 1")
 def parallelism_by_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = S.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("bitrate"), F.when(F.col("l_returnflag") == "A", "goav1").otherwise("aomenc").alias("encoder"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("n"), "l_extendedprice", "l_quantity")
-    return Q.parallelism_by_bitrate(jobs, "goav1", M.observed_parallelism(F.col("l_quantity"), F.col("l_extendedprice"), F.lit(0)), "n")
+    jobs = S.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("bitrate"), F.when(F.col("l_returnflag") == "A", "own").otherwise("aomenc").alias("encoder"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("n"), "l_extendedprice", "l_quantity")
+    return Q.parallelism_by_bitrate(jobs, "own", M.observed_parallelism(F.col("l_quantity"), F.col("l_extendedprice"), F.lit(0)), "n")
 
 
 @query("""with r as (select p_brand, p_retailprice, row_number() over (partition by p_brand order by p_retailprice) - 1 as i, count(*) over (partition by p_brand) as n from part), m as (select p_brand, max(p_retailprice) filter (i = n // 2) as median from r group by 1)
