@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -39,3 +40,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, ROOT))
     context.addPyFile(os.path.abspath(path))
     spark.conf.set(_SHIPPED, context.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, of its own, in the folder that the driver and all executors share."""
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not top:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        top = context.getCheckpointDir()
+    return f"{top.rstrip('/')}/tributary/{name}-{uuid.uuid4().hex}"
