@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def order_hint_distance(a: Column, b: Column, bits: int) -> Column:
     return F.pmod(a - b + half, F.lit(1 << bits)) - half
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def leb128_length(value: Column) -> Column:
     """Bytes of the shortest variable-length coding of a value below 2^35; null for negative ones."""
     out = F.when(value < 0, F.lit(None).cast("int"))

@@ -489,4 +489,4 @@ def summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries, which register themselves.
-from tributary.plans import bench, description, payload  # noqa: E402, F401
+from tributary.plans import bench, description, payload, streams  # noqa: E402, F401

@@ -17,7 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from tributary.functions.columns import leb128_bytes
+from tributary.functions.columns import leb128_bytes, let
+
+
+#: Bytes that are parsed before their rows are handed on, about.
+SCANNED = 4 << 20
 
 
 def _scan(df: DataFrame, data: str, fields: str, parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
@@ -30,18 +34,30 @@ def _scan(df: DataFrame, data: str, fields: str, parse: Callable[[bytes], Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                value, rows = batch.column(len(keys))[k].as_py(), []
+            rows, of = [], []
+
+            def found(batch: pa.RecordBatch = batch, rows: list = rows, of: list = of) -> pa.RecordBatch:
+                columns = [batch.column(i).take(pa.array(of, pa.int32())) for i in range(len(keys))]
+                columns += [pa.array([r.get(n) for r in rows], arrow.field(len(keys) + i).type) for i, n in enumerate(names)]
+                rows.clear()
+                of.clear()
+                return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+            held = 0
+            for k, value in enumerate(batch.column(len(keys))):
+                value, before = value.as_py(), len(rows)
                 try:
                     for row in parse(value) if value is not None else ():
                         rows.append(row)
                 except (ValueError, IndexError, struct.error) as e:
                     rows.append({"error": str(e) or type(e).__name__})
-                if rows:
-                    whole = batch.slice(k, 1)
-                    columns = [pa.array([whole.column(i)[0].as_py()] * len(rows), arrow.field(i).type) for i in range(len(keys))]
-                    columns += [pa.array([r.get(n) for r in rows], arrow.field(len(keys) + i).type) for i, n in enumerate(names)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                of += [k] * (len(rows) - before)
+                held += len(value or b"")
+                if held > SCANNED or len(rows) > 4096:
+                    yield found()
+                    held = 0
+            if rows:
+                yield found()
 
     return df.select(*keys, data).mapInArrow(run, schema)
 
@@ -188,8 +204,12 @@ def resized(raw: Column) -> Column:
 
 def _sized(bytes_: Column) -> Column:
     """Bytes behind their length as a variable-length integer."""
-    groups = F.transform(leb128_bytes(F.octet_length(bytes_).cast("long")), lambda x: F.lpad(F.hex(x), 2, "0"))
-    return F.concat(F.unhex(F.array_join(groups, "")), bytes_)
+
+    def behind(b: Column) -> Column:
+        groups = let(F.octet_length(b).cast("long"), lambda n: F.transform(leb128_bytes(n), lambda x: F.lpad(F.hex(x), 2, "0")))
+        return F.concat(F.unhex(F.array_join(groups, "")), b)
+
+    return let(bytes_, behind)
 
 
 def unit_bytes(kind: Column, temporal: Column, spatial: Column, payload: Column, sized: bool = True) -> Column:
