@@ -1,4 +1,4 @@
-"""Queries over containers as data sources, header units, descriptors and references."""
+"""Queries over containers as data sources, header units, descriptors, references, live streams and the SQL surface."""
 
 from __future__ import annotations
 
@@ -8,12 +8,17 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tributary import session
 from tributary.functions import modes as M
+from tributary.functions import tables as SQL
+from tributary.operators import ranges as N
+from tributary.operators import references as X
 from tributary.plans.registry import query
 from tributary.sources import bits as W
 from tributary.sources import descriptor as D
 from tributary.sources import files as FS
 from tributary.sources import headers as HD
+from tributary.sources import payloads as P
 from tributary.sources import tables as S
+from tributary.streaming import live as L
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,3 +181,100 @@ def sequence_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = M.select_operating_point(F.col("idcs"), F.col("t"), F.col("s"))
     sampling = F.when(F.col("subsampling_y"), "420").when(F.col("subsampling_x"), "422").otherwise("444")
     return found.select("event_id", "profile", "reduced", "max_width", "max_height", "time_scale", F.size("idcs").cast("long").alias("points"), chosen.alias("chosen"), "order_hint_bits", "bit_depth", sampling.alias("sampling"), "film_grain")
+
+
+# --- references and ranges -------------------------------------------------------------------------
+
+
+@query("""with recursive p as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as i, event_id % 17 = 5 as lost, event_type = 'signup' as key, [cast(event_id % 8 as int), cast(event_id * 3 % 8 as int)] as refs from events),
+m as (select *, case when key then 0 else (1 << refs[1]) | (1 << refs[2]) end as refmask, case when key then 255 when event_id % 2 = 0 then 1 << refs[1] else 0 end as fresh from p),
+w as (select distinct user_id, cast(0 as bigint) as i, cast(0 as bigint) as event_id, 255 as state, false as faulty, 0 as hit from events union all
+ select m.user_id, m.i, m.event_id, case when lost or (state & refmask) <> 0 then state | fresh else state & (255 - fresh) end, lost or (state & refmask) <> 0, state & refmask from w join m on m.user_id = w.user_id and m.i = w.i + 1)
+select user_id as stream, event_id as picture, array_to_string(list_filter(range(8), lambda k: (hit >> cast(k as int)) & 1 = 1), ',') as faulty_slots, faulty from w where i > 0""")
+def picture_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of which some are lost: those that can't be trusted, because a reference can't be."""
+    e, key = F.col("event_id"), F.col("event_type") == "signup"
+    none = F.array().cast("array<int>")
+    refs = F.array((e % 8).cast("int"), (e * 3 % 8).cast("int"))
+    fresh = F.when(key, F.array(*map(F.lit, range(8)))).when(e % 2 == 0, F.slice(refs, 1, 1)).otherwise(none)
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("stream"), e.alias("picture"), F.when(key, none).otherwise(refs).alias("refs"), fresh.alias("fresh"))
+    found = X.spread_faults(rows, "stream", "picture", "refs", "fresh", F.col("picture") % 17 == 5)
+    return found.select("stream", "picture", F.array_join(F.transform("faulty_slots", lambda k: k.cast("string")), ",").alias("faulty_slots"), "faulty")
+
+
+@query(f"""with {S.BLOCKS}, k as (select cast(p_partkey % 9 as int) as label, p_size * 5 as value, max(cast(floor(p_retailprice) as bigint)) % 256 as y from part group by 1, 2),
+l as (select *, lead(value) over w as value2, lead(y) over w as y2, row_number() over w = 1 as first from k window w as (partition by label order by value)),
+s as (select label, value as low, coalesce(value2, 256) as high, y, coalesce((y2 - y) * ((65536 + ((value2 - value) >> 1)) // (value2 - value)), 0) as slope from l union all select label, 0, value, y, 0 from l where first and value > 0),
+t as (select label, unnest(range(low, high)) as x, y, low, slope from s), lut as (select label, x, y + (((x - low) * slope + 32768) >> 16) as v from t),
+q as (select vec_id, label, unnest(q) * 4 + vec_id % 4 as i from bl), c as (select label, i, count(*) as n from q group by 1, 2)
+select c.label, cast(i as bigint) as sample, n, cast(case when i >> 2 = 255 then a.v else a.v + (((b.v - a.v) * (i & 3) + 2) >> 2) end as int) as scaling from c left join lut a on a.label = c.label and a.x = i >> 2 left join lut b on b.label = c.label and b.x = (i >> 2) + 1""")
+def grain_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-bit samples of blocks scaled on the line through the knots of their label, by a join with the ranges between knots."""
+    knots = S.table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 9).cast("int").alias("label"), (F.col("p_size") * 5).alias("value")).agg((F.max(F.floor("p_retailprice")) % 256).alias("y"))
+    samples = S.blocks(spark, sf_dir).select("vec_id", "label", F.explode("q").alias("q")).select("label", (F.col("q") * 4 + F.col("vec_id") % 4).alias("sample"))
+    return N.scaled(samples.groupBy("label", "sample").agg(F.count(F.lit(1)).alias("n")), knots, ["label"], "sample", "value", "y", 10)
+
+
+# --- the SQL surface -------------------------------------------------------------------------------
+
+
+@query("""with f as (select source, doc_id, text, greatest(cast(ceil(octet_length(encode(text)) / 1199) as bigint), 1) as n from documents where text is not null), p as (select *, cast(sum(n) over (partition by source order by doc_id) as bigint) - n as first from f)
+select source, first as first_seq, first + n - 1 as last_seq, n as fragments, doc_id % 5 = 0 as new_sequence, md5(text) as digest from p""")
+def sql_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in fragments, put together by a table function that partitions and orders its argument."""
+    SQL.register(spark)
+    docs = S.table(spark, sf_dir, "documents").filter("text is not null").select("source", "doc_id", F.encode("text", "utf-8").alias("data"))
+    rows = P.fragmented(docs, "data", 1200, F.col("doc_id") % 5 == 0)
+    rows.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "part")).cast("long") - 1).createOrReplaceTempView("fragments_of_texts")
+    return spark.sql("SELECT source, first_seq, last_seq, fragments, new_sequence, md5(data) AS digest FROM rtp_units(TABLE(fragments_of_texts), 'source', 'seq', 'payload')")
+
+
+@query("""with e as (select floor(event_id / 4) as g, event_id, event_type, event_id % 4 as i from events), n as (select g, count(*) as n from e group by g)
+select cast(g as bigint) as g, cast(i as int) as idx, event_type as data, g % 3 = 1 and i = 0 as continues_previous, g % 3 = 0 and i = n - 1 as continues_next from e join n using (g)""")
+def sql_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four events a payload, read by a table function."""
+    SQL.register(spark)
+    g = F.floor(F.col("event_id") / 4)
+    rows = _events(spark, sf_dir).groupBy(g.alias("g")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.encode("event_type", "utf-8").alias("d")))).alias("e"))
+    rows.select("g", P.payload_bytes(F.transform("e", lambda x: x["d"]), F.col("g") % 3 == 1, F.col("g") % 3 == 0, F.lit(False)).alias("content")).createOrReplaceTempView("payloads_of_events")
+    return spark.sql("SELECT g, idx, decode(data, 'utf-8') AS data, continues_previous, continues_next FROM rtp_elements(TABLE(payloads_of_events), 'content')")
+
+
+@query(f"""with {S.POINTS}, o as (select clip, encoder, metric, ln(rate) as y, lag(metric) over w as m0, lag(ln(rate)) over w as y0 from rp window w as (partition by clip, encoder order by metric, rate))
+select clip, encoder, round(sum((metric - m0) * (y + y0) / 2) / nullif(max(metric) - min(metric), 0), 6) as level from o group by 1, 2""")
+def sql_curve_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean logarithm of the rate of each curve, by an aggregate registered for SQL."""
+    SQL.register(spark)
+    S.rate_points(spark, sf_dir).createOrReplaceTempView("points_of_curves")
+    return spark.sql("SELECT clip, encoder, round(mean_log_rate(metric, rate), 6) AS level FROM points_of_curves GROUP BY clip, encoder")
+
+
+# --- live streams ----------------------------------------------------------------------------------
+
+
+@query("""with d as (select source, doc_id, text, greatest(cast(ceil(octet_length(encode(text)) / 1199) as bigint), 1) as n from documents where text is not null), p as (select *, cast(sum(n) over (partition by source order by doc_id) as bigint) - n as first from d),
+s as (select *, list_filter(range(first, first + n), lambda x: x % 13 <> 5) as kept from p) select source, first as first_seq, n as fragments, md5(text) as digest from s where len(kept) = n""")
+def live_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in fragments, some of them lost, put together across micro-batches with state."""
+    docs = S.table(spark, sf_dir, "documents").filter("text is not null").select("source", "doc_id", F.encode("text", "utf-8").alias("data"))
+    rows = P.fragmented(docs, "data", 1200, F.col("doc_id") % 5 == 0).withColumn("ext_seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "part")).cast("long") - 1)
+    named = rows.withColumn("ssrc", F.xxhash64("source")).filter("ext_seq % 13 <> 5")
+    cut = F.floor(F.least(F.percent_rank().over(Window.partitionBy("source").orderBy("ext_seq")), F.lit(0.99)) * 3)
+    out = L.played(named.select("ssrc", "ext_seq", "payload", cut.alias("cut")), "cut", session.shared_folder(spark, "live"), L.live_units, L.UNITS)
+    names = docs.select("source").distinct().withColumn("ssrc", F.xxhash64("source"))
+    return out.filter("dropped is null").join(names, "ssrc").select("source", "first_seq", "fragments", F.md5("data").alias("digest"))
+
+
+@query("with " + S.PACKETS + """, q as (select ssrc, seq, seq + seq * 7 % 120 as at from lost), c as (select q.ssrc, q.seq, q.at, max(ext_seq) as held from q join pk on pk.ssrc = q.ssrc and pk.ext_seq <= q.at and pk.ext_seq % 64 = q.seq % 64 group by 1, 2, 3)
+select c.ssrc, c.seq, c.at, size, row_number() over (partition by c.ssrc order by c.at, c.seq) as rtx_seq from c join pk on pk.ssrc = c.ssrc and pk.ext_seq = c.seq where held = c.seq""")
+def live_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for lost packets, answered by a cache that is kept as state across micro-batches."""
+    sent = S.packets(spark, sf_dir).select("ssrc", F.col("ext_seq").alias("at"), F.lit(None).cast("long").alias("seq"), "size")
+    asked = S.lost(spark, sf_dir).select("ssrc", (F.col("seq") + F.col("seq") * 7 % 120).alias("at"), "seq", F.lit(None).cast("long").alias("size"))
+    rows = sent.unionByName(asked)
+    cut = F.least(F.floor((F.col("at") - S.FIRST_SEQ) / 40), F.lit(2))
+
+    def answered(stream: DataFrame) -> DataFrame:
+        return L.live_repairs(stream.filter("size is not null").withColumnRenamed("at", "ext_seq"), stream.filter("size is null"), 64, None)
+
+    return L.played(rows.withColumn("cut", cut), "cut", session.shared_folder(spark, "live"), answered, L.REPAIRS)
