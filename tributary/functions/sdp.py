@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tributary.functions.columns import let
+
 # Sequence levels that are not defined, directions, and names of restrictions.
 UNDEFINED_LEVELS = (2, 3, 6, 7, 10, 11, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30)
 DIRECTIONS = ("sendonly", "recvonly", "sendrecv", "inactive")
@@ -50,8 +52,40 @@ def _value(part: Column) -> Column:
     return F.when(F.contains(part, F.lit("=")), F.trim(F.regexp_replace(part, "(?s)^[^=]*=", "")))
 
 
-def _named(parts: Column, name: str) -> Column:
-    return F.filter(parts, lambda x: _key(x) == name)
+def _judged(given: Column, body: Callable[[Column], dict[str, Column]]) -> Column:
+    """A struct of the values that ``body`` makes of a column, all null but ``ok`` unless they are sound; each is worked out once."""
+    raw = let(given, lambda v: F.struct(*[c.alias(k) for k, c in body(v).items()]))
+    names = [k for k in body(given) if k != "ok"]
+
+    def kept(r: Column) -> Column:
+        return let(F.coalesce(r["ok"], F.lit(False)), lambda ok: F.struct(*[F.when(ok, r[k]).alias(k) for k in names], ok.alias("ok")))
+
+    return let(raw, kept)
+
+
+def _named_values(text: Column, separator: str = ";") -> Column:
+    """The parts of a list as (key, value); a part without an equals sign has no value."""
+    return F.transform(_parts(text, separator), lambda x: F.struct(_key(x).alias("key"), _value(x).alias("value")))
+
+
+def _first(pairs: Column, name: str) -> tuple[Column, Column]:
+    """The first value under a name, and how many there are."""
+    found = F.filter(pairs, lambda x: x["key"] == name)
+    return F.get(found, 0)["value"], F.size(found)
+
+
+_FMTP = ("profile", "level_idx", "tier")
+
+
+def _fmtp(pairs: Column) -> dict[str, Column]:
+    def field(name: str, default: int) -> tuple[Column, Column]:
+        value, n = _first(pairs, name)
+        return F.when(n == 0, default).otherwise(_whole(value)), n <= 1
+
+    (profile, a), (level, b), (tier, c) = field("profile", 0), field("level-idx", 5), field("tier", 0)
+    sound = a & b & c & ~F.exists(pairs, lambda x: x["value"].isNull())
+    sound &= profile.between(0, 2) & level.between(0, 31) & ~level.isin(*UNDEFINED_LEVELS) & tier.between(0, 1) & ((level > 7) | (tier == 0))
+    return dict(zip(_FMTP, (profile, level, tier), strict=True)) | {"ok": sound}
 
 
 def fmtp(text: Column) -> dict[str, Column]:
@@ -60,31 +94,32 @@ def fmtp(text: Column) -> dict[str, Column]:
     Names are read in any case and unknown ones are ignored; a part without a value, a repeated
     name, a value that is no integer or not defined makes all of it null.
     """
-    parts = _parts(text)
+    found = _judged(_named_values(text), _fmtp)
+    return {k: found[k] for k in (*_FMTP, "ok")}
 
-    def field(name: str, default: int) -> tuple[Column, Column]:
-        found = _named(parts, name)
-        value = F.when(F.size(found) == 0, default).otherwise(_whole(_value(F.get(found, 0))))
-        return value, F.size(found) <= 1
 
-    (profile, a), (level, b), (tier, c) = field("profile", 0), field("level-idx", 5), field("tier", 0)
-    sound = a & b & c & ~F.exists(parts, lambda x: _value(x).isNull())
-    sound &= profile.between(0, 2) & level.between(0, 31) & ~level.isin(*UNDEFINED_LEVELS) & tier.between(0, 1) & ((level > 7) | (tier == 0))
-    ok = F.coalesce(sound, F.lit(False))
-    return {"profile": F.when(ok, profile), "level_idx": F.when(ok, level), "tier": F.when(ok, tier), "ok": ok}
+def fmtp_text(profile: Column, level: Column, tier: Column) -> Column:
+    return F.format_string("profile=%d; level-idx=%d; tier=%d", profile, level, tier)
 
 
-def fmtp_text(profile: Column, level: Column, tier: Column) -> Column:
-    return F.format_string("profile=%d;level-idx=%d;tier=%d", profile, level, tier)
+def fmtp_struct(line: Column) -> Column:
+    """payload_type, the parameters and ok of an ``a=fmtp:`` line."""
+
+    def body(fields: Column) -> dict[str, Column]:
+        number = _payload_type(F.get(fields, 0))
+        found = _judged(_named_values(F.array_join(F.slice(fields, 2, F.greatest(F.size(fields), F.lit(1))), " ")), _fmtp)
+        return {"payload_type": number, "found": found, "ok": (F.size(fields) >= 2) & number.isNotNull()}
+
+    def whole(r: Column) -> Column:
+        return let(r["ok"] & F.coalesce(r["found"]["ok"], F.lit(False)), lambda ok: F.struct(F.when(ok, r["payload_type"]).alias("payload_type"), *[F.when(ok, r["found"][k]).alias(k) for k in _FMTP], ok.alias("ok")))
+
+    return let(_judged(_fields(_rest(line, "fmtp")), body), whole)
 
 
 def fmtp_attribute(line: Column) -> dict[str, Column]:
-    """payload_type and the parameters of an ``a=fmtp:`` line."""
-    fields = _fields(_rest(line, "fmtp"))
-    number = _payload_type(F.get(fields, 0))
-    found = fmtp(F.array_join(F.slice(fields, 2, F.greatest(F.size(fields), F.lit(1))), " "))
-    ok = F.coalesce((F.size(fields) >= 2) & number.isNotNull() & found["ok"], F.lit(False))
-    return {"payload_type": F.when(ok, number), **{k: F.when(ok, found[k]) for k in ("profile", "level_idx", "tier")}, "ok": ok}
+    """The fields of :func:`fmtp_struct`."""
+    found = fmtp_struct(line)
+    return {k: found[k] for k in ("payload_type", *_FMTP, "ok")}
 
 
 def allows(own: dict[str, Column], stream: dict[str, Column]) -> Column:
@@ -93,14 +128,21 @@ def allows(own: dict[str, Column], stream: dict[str, Column]) -> Column:
     return (stream["profile"] <= own["profile"]) & order
 
 
+def rtpmap_struct(line: Column) -> Column:
+    """payload_type, codec, clock and ok of an ``a=rtpmap:`` line."""
+
+    def body(fields: Column) -> dict[str, Column]:
+        number = _payload_type(F.get(fields, 0))
+        return {"payload_type": number.cast("int"), "codec": F.substring_index(F.get(fields, 1), "/", 1), "clock": _whole(F.regexp_replace(F.get(fields, 1), "^[^/]*/", "")), "ok": (F.size(fields) == 2) & F.get(fields, 1).rlike("^[^/]*/[^/]*$") & number.isNotNull()}
+
+    found = _judged(_fields(_rest(line, "rtpmap")), body)
+    return let(found, lambda r: F.struct(*[F.when(r["clock"].isNotNull(), r[k]).alias(k) for k in ("payload_type", "codec", "clock")], (r["ok"] & r["clock"].isNotNull()).alias("ok")))
+
+
 def rtpmap(line: Column) -> dict[str, Column]:
-    """payload_type, codec and clock of an ``a=rtpmap:`` line."""
-    fields = _fields(_rest(line, "rtpmap"))
-    parts = F.split(F.get(fields, 1), "/")
-    number = _payload_type(F.get(fields, 0))
-    clock = _whole(F.get(parts, 1))
-    ok = F.coalesce((F.size(fields) == 2) & (F.size(parts) == 2) & number.isNotNull() & clock.isNotNull(), F.lit(False))
-    return {"payload_type": F.when(ok, number.cast("int")), "codec": F.when(ok, F.get(parts, 0)), "clock": F.when(ok, clock)}
+    """The fields of :func:`rtpmap_struct` without ok."""
+    found = rtpmap_struct(line)
+    return {k: found[k] for k in ("payload_type", "codec", "clock")}
 
 
 def binds_codec(line: Column, codec: str = "AV1", clock: int = 90_000) -> Column:
@@ -109,41 +151,58 @@ def binds_codec(line: Column, codec: str = "AV1", clock: int = 90_000) -> Column
     return F.coalesce((F.upper(m["codec"]) == codec) & (m["clock"] == clock), F.lit(False))
 
 
+def extmap_struct(line: Column) -> Column:
+    """id, direction (empty if not given), uri, attributes and ok of an ``a=extmap:`` line."""
+
+    def body(fields: Column) -> dict[str, Column]:
+        token = F.get(fields, 0)
+        number = _whole(F.substring_index(token, "/", 1))
+        direction = F.when(F.contains(token, F.lit("/")), F.lower(F.regexp_replace(token, "^[^/]*/", ""))).otherwise("")
+        rest = F.array_join(F.slice(fields, 3, F.greatest(F.size(fields), F.lit(1))), " ")
+        return {"id": number, "direction": direction, "uri": F.get(fields, 1), "attributes": rest, "ok": (F.size(fields) >= 2) & number.between(1, 255) & ((direction == "") | direction.isin(*DIRECTIONS))}
+
+    return _judged(_fields(_rest(line, "extmap")), body)
+
+
 def extmap(line: Column) -> dict[str, Column]:
-    """id, direction (empty if not given), uri and attributes of an ``a=extmap:`` line."""
-    fields = _fields(_rest(line, "extmap"))
-    token = F.get(fields, 0)
-    number = _whole(F.substring_index(token, "/", 1))
-    given = F.contains(token, F.lit("/"))
-    direction = F.when(given, F.lower(F.regexp_replace(token, "^[^/]*/", ""))).otherwise("")
-    ok = F.coalesce((F.size(fields) >= 2) & number.between(1, 255) & ((direction == "") | direction.isin(*DIRECTIONS)), F.lit(False))
-    rest = F.array_join(F.slice(fields, 3, F.greatest(F.size(fields), F.lit(1))), " ")
-    return {"id": F.when(ok, number), "direction": F.when(ok, direction), "uri": F.when(ok, F.get(fields, 1)), "attributes": F.when(ok, rest), "ok": ok}
+    """The fields of :func:`extmap_struct`."""
+    found = extmap_struct(line)
+    return {k: found[k] for k in ("id", "direction", "uri", "attributes", "ok")}
 
 
-def rid(line: Column) -> dict[str, Column]:
-    """id, direction, payload_types and restrictions (0: none) of an ``a=rid:`` line.
+_LIMITS = tuple(k.replace("-", "_") for k in RESTRICTIONS)
+
+
+def rid_struct(line: Column) -> Column:
+    """id, direction, payload_types, restrictions (0: none) and ok of an ``a=rid:`` line.
 
     A restriction's name without a value is no limit; unknown or repeated names, and values that are
     not positive, are faults.
     """
-    fields = _fields(_rest(line, "rid"))
-    name, direction = F.get(fields, 0), F.lower(F.get(fields, 1))
-    parts = _parts(F.array_join(F.slice(fields, 3, F.greatest(F.size(fields), F.lit(1))), " "))
-    listed = _named(parts, "pt")
-    types = F.transform(F.split(_value(F.get(listed, 0)), ","), lambda x: F.trim(x))
-    ok = (F.size(fields) >= 2) & name.rlike("^[A-Za-z0-9_-]+$") & direction.isin("send", "recv")
-    ok &= (F.size(listed) == 0) | ((F.size(listed) == 1) & F.coalesce(~F.exists(types, lambda x: x == ""), F.lit(False)))
-    ok &= ~F.exists(parts, lambda x: ~_key(x).isin("pt", *RESTRICTIONS))
-    limits = {}
-    for k in RESTRICTIONS:
-        found = _named(parts, k)
-        raw = _value(F.get(found, 0))
-        limits[k] = F.when(raw.isNull(), 0).otherwise(_whole(raw))
-        ok &= (F.size(found) <= 1) & (raw.isNull() | F.coalesce(_whole(raw) > 0, F.lit(False)))
-    ok = F.coalesce(ok, F.lit(False))
-    out = {"id": F.when(ok, name), "direction": F.when(ok, direction), "payload_types": F.when(ok, F.when(F.size(listed) > 0, types).otherwise(F.array().cast("array<string>")))}
-    return out | {k.replace("-", "_"): F.when(ok, v) for k, v in limits.items()} | {"ok": ok}
+
+    def body(both: Column) -> dict[str, Column]:
+        fields, pairs = both["fields"], both["pairs"]
+        name, direction = F.get(fields, 0), F.lower(F.get(fields, 1))
+        listed, n = _first(pairs, "pt")
+        types = F.when(n > 0, F.transform(F.split(listed, ","), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+        ok = (F.size(fields) >= 2) & name.rlike("^[A-Za-z0-9_-]+$") & direction.isin("send", "recv") & (n <= 1) & F.coalesce(~F.array_contains(types, ""), F.lit(False)) & ~F.exists(pairs, lambda x: ~x["key"].isin("pt", *RESTRICTIONS))
+        out = {"id": name, "direction": direction, "payload_types": types}
+        for k, limit in zip(RESTRICTIONS, _LIMITS, strict=True):
+            raw, times = _first(pairs, k)
+            out[limit] = F.when(raw.isNull(), 0).otherwise(_whole(raw))
+            ok &= (times <= 1) & (raw.isNull() | F.coalesce(_whole(raw) > 0, F.lit(False)))
+        return out | {"ok": ok}
+
+    def split(fields: Column) -> Column:
+        return F.struct(fields.alias("fields"), _named_values(F.array_join(F.slice(fields, 3, F.greatest(F.size(fields), F.lit(1))), " ")).alias("pairs"))
+
+    return _judged(let(_fields(_rest(line, "rid")), split), body)
+
+
+def rid(line: Column) -> dict[str, Column]:
+    """The fields of :func:`rid_struct`."""
+    found = rid_struct(line)
+    return {k: found[k] for k in ("id", "direction", "payload_types", *_LIMITS, "ok")}
 
 
 def rid_allows(limits: dict[str, Column], width: Column, height: Column, fps: Column, bitrate: Column | None = None) -> Column:
@@ -159,58 +218,38 @@ def rid_allows(limits: dict[str, Column], width: Column, height: Column, fps: Co
     return F.when((width > 0) & (height > 0) & (fps > 0), fits)
 
 
-def simulcast_directions(line: Column) -> dict[str, Column]:
-    """sent and received of an ``a=simulcast:`` line: lists of alternatives, each with rid and paused."""
-    fields = _fields(_rest(line, "simulcast"))
-    size = F.size(fields)
-    words = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: i % 2 == 0), lambda i: F.lower(F.get(fields, i)))
-
-    def streams(direction: str) -> Column:
-        at = F.array_position(words, direction)
-        text = F.when(at > 0, F.get(fields, (at * 2 - 1).cast("int")))
-        return F.transform(F.split(text, ";"), lambda s: F.transform(F.split(s, ","), lambda x: F.struct(F.regexp_replace(F.trim(x), "^~", "").alias("rid"), F.trim(x).startswith("~").alias("paused"))))
-
-    sent, received = streams("send"), streams("recv")
-    sound: Callable[[Column], Column] = lambda s: s.isNull() | ~F.exists(s, lambda y: F.exists(y, lambda x: ~x["rid"].rlike("^[A-Za-z0-9_-]+$")))
-    ok = size.isin(2, 4) & (F.size(F.array_distinct(words)) == F.size(words)) & ~F.exists(words, lambda x: ~x.isin("send", "recv")) & sound(sent) & sound(received)
-    ok = F.coalesce(ok, F.lit(False))
-    return {"sent": F.when(ok, sent), "received": F.when(ok, received), "ok": ok}
-
+def simulcast_struct(line: Column) -> Column:
+    """sent, received and ok of an ``a=simulcast:`` line: lists of alternatives, each with rid and paused; ids differ within a direction."""
 
-def simulcast(line: Column) -> Column:
-    """Lists of alternatives of the send direction of an ``a=simulcast:`` line."""
-    return F.transform(simulcast_directions(line)["sent"], lambda s: F.transform(s, lambda x: F.when(x["paused"], F.concat(F.lit("~"), x["rid"])).otherwise(x["rid"])))
+    def body(fields: Column) -> dict[str, Column]:
+        size = F.size(fields)
+        words = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: i % 2 == 0), lambda i: F.lower(F.get(fields, i)))
 
+        def streams(direction: str) -> Column:
+            at = F.array_position(words, direction)
+            text = F.when(at > 0, F.get(fields, (at * 2 - 1).cast("int")))
+            return F.transform(F.split(text, ";"), lambda s: F.transform(F.split(s, ","), lambda x: F.struct(F.regexp_replace(F.trim(x), "^~", "").alias("rid"), F.trim(x).startswith("~").alias("paused"))))
 
-def _sections(sdp: Column) -> Column:
-    """The media sections of a description, each an array of trimmed lower-case lines, with the session's lines first."""
-    return F.transform(F.split(F.concat(F.lit("\n"), F.lower(sdp)), r"\n\s*(?=m=)"), lambda s: F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\r\t]", " "))))
+        known = size.isin(2, 4) & (F.size(F.array_distinct(words)) == F.size(words)) & ~F.exists(words, lambda x: ~x.isin("send", "recv"))
+        return {"sent": streams("send"), "received": streams("recv"), "ok": known}
 
+    def sound(streams: Column) -> Column:
+        ids = F.transform(F.flatten(streams), lambda x: x["rid"])
+        return streams.isNull() | (F.forall(ids, lambda i: i.rlike("^[A-Za-z0-9_-]+$")) & (F.size(F.array_distinct(ids)) == F.size(ids)))
 
-def negotiates(sdp: Column, codec: str = "av1", clock: int = 90_000) -> Column:
-    """Whether an active video section binds the codec to a payload type whose parameters, if given, are sound."""
-    sections = _sections(sdp)
+    known = _judged(_fields(_rest(line, "simulcast")), body)
+    return _judged(known, lambda r: {"sent": r["sent"], "received": r["received"], "ok": r["ok"] & sound(r["sent"]) & sound(r["received"])})
 
-    def direction(lines: Column) -> Column:
-        return F.filter(lines, lambda x: F.substring(x, 3, 100).isin(*DIRECTIONS) & x.startswith("a="))
 
-    session = F.coalesce(F.element_at(F.filter(F.concat(F.array(F.lit("a=sendrecv")), direction(F.get(sections, 0))), lambda x: x.isNotNull()), -1), F.lit("a=sendrecv"))
-
-    def holds(lines: Column) -> Column:
-        media = _fields(F.get(lines, 0))
-        own = F.element_at(F.concat(F.array(session), direction(lines)), -1)
-        active = (F.get(media, 0) == "m=video") & ~F.coalesce(F.regexp_extract(F.get(media, 1), "^[0-9]+", 0) == "0", F.lit(False)) & (own != "a=inactive")
-        bound = F.filter(lines, lambda x: x.startswith("a=rtpmap:") & binds_codec(x, codec.upper(), clock))
-        number = lambda x: rtpmap(x)["payload_type"].cast("string")
-        listed = F.slice(media, 4, F.greatest(F.size(media), F.lit(1)))
-
-        def sound(x: Column) -> Column:
-            own_fmtp = F.filter(lines, lambda y: y.startswith("a=fmtp:") & (F.get(_fields(_rest(y, "fmtp")), 0) == number(x)))
-            return F.array_contains(listed, number(x)) & (F.size(own_fmtp) <= 1) & F.forall(own_fmtp, lambda y: fmtp_attribute(y)["ok"])
+def simulcast_directions(line: Column) -> dict[str, Column]:
+    """The fields of :func:`simulcast_struct`."""
+    found = simulcast_struct(line)
+    return {k: found[k] for k in ("sent", "received", "ok")}
 
-        return F.coalesce(active, F.lit(False)) & F.exists(bound, sound)
 
-    return F.coalesce(F.exists(F.slice(sections, 2, F.greatest(F.size(sections), F.lit(1))), holds), F.lit(False))
+def simulcast(line: Column) -> Column:
+    """Lists of alternatives of the send direction of an ``a=simulcast:`` line."""
+    return F.transform(simulcast_directions(line)["sent"], lambda s: F.transform(s, lambda x: F.when(x["paused"], F.concat(F.lit("~"), x["rid"])).otherwise(x["rid"])))
 
 
 def attribute_lines(payload_type: Column, profile: Column, level: Column, tier: Column) -> Column:
