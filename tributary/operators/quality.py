@@ -80,27 +80,49 @@ def bd_rate_groups(rates: DataFrame) -> DataFrame:
     return out.select(F.coalesce("encoder", F.lit("all")).alias("encoder"), F.when(F.col("failed") == 0, F.col("mean")).alias("mean"), "clips", "failed")
 
 
-def order_statistics(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Minimum, quartiles at n/4, n/2 and 3n/4 of the ordered values (upper median) and maximum.
+#: Buckets of a group's values.
+BUCKETS = 1 << 10
 
-    The values are ranked, not collected, so a group of any size is fine.
-    """
-    order = Window.partitionBy(*keys).orderBy(value, *[c for c in runs.columns if c not in (*keys, value)])
-    ranked = runs.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
-    def at(part: Column) -> Column:
-        return F.max(F.when(F.col("i") == F.floor(part), F.col(value)))
+def order_statistics(runs: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Minimum, quartiles at n/4, n/2 and 3n/4 of the ordered values (upper median) and maximum.
 
-    n = F.col("n")
-    out = ranked.groupBy(*keys).agg(F.min(value).alias("low"), at(n / 4).alias("q1"), at(n / 2).alias("median"), at(n * 3 / 4).alias("q3"), F.max(value).alias("high"))
+    Values are counted, equal ones together, in buckets of their group's range; only the buckets that hold a quartile are put
+    in order, by their different values. No group is sorted as a whole. Null values aren't counted.
+    """
+    counted = runs.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    spans = counted.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("size"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    width = F.col("b.high").cast("double") - F.col("b.low").cast("double")
+    at = F.when(width > 0, F.least(F.floor((F.col("a.v").cast("double") - F.col("b.low").cast("double")) / width * buckets), F.lit(buckets - 1))).otherwise(0)
+    placed = counted.alias("a").join(spans.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.v", "a.n", "b.size", at.alias("bucket"))
+    sums = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"), F.first("size").alias("size"))
+    ahead = F.sum("held").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("held")  # a row for each bucket
+    ranks = F.array(*[F.struct(F.lit(k).alias("q"), F.floor(F.col("size") * k / 4).alias("rank")) for k in (1, 2, 3)])
+    wanted = sums.withColumn("ahead", ahead).withColumn("ranks", F.filter(ranks, lambda r: (r["rank"] >= F.col("ahead")) & (r["rank"] < F.col("ahead") + F.col("held")))).filter(F.size("ranks") > 0)
+    inside = placed.alias("a").join(wanted.select(*keys, "bucket", "ahead", "ranks").alias("b"), [*same, F.col("a.bucket") == F.col("b.bucket")]).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.bucket", "a.v", "a.n", "b.ahead", "b.ranks")
+    upto = F.col("ahead") + F.sum("n").over(Window.partitionBy(*keys, "bucket").orderBy("v"))
+    found = inside.withColumn("upto", upto).select(*keys, "v", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("n")))).alias("r"))
+    quarters = found.groupBy(*keys).agg(*[F.max(F.when(F.col("r.q") == k, F.col("v"))).alias(name) for k, name in ((1, "q1"), (2, "median"), (3, "q3"))])
+    out = spans.alias("a").join(quarters.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.low", "b.q1", "b.median", "b.q3", "a.high")
     return out.withColumn("iqr", F.round(F.col("q3") - F.col("q1"), 6))
 
 
 def nearest(jobs: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """For each job the candidate nearest to its target, ties to values below it and then to the smaller level."""
-    gap = F.abs(F.col("value") - F.col("goal"))
-    best = F.struct(F.round(gap, 9).alias("gap"), (F.col("value") > F.col("goal")).alias("above"), "level")
-    return jobs.join(candidates, keys).groupBy(*keys, "goal").agg(F.min(best).alias("b")).select(*keys, "goal", "b.level", F.col("b.gap").alias("gap"))
+    """For each job the candidate nearest to its target, ties to values below it and then to the smaller level.
+
+    Jobs and candidates are put in one order of values, and each job looks at the last candidate before it and the first one behind: no pairs are made.
+    """
+    levels = candidates.groupBy(*keys, F.round(F.col("value").cast("double"), 9).alias("at")).agg(F.min("level").alias("level"))
+    both = levels.select(*keys, "at", F.struct("at", "level").alias("here"), F.lit(None).cast(jobs.schema["goal"].dataType).alias("goal")).unionByName(
+        jobs.select(*keys, F.round(F.col("goal").cast("double"), 9).alias("at"), F.lit(None).cast(levels.select(F.struct("at", "level").alias("x")).schema["x"].dataType).alias("here"), "goal"))
+    order = Window.partitionBy(*keys).orderBy("at", F.col("here").isNull())
+    below = F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("here", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("below", below).withColumn("above", above).filter("goal is not null")
+    options = F.filter(F.array("below", "above"), lambda c: c.isNotNull())
+    best = F.array_min(F.transform(options, lambda c, i: F.struct(F.round(F.abs(c["at"] - F.col("goal")), 9).alias("gap"), (c["at"] > F.col("goal")).alias("over"), c["level"].alias("level"))))
+    return found.withColumn("b", best).filter("b is not null").select(*keys, "goal", "b.level", F.col("b.gap").alias("gap"))
 
 
 def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

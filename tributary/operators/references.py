@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.operators.scans import levels_of, states_before
+
 #: Pictures, or pieces of them, that are composed at once.
 PIECE = 256
 
@@ -40,25 +42,6 @@ def _composed(first: Column, then: Column, slots: int) -> Column:
     return F.transform(then, row)
 
 
-def _states(maps: DataFrame, stream: str, slots: int, levels: int, piece: int) -> DataFrame:
-    """(stream, at, state) before each map (stream, at, rows); all slots are faulty before the first."""
-    start = F.lit((1 << slots) - 1)
-    pieces = maps.groupBy(stream, F.floor(F.col("at") / piece).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "rows"))).alias("steps"))
-    if levels > 1:
-        same = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), _bit)
-        whole = pieces.select(stream, F.col("up").alias("at"), F.aggregate("steps", same, lambda m, x: _composed(m, x["rows"], slots)).alias("rows"))
-        begun = _states(whole, stream, slots, levels - 1, piece).select(F.col(stream).alias("_stream"), F.col("at").alias("_at"), F.col("state").alias("begun"))
-        pieces = pieces.join(begun, pieces[stream].eqNullSafe(begun["_stream"]) & (pieces["up"] == begun["_at"])).select(stream, "up", "steps", "begun")
-    else:
-        pieces = pieces.withColumn("begun", start)
-    walk = F.struct(F.col("begun").alias("state"), F.array().cast("array<struct<at:bigint,state:int>>").alias("out"))
-
-    def step(w: Column, x: Column) -> Column:
-        return F.struct(_after(x["rows"], w["state"], slots).alias("state"), F.concat(w["out"], F.array(F.struct(x["at"].cast("long").alias("at"), w["state"].alias("state")))).alias("out"))
-
-    return pieces.select(stream, F.explode(F.aggregate("steps", walk, step)["out"]).alias("s")).select(stream, "s.at", "s.state")
-
-
 def spread_faults(pictures: DataFrame, stream: str, picture: str, references: str, refreshes: str, lost: Column, slots: int = 8, piece: int = PIECE) -> DataFrame:
     """Pictures with ``faulty_slots`` (the slots referred to that can't be trusted) and ``faulty``.
 
@@ -72,11 +55,9 @@ def spread_faults(pictures: DataFrame, stream: str, picture: str, references: st
     rows = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: F.when(F.array_contains(named(refreshes), k), depends).otherwise(_bit(k)))
     known = pictures.filter(F.col(picture).isNotNull())
     last = known.agg(F.max(picture)).first()[0] or 0
-    levels = 1
-    while last >= piece**levels:
-        levels += 1
-    maps = known.select(F.col(stream).alias("stream"), F.col(picture).alias("at"), rows.alias("rows"))
-    before = _states(maps, "stream", slots, levels, piece).select(F.col("stream").alias("_stream"), F.col("at").alias("_at"), "state")
+    maps = known.select(F.col(stream).alias("stream"), F.col(picture).alias("at"), rows.alias("map"))
+    same = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), _bit)
+    before = states_before(maps, lambda m, s: _after(m, s, slots), lambda m, n: _composed(m, n, slots), same, F.lit((1 << slots) - 1), "int", levels_of(last, piece), piece).select(F.col("stream").alias("_stream"), F.col("at").alias("_at"), "state")
     out = known.join(before, known[stream].eqNullSafe(before["_stream"]) & (known[picture] == before["_at"]))
     bad = F.filter(F.array_distinct(named(references)), lambda k: F.col("state").bitwiseAND(_bit(k)) != 0)
     return out.select(*pictures.columns, F.array_sort(bad).alias("faulty_slots"), (F.coalesce(lost, F.lit(False)) | (F.size(bad) > 0)).alias("faulty"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tributary.functions.columns import clamp
+from tributary.operators.scans import levels_of, numbered, states_before
+
 
 def _stream():
     """The packets of a stream in sequence order (made when used: windows need a session)."""
@@ -31,7 +33,7 @@ def gap_report(received: DataFrame) -> DataFrame:
 
 def missing_sequences(received: DataFrame) -> DataFrame:
     """Every missing sequence number."""
-    return gaps(received).select("ssrc", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("seq"))
+    return numbered(gaps(received).withColumn("last", F.col("first") + F.col("length") - 1), "first", "last", "seq").select("ssrc", "seq")
 
 
 def after_loss(received: DataFrame) -> DataFrame:
@@ -54,24 +56,46 @@ def unwrapped(packets: DataFrame) -> DataFrame:
     return packets.withColumn("wrap", wrap).select("ssrc", "event_id", "seq", (F.sum("wrap").over(order) * 65536 + F.col("seq")).alias("unwrapped"))
 
 
+#: Sequence numbers of a piece of a stream's losses, and pieces that are folded at once.
+LOSSES, PIECES = 1 << 10, 256
+#: Sequence numbers that a loss pair covers: its base and the sixteen that follow.
+COVERED = 17
+
+
 def packed_nacks(lost: DataFrame) -> DataFrame:
     """Lost sequence numbers packed greedily into (pid, mask) with a mask of the sixteen that follow.
 
-    The base of a pair depends on where the one before ended, but a step of more than sixteen always
-    starts a new one. So the losses are cut there first, and only within such a run folded in order.
+    Where a pair begins depends on where the one before ended, and so on all losses before it. But what a piece
+    of the stream does is a map: from how many of its first numbers are covered already (0 to 16) to how many of the
+    next piece's are. Maps are composed piece by piece; then each piece is packed on its own. Losses may be as dense as they like.
     """
-    start = F.array().cast("array<struct<pid:bigint,mask:bigint>>")
-
-    def step(pairs, seq):
-        last = F.try_element_at(pairs, F.lit(-1))
-        grown = F.concat(F.slice(pairs, F.lit(1), F.size(pairs) - 1), F.array(F.struct(last["pid"].alias("pid"), last["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (seq - last["pid"] - 1).cast("int"))).alias("mask"))))
-        return F.when((F.size(pairs) > 0) & (seq - last["pid"] <= 16), grown).otherwise(F.concat(pairs, F.array(F.struct(seq.alias("pid"), F.lit(0).cast("long").alias("mask")))))
-
-    order = Window.partitionBy("ssrc").orderBy("seq")
-    apart = F.when(F.col("seq") - F.lag("seq").over(order) > 16, 1).otherwise(0)
-    runs = lost.select("ssrc", "seq").distinct().withColumn("apart", apart).withColumn("run", F.sum("apart").over(order))
-    folded = runs.groupBy("ssrc", "run").agg(F.array_sort(F.collect_list("seq")).alias("seqs")).select("ssrc", F.explode(F.aggregate("seqs", start, step)).alias("p"))
-    return folded.select("ssrc", "p.pid", "p.mask")
+    rows = lost.select("ssrc", F.col("seq").cast("long").alias("seq")).filter("seq is not null").distinct().withColumn("piece", F.floor(F.col("seq") / LOSSES))
+    pieces = rows.groupBy("ssrc", "piece").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))  # LOSSES at most
+    begin = F.col("piece") * LOSSES
+
+    def covered(held: Column) -> Column:
+        """The number behind the last one covered, from the number behind those covered at the start."""
+        return F.aggregate("seqs", held, lambda end, x: F.when(x < end, end).otherwise(x + COVERED))
+
+    over = lambda c: F.greatest(covered(begin + c) - begin - LOSSES, F.lit(0)).cast("int")
+    maps = pieces.select(F.col("ssrc").alias("stream"), F.col("piece").alias("at"), F.transform(F.sequence(F.lit(0), F.lit(COVERED - 1)), over).alias("map"))
+    # a piece without losses hands on nothing: what is covered ends within seventeen numbers
+    order = Window.partitionBy("stream").orderBy("at")
+    next_to = F.coalesce(F.lag("at").over(order) == F.col("at") - 1, F.lit(False))
+    none = F.transform(F.sequence(F.lit(0), F.lit(COVERED - 1)), lambda _: F.lit(0))
+    linked = maps.withColumn("first", ~next_to).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    own = F.when(F.col("first"), F.transform(none, lambda _: F.get("map", F.lit(0)))).otherwise(F.col("map"))
+    last = linked.agg(F.max("place")).first()[0] or 0
+    steps = linked.select("stream", F.col("place").alias("at"), own.alias("map"))
+    same = F.sequence(F.lit(0), F.lit(COVERED - 1))
+    before = states_before(steps, lambda m, s: F.get(m, s), lambda m, n: F.transform(m, lambda s: F.get(n, s)), same, F.lit(0), "int", levels_of(last, PIECES), PIECES)
+    begun = linked.join(before.select("stream", F.col("at").alias("place"), "state"), ["stream", "place"]).select(F.col("stream").alias("ssrc"), F.col("at").alias("piece"), F.when(F.col("first"), 0).otherwise(F.col("state")).alias("state"))
+    walk = F.struct((begin + F.col("state")).alias("end"), F.array(begin + F.col("state") - COVERED).alias("starts"))
+    step = lambda w, x: F.when(x < w["end"], w).otherwise(F.struct((x + COVERED).alias("end"), F.concat(w["starts"], F.array(x)).alias("starts")))
+    packed = pieces.join(begun, ["ssrc", "piece"]).withColumn("starts", F.aggregate("seqs", walk, step)["starts"])
+    placed = packed.select("ssrc", F.explode("seqs").alias("seq"), "starts").withColumn("pid", F.array_max(F.filter("starts", lambda p: p <= F.col("seq"))))
+    bit = F.when(F.col("seq") > F.col("pid"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("seq") - F.col("pid") - 1).cast("int"))).otherwise(0)
+    return placed.groupBy("ssrc", "pid").agg(F.sum(bit).cast("long").alias("mask"))
 
 
 def expanded_nacks(pairs: DataFrame) -> DataFrame:
@@ -90,7 +114,7 @@ def repaired(lost: DataFrame, sent: DataFrame, slots: int = 64) -> DataFrame:
 def feedback(received: DataFrame) -> DataFrame:
     """Every expected sequence number of a stream, whether it was received, and its delta in ticks of 250 us."""
     ranges = received.groupBy("ssrc").agg(F.min("ext_seq").alias("low"), F.max("ext_seq").alias("high"))
-    expected = ranges.select("ssrc", F.explode(F.sequence("low", "high")).alias("ext_seq"))
+    expected = numbered(ranges, "low", "high", "ext_seq").select("ssrc", "ext_seq")
     delta = F.floor((F.col("recv_us") - F.lag("recv_us").over(_stream())) / 250).cast("long")
     seen = received.select("ssrc", "ext_seq", "recv_us").withColumn("delta_ticks", F.coalesce(delta, F.lit(0)))
     return expected.join(seen, ["ssrc", "ext_seq"], "left").select("ssrc", "ext_seq", F.col("recv_us").isNotNull().alias("received"), "delta_ticks")

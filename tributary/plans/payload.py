@@ -65,9 +65,8 @@ def rtp_packetizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", unit.alias("u")))), lambda x: x["u"]).alias("units"))
     packets = P.packed(pictures, "units", 1200, 40, 40)
     units = P.reassembled(packets.withColumnRenamed("packet", "ext_seq"), "o_custkey")
-    listed = F.array_sort(F.collect_list(F.struct("first_seq", "last_seq", F.col("n").alias("n"), F.hex("data").alias("d"))))
-    numbered = units.filter("complete").withColumn("n", F.monotonically_increasing_id())
-    rows = numbered.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("units"), F.sum(F.octet_length("data")).alias("bytes"), listed.alias("l"))
+    listed = F.array_sort(F.collect_list(F.struct("unit", F.hex("data").alias("d"))))
+    rows = units.filter("complete").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("units"), F.sum(F.octet_length("data")).alias("bytes"), listed.alias("l"))
     return rows.select("o_custkey", "units", "bytes", F.md5(F.unhex(F.array_join(F.transform("l", lambda x: x["d"]), ""))).alias("digest"))
 
 

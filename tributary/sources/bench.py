@@ -94,14 +94,14 @@ def pooled_mean(json: Column, expected: Column, metric: str = "vmaf") -> dict[st
 
 
 def benchmark_lines(lines: DataFrame, line: str) -> DataFrame:
-    """The rows of a benchmark log: name, cpus, and its measurements as (value, unit)."""
+    """The rows of a benchmark log: name, cpus, and its measurements as (value, unit). A count of processors that is zero or no int makes a line none."""
     fields = F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
     token = F.get(fields, 0)
     shape = r"^(Benchmark.+)-([0-9]+)$"
     rest = F.slice(fields, 3, F.greatest(F.size(fields), F.lit(1)))
     pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(rest) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (F.size(rest) >= 2)), lambda i: F.struct(F.get(rest, i).try_cast("double").alias("value"), F.get(rest, i + 1).alias("unit")))
     rows = lines.withColumn("_f", token).filter(F.col("_f").rlike(shape))
-    return rows.select(*[c for c in lines.columns if c != line], F.regexp_extract("_f", shape, 1).alias("name"), F.regexp_extract("_f", shape, 2).cast("int").alias("cpus"), pairs.alias("measures"))
+    return rows.select(*[c for c in lines.columns if c != line], F.regexp_extract("_f", shape, 1).alias("name"), F.regexp_extract("_f", shape, 2).try_cast("int").alias("cpus"), pairs.alias("measures")).filter("cpus > 0")
 
 
 def benchmark_rows(lines: DataFrame, line: str) -> DataFrame:
@@ -125,10 +125,12 @@ def flattened(rows: DataFrame, counters: dict[str, int]) -> DataFrame:
     return rows.select(*keys, *[F.get(F.col(c), F.lit(i)).alias(f"{c}_{i}") for c, n in counters.items() for i in range(n)])
 
 
-def metadata_json(rows: DataFrame, keys: list[str], clip: list[str]) -> DataFrame:
-    """A document per group of keys: its keys, and its clips in order."""
+def metadata_json(rows: DataFrame, keys: list[str], clip: list[str], most: int = 100_000) -> DataFrame:
+    """A document per group of keys: its keys, and its clips in order; a group of more than ``most`` clips has several, one behind the other."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*clip)) - 1
     listed = F.array_sort(F.collect_list(F.struct(*clip)))
-    return rows.groupBy(*keys).agg(listed.alias("clips")).select(*keys, F.to_json(F.struct(*keys, "clips")).alias("document"))
+    parts = rows.withColumn("_part", F.floor(place / most)).groupBy(*keys, "_part").agg(listed.alias("clips"))
+    return parts.select(*keys, F.to_json(F.struct(*keys, "clips")).alias("document"))
 
 
 def i420_frames(files: DataFrame, width: int, height: int, bytes_per_sample: int = 1, content: str = "content") -> DataFrame:
@@ -187,5 +189,6 @@ def record_bytes(payload: Column) -> Column:
 def ivf_at(files: DataFrame, wanted: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """The wanted frames (keys, idx) of files: an index of places and sizes is joined, and only those bytes are cut out."""
     index = ivf_frames(files, content).filter("error is null").select(*keys, "idx", "offset", F.octet_length("payload").alias("size"))
-    places = index.join(wanted.select(*keys, "idx").distinct(), [*keys, "idx"])
-    return files.join(places, keys).select(*keys, "idx", F.substring(F.col(content), F.col("offset").cast("int") + 1, F.col("size")).alias("payload"))
+    places = index.join(wanted.select(*keys, "idx").distinct(), [*keys, "idx"]).groupBy(*keys).agg(F.collect_list(F.struct("idx", "offset", "size")).alias("places"))
+    cut = F.transform("places", lambda p: F.struct(p["idx"].alias("idx"), F.substring(F.col(content), p["offset"].cast("int") + 1, p["size"]).alias("payload")))
+    return files.join(places, keys).select(*keys, F.explode(cut).alias("x")).select(*keys, "x.idx", "x.payload")

@@ -84,7 +84,7 @@ def fragmented(rows: DataFrame, data: str, mtu: int, new_sequence: Column | None
 
 
 def reassembled(packets: DataFrame, stream: str = "ssrc", seq: str = "ext_seq", content: str = "payload") -> DataFrame:
-    """One row per unit of each stream: first and last sequence number, fragments, new_sequence, complete and data.
+    """One row per unit of each stream: its number, first and last sequence number, fragments, new_sequence, complete and data.
 
     A unit is complete if its elements follow each other without a lost packet, from one that starts
     it to one that ends it; the data of others is null. Elements are numbered by a running count of
@@ -100,7 +100,7 @@ def reassembled(packets: DataFrame, stream: str = "ssrc", seq: str = "ext_seq",
         F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count(F.lit(1)).alias("fragments"), F.bool_or("new_sequence").alias("new_sequence"),
         (~F.min_by("continues_previous", F.struct(seq, "idx")) & ~F.max_by("continues_next", F.struct(seq, "idx"))).alias("complete"), pieces.alias("pieces"))
     whole = joined_bytes(F.transform("pieces", lambda x: x["d"]))
-    return units.select(stream, "first_seq", "last_seq", "fragments", "new_sequence", "complete", F.when(F.col("complete"), whole).alias("data"))
+    return units.select(stream, "unit", "first_seq", "last_seq", "fragments", "new_sequence", "complete", F.when(F.col("complete"), whole).alias("data"))
 
 
 def _coded(n: int) -> int:
