@@ -121,3 +121,14 @@ def test_pairs_with_a_key_are_left_to_the_long_signature(spark):
     schema = "struct<" + ",".join(f"{c}:long" for c in near) + ">"
     df = spark.createDataFrame([(tuple(near.values()), tuple(far.values()))], f"p {schema}, q {schema}")
     assert df.select(minhash._near("p", "q").alias("x")).first().x
+
+
+def test_items_of_a_window_that_all_share(spark):
+    """A line that every item holds is one pattern at the tasks; its items come from the table. Clashing names, repeated ids, a long text."""
+    items = spark.createDataFrame([(i, f"the licence line of them all {i} own words {i}") for i in range(300)], "item_id long, text string")
+    long = "x " * 50_000 + "the licence line of them all" + " y" * 50_000
+    docs = spark.createDataFrame([(1, long, 0), (1, "nothing here", 0), (None, "THE licence, line of them all", 0)], "doc_id long, text string, n_words int").withColumns({c: F.lit("q") for c in ("spans", "items", "hits", "id", "name", "block")})
+    got = sorted(((r.n_words, len(r["items"]), [(s.start, s.end) for s in r.spans]) for r in decontaminate.find_benchmark(docs, items, window=6).collect()))
+    assert got == [(2, 0, []), (6, 300, [(0, 6)]), (100_006, 300, [(50_000, 50_006)])]
+    assert decontaminate.find_benchmark(docs.limit(0), items).collect() == []
+    assert decontaminate.clean_documents(docs, items, window=6).select("text").collect() == [("nothing here",)]

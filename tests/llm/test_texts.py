@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tributary.llm import chat, html, pii, queries, rules
-from tributary.llm.scratch import written
 
 
 def test_queries_with_sql(spark, duck):
@@ -223,9 +222,23 @@ def test_wrappers_named_like_side_parts_are_entered():
     assert html.main_text(f'<body><div><p>{PROSE}</p></div><div id="comments"><p>{PROSE} {PROSE} {PROSE}</p></div></body>') == PROSE
 
 
-def test_rule_sample_is_scanned_in_parallel(spark, monkeypatch):
-    """Only the drawn rows go to one task: the scan isn't coalesced."""
-    plans = []
-    monkeypatch.setattr(rules, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
-    rules.ordered(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert plans and not any("Coalesce" in p for p in plans) and all("Exchange" in p for p in plans)
+def test_rules_are_priced_in_one_job(spark):
+    """Two jobs, a count and the sample; the same rows give the same order, and no sample is put into one task."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.sparkContext.setJobGroup("pricing", "pricing")
+    orders = [[r.name for r in rules.ordered(docs)] for _ in range(2)]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("pricing")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert orders[0] == orders[1] and len(jobs) <= 2 * 4 and sorted(orders[0]) == sorted(r.name for r in rules.RULES)
+    assert [r.name for r in rules.ordered(docs.limit(0))] == [r.name for r in rules.RULES]
+
+
+def test_turns_of_one_number_are_ordered_by_role_and_text(spark):
+    """Ties of turns give the digests that the SQL's order gives; null and repeated turns are turns."""
+    rows = [(5, 0, "user", "zebra one"), (5, 0, "user", "apple two"), (5, 1, "assistant", "b"), (5, 1, "assistant", "a"), (5, 1, "assistant", "a"), (5, 1, None, None), (5, 2, "system", ""), (None, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("ids", "said", "id")})
+    [got] = chat.digests(chat.format_chats(df.repartition(3))).collect()
+    turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == 5)
+    said = "".join(x for _, r, x in turns if r == "assistant")
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (7, len(said), hashlib.sha256(said.encode()).hexdigest())

@@ -143,7 +143,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     conversation stand one behind the other in one partition, the last one with ``ended``. Turns stream
     through tasks in sorted order, so that a task holds one piece, however long a conversation is.
 
-    Turns are ordered by turn number (nulls first), ties by role and then by their ids; a repeated
+    Turns are ordered by turn number (nulls first), ties by role and then by text; a repeated
     row is a turn of its own. A null text or role is an empty one. Rows without a conversation id
     belong to none and are left out; an empty table gives no rows. The loss mask covers what
     assistants say and no marks.
@@ -156,7 +156,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         for batch in batches:
             if batch.num_rows:
                 ids = [np.asarray(enc.encode(escape(t or "")), np.int32) for t in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(ids, pa.int32())], names=["id", "turn", "role", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(ids, pa.int32()), batch.column(3)], names=["id", "turn", "role", "ids", "said"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(ranks.value)
@@ -179,8 +179,9 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             yield _rows([*done, at.row(True, enc)])
 
     rows = turns.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(encoded, "id long, turn long, role string, ids array<int>")
-    ordered = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "ids")
+    rows = rows.mapInArrow(encoded, "id long, turn long, role string, ids array<int>, said string")
+    # the text goes along for the order of equal turns
+    ordered = rows.repartition("id").sortWithinPartitions("id", "turn", F.coalesce("role", F.lit("")), F.coalesce("said", F.lit(""))).drop("said")
     return ordered.mapInArrow(assembled, PIECES).withColumnRenamed("id", id_col)
 
 

@@ -12,10 +12,12 @@ more passes, so nothing that grows with it is held at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tributary.llm.native import let, running
 from tributary.llm.scratch import keyed_by, written
@@ -107,6 +109,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _pattern_rows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, pattern) for each window of each item."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -114,43 +118,43 @@ def _pattern_rows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.string()), pa.array(rows, pa.binary())], names=["item", "pattern"])
 
     rows = benchmark.select(F.col(id_col).cast("string"), text_col).filter(F.col(id_col).isNotNull()).mapInArrow(build, "item string, pattern binary")
-    return rows.groupBy("pattern").agg(F.collect_set("item").alias("items"))
+    return rows.distinct()
 
 
 class _Patterns:
-    """Patterns with their items, as they are sent to all tasks; a worker builds the search tables once."""
+    """Patterns as they are sent to all tasks; a worker builds the search tables once."""
 
-    def __init__(self, patterns: list[tuple[bytes, list[str]]]):
+    def __init__(self, patterns: list[bytes]):
         self.patterns, self.tables = patterns, None
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
         if self.tables is None:
-            self.tables = WuManber([p for p, _ in self.patterns])
+            self.tables = WuManber(self.patterns)
         spans, found = self.tables.search(words)
-        return spans, sorted({i for p in found for i in self.patterns[p][1]})
+        return spans, sorted(found)
 
     def __getstate__(self) -> dict:
         return {"patterns": self.patterns, "tables": None}
 
 
-def _search(docs: DataFrame, patterns: list[tuple[bytes, list[str]]]) -> DataFrame:
-    """(id, n_words, spans, items) of every row of (id, text), for one block of patterns."""
+def _search(docs: DataFrame, patterns: list[bytes]) -> DataFrame:
+    """(id, name, n_words, spans, hits) of every row of (id, name, text), for one block of patterns; hits are numbers of patterns."""
     shared = docs.sparkSession.sparkContext.broadcast(_Patterns(patterns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            n, all_spans, all_items = [], [], []
-            for text in batch.column(1):
+            n, all_spans, hits = [], [], []
+            for text in batch.column(2):
                 words = words_of(text.as_py())
-                spans, items = known.search(words)
+                spans, found = known.search(words)
                 n.append(len(words))
                 all_spans.append([{"start": a, "end": b} for a, b in spans])
-                all_items.append(items)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
+                hits.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(all_spans, _SPANS), pa.array(hits, pa.list_(pa.int32()))], names=["id", "name", "n_words", "spans", "hits"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    kind = docs.schema["name"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id long, name {kind}, n_words long, spans array<struct<start:long,end:long>>, hits array<int>")
 
 
 def _merged_spans(parts: Column) -> Column:
@@ -168,35 +172,55 @@ def _merged_spans(parts: Column) -> Column:
     return let(F.array_sort(F.flatten(parts)), joined)
 
 
+def _windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame, int]:
+    """The different patterns (pattern, block, number), the items that have them (item, pattern), and the number of blocks."""
+    pairs = written(_pattern_rows(benchmark, item_col, text_col, window), "pairs")
+    patterns = pairs.select("pattern").distinct()
+    size = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("pattern")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_WINDOWS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    numbers = F.row_number().over(Window.partitionBy("block").orderBy("pattern")) - 1  # of one block
+    return written(patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))).withColumn("number", numbers), "patterns"), pairs, blocks
+
+
+def _found(docs: DataFrame, patterns: DataFrame, blocks: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, name, n_words, spans) of every row under a number of its own, and what each block found: (id, block, hits) beside others."""
+    named = docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("name"), F.col(text_col).alias("text"))
+
+    def block_of(k: int) -> list[bytes]:
+        return [bytes(r["pattern"]) for r in patterns.filter(F.col("block") == k).orderBy("number").collect()]
+
+    if blocks == 1:
+        part = written(_search(named, block_of(0)).withColumn("block", F.lit(0)), "found")
+        return part.select("id", "name", "n_words", "spans"), [part]
+    rows = written(named, "searched")
+    parts = []
+    for k in range(blocks):
+        found = _search(rows, block_of(k)).withColumn("block", F.lit(k))
+        # the first block's rows bring the name and the number of words of every text
+        parts.append(written(found if k == 0 else found.filter(F.size("hits") > 0), "found"))
+    whole = reduce(DataFrame.unionByName, [p.select("id", "spans") for p in parts]).groupBy("id").agg(_merged_spans(F.collect_list("spans")).alias("spans"))
+    return parts[0].select("id", "name", "n_words").join(whole, "id"), parts
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """Benchmark windows in documents: id, n_words, spans (of words, end exclusive) and items per row.
 
     ``items`` are the ids, as sorted strings, of the items of which a window occurs. Null and empty
     texts have no words; an item without words or without an id has no windows; a shorter item is
-    one window as a whole. Repeated items count once. One row comes back for each input row; an
-    empty table gives an empty one. Beyond one block of patterns the rows are written once, each
-    block scans them, and only what is found is put together.
-    """
-    patterns = written(_pattern_rows(benchmark, item_col, item_text_col, window), "patterns")
-    size = patterns.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("pattern") + F.size("items") * 16).alias("bytes")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_WINDOWS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    one window as a whole. Repeated items count once. One row comes back for each input row, however
+    often its id occurs; an empty table gives an empty one. A very long text is searched whole. Other columns aren't read.
 
-    def block_of(k: int) -> list[tuple[bytes, list[str]]]:
-        return [(bytes(r["pattern"]), sorted(r["items"])) for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()]
-
-    if blocks == 1:
-        found = _search(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), block_of(0))
-        return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
-    rows = written(docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("name"), F.col(text_col).alias("text")), "searched")
-    parts = None
-    for k in range(blocks):
-        found = _search(rows.select("id", "text"), block_of(k))
-        # the first block's rows bring the number of words of every text
-        part = written(found if k == 0 else found.filter(F.size("items") > 0), "found")
-        parts = part if parts is None else parts.unionByName(part)
-    whole = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = rows.select("id", "name").join(whole, "id")
-    return out.select(F.col("name").alias(id_col), "n_words", _merged_spans(F.col("parts")).alias("spans"), "items")
+    What goes to the tasks are the different windows, in blocks of bounded size; the items that share a window
+    stay in a table, which only the hits are joined with. Beyond one block the rows are written once, and each
+    block scans them.
+    """
+    patterns, pairs, blocks = _windows(benchmark, item_col, item_text_col, window)
+    found, parts = _found(docs, patterns, blocks, id_col, text_col)
+    hits = reduce(DataFrame.unionByName, [p.select("id", "block", F.explode("hits").alias("number")) for p in parts])
+    postings = written(pairs.join(patterns, "pattern").select("block", "number", "item"), "postings")
+    items = hits.join(postings, ["block", "number"]).select("id", "item").distinct().groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = found.join(items, "id", "left")
+    return out.select(F.col("name").alias(id_col), "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, share: float = 0.0) -> DataFrame:
@@ -207,7 +231,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """
     key = keyed_by(docs)
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = find_benchmark(rows, benchmark, key, text_col, window=window)
+    patterns, _, blocks = _windows(benchmark, "item_id", "text", window)
+    found, _ = _found(rows, patterns, blocks, key, text_col)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    leaked = found.withColumn("n_hit", hit).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * share)).select(key)
+    leaked = found.withColumn("n_hit", hit).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * share)).select(F.col("name").alias(key))
     return rows.join(leaked, key, "left_anti").select(docs.columns)
