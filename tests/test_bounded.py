@@ -87,3 +87,27 @@ def test_frames_by_place(spark):
     files = K.ivf_file(rows, ["file"], 8, 8, 30, 1)
     wanted = spark.createDataFrame([(0, 1), (0, 1), (0, 9), (1, 0), (3, 10)], "file long, idx int")
     assert sorted((r.file, r.idx, bytes(r.payload)) for r in H.ivf_at(files, wanted, ["file"]).collect()) == [(0, 1, b"4"), (0, 9, b"36"), (1, 0, b"1")]
+
+
+def test_streams_in_segments_of_any_size(spark, duck, monkeypatch):
+    """Streams cut into segments of a few units, between temporal units where those are numbered, read as whole ones."""
+    from compare import same
+
+    from tributary.plans import payload, registry
+
+    SF = "/root/testdata/sf0.001"
+    for limit in (1, 300):
+        monkeypatch.setattr(registry, "FILE", limit)
+        monkeypatch.setattr(payload, "FILE", limit)
+        for name in ("temporal_units", "annexb_temporal_units", "annexb_to_low_overhead", "annexb_roundtrip"):
+            same(registry.QUERIES[name](spark, SF), duck.sql(registry.ORACLE_SQL[name]))
+
+
+def test_statistics_and_categories(spark, tmp_path):
+    H.write_stats(spark.createDataFrame([("a", 5, "ok")], "clip string, tiles int, status string").coalesce(1), str(tmp_path / "s"))
+    [row] = spark.read.csv(str(tmp_path / "s"), header=True).collect()
+    assert len(row) == 40 and (row.clip, row.tiles, row.status, row.error) == ("a", "5", "ok", None) and row.__fields__ == list(H.STATS)
+    rates = spark.createDataFrame([("x", "e", 2.0, "ok"), ("y", "e", 4.0, "ok"), ("z", "e", None, "no anchor"), ("x", "f", 1.0, "ok")], "clip string, encoder string, bd_rate double, status string")
+    clips = spark.createDataFrame([("x", "Talk  show"), ("y", " talk show"), ("z", None)], "clip string, category string")
+    got = {(r.label, r.encoder): (r["mean"], r.clips, r.failed) for r in Q.bd_rate_categories(rates, clips).collect()}
+    assert got == {("overall", "e"): (None, 3, 1), ("overall", "f"): (1.0, 1, 0), ("category:talk show", "e"): (3.0, 2, 0), ("category:talk show", "f"): (1.0, 1, 0)}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tributary.functions.columns import normal_category
+
 POINTS = 4
 
 
@@ -80,6 +82,19 @@ def bd_rate_groups(rates: DataFrame) -> DataFrame:
     return out.select(F.coalesce("encoder", F.lit("all")).alias("encoder"), F.when(F.col("failed") == 0, F.col("mean")).alias("mean"), "clips", "failed")
 
 
+def bd_rate_categories(rates: DataFrame, clips: DataFrame) -> DataFrame:
+    """Equal-weight means over all clips (``overall``) and over those of each category, by encoder; one that isn't ok makes its group an error.
+
+    ``clips`` has clip and category; categories are taken in lower case with single spaces, and a clip without one
+    counts for the whole only.
+    """
+    named = clips.select("clip", normal_category(F.coalesce("category", F.lit(""))).alias("category")).distinct()
+    labels = F.array_compact(F.array(F.lit("overall"), F.when(F.col("category") != "", F.concat(F.lit("category:"), "category"))))
+    rows = rates.join(named, "clip").withColumn("label", F.explode(labels))
+    out = rows.groupBy("label", "encoder").agg(F.round(F.avg("bd_rate"), 2).alias("mean"), F.count(F.lit(1)).alias("clips"), F.count_if(F.col("status") != "ok").alias("failed"))
+    return out.withColumn("mean", F.when(F.col("failed") == 0, F.col("mean")))
+
+
 #: Buckets of a group's values.
 BUCKETS = 1 << 10
 

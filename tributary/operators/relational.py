@@ -41,6 +41,19 @@ def curve_points(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "metric", "rate", F.row_number().over(w).cast("long").alias("place"), F.coalesce(F.col("metric") == F.lag("metric").over(w), F.lit(False)).alias("repeats"))
 
 
+def accepted_curves(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The points of the curves on which no metric occurs twice, in order; the other curves are rejected as a whole."""
+    judged = rows.groupBy(*keys).agg((F.count_distinct("metric") == F.count("metric")).alias("_sound"))
+    return curve_points(rows.join(judged.filter("_sound").drop("_sound"), keys, "left_semi"), keys).drop("repeats")
+
+
+def labelled_places(rows: DataFrame, group: str, label: str, order: list[str] | None = None) -> DataFrame:
+    """Rows with the place of their label among the different labels of their group, ``overall`` first and the others by name."""
+    names = rows.select(group, label).distinct()
+    w = Window.partitionBy(group).orderBy(F.col(label) != "overall", label)
+    return rows.join(names.withColumn("place", F.row_number().over(w).cast("long")), [group, label])
+
+
 def super_block_refresh(pictures: DataFrame, blocks: int, percent: int) -> DataFrame:
     """The range of blocks that each eligible picture refreshes: it moves on by a share and wraps to 0.
 

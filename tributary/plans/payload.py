@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tributary.plans.registry import query
+from tributary.plans.registry import FILE, query
 from tributary.sources import containers as K
 from tributary.sources import payloads as P
 from tributary.sources import rtcp as RC
@@ -182,8 +182,11 @@ def twcc_packet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 select user_id, cast(greatest(td - 1, 0) as int) as temporal_unit, count(*) as units from k group by 1, 2""")
 def temporal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams with delimiters, read into temporal units."""
-    rows = S.units(spark, sf_dir).select("user_id", "event_id", "type", "t", "s", F.encode("event_type", "utf-8").alias("payload"))
-    return K.low_overhead_units(K.low_overhead_stream(rows, ["user_id"], "event_id")).filter("error is null").groupBy("user_id", "temporal_unit").agg(F.count(F.lit(1)).alias("units"))
+    begun = F.sum(F.when(F.col("type") == 2, 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = S.units(spark, sf_dir).select("user_id", "event_id", "type", "t", "s", F.encode("event_type", "utf-8").alias("payload"), F.greatest(begun - 1, F.lit(0)).alias("unit"))
+    parts = K.segmented_units(rows, ["user_id"], "unit", F.octet_length("payload").cast("long") + 8, FILE)
+    found = K.low_overhead_units(K.low_overhead_stream(parts, ["user_id", "segment", "first_unit"], "event_id")).filter("error is null")
+    return found.groupBy("user_id", (F.col("first_unit") + F.col("temporal_unit")).alias("temporal_unit")).agg(F.count(F.lit(1)).alias("units"))
 
 
 @query(f"with {S.UNITS} select event_id, cast(type as int) as type, cast(t as int) as temporal_id, cast(s as int) as spatial_id, event_type as payload from ob")

@@ -410,16 +410,18 @@ def annexb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(UNIT_ROWS.replace("select user_id, cast(row", "select user_id, cast((row_number() over (partition by user_id order by event_id) - 1) // 10 as int) as temporal_unit, cast(row", 1))
 def annexb_temporal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units written as temporal units of ten, and read back."""
-    coded = _coded(spark, sf_dir).withColumn("ten", F.floor(F.col("place") / 10))
-    rows = K.annexb_units(K.annexb_stream(coded, ["user_id"], "event_id", "ten"))
-    return rows.select("user_id", "temporal_unit", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+    coded = _coded(spark, sf_dir).withColumn("ten", F.floor(F.col("place") / 10)).drop("segment", "first")
+    parts = K.segmented_units(coded, ["user_id"], "ten", F.octet_length("payload").cast("long") + 8, FILE)
+    rows = K.annexb_units(K.annexb_stream(parts, ["user_id", "segment", "first", "first_unit"], "event_id", "ten"))
+    return rows.select("user_id", (F.col("first_unit") + F.col("temporal_unit")).alias("temporal_unit"), (F.col("first") + F.col("idx")).alias("idx"), "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
 
 
 @query(UNIT_ROWS)
 def annexb_to_low_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-delimited streams turned into low-overhead ones, and read back."""
-    streams = K.annexb_as_low_overhead(K.annexb_stream(_coded(spark, sf_dir), ["user_id"], "event_id"), ["user_id"])
-    return K.low_overhead_units(streams).select("user_id", "idx", "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
+    keys = ["user_id", "segment", "first"]
+    streams = K.annexb_as_low_overhead(K.annexb_stream(_coded(spark, sf_dir), keys, "event_id"), keys)
+    return K.low_overhead_units(streams).select("user_id", (F.col("first") + F.col("idx")).alias("idx"), "type", "temporal_id", "spatial_id", F.decode("payload", "utf-8").alias("payload"))
 
 
 @query(_pk(" select event_id, event_id % 5 = 0 as marker, cast(96 + event_id % 4 as int) as payload_type, cast(seq as int) as seq, (event_id * 3000) % 4294967296 as timestamp, ssrc, event_type as payload from pk"))
@@ -438,14 +440,23 @@ def rtcp_nack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RC.rtcp_packets(coded).select("media_ssrc", F.explode("nacks").alias("n")).select("media_ssrc", "n.pid", "n.mask")
 
 
+#: One arrival a step. ``g`` are the packets held and the one that came; the window moves to the first number that isn't held and has
+#: no packet eight or more ahead of it, and what lies before is released.
+REORDER = S.PACKETS.replace("pk as", "recursive pk as", 1) + """, st as (select ssrc, ext_seq, size, row_number() over (partition by ssrc order by arrival) as i from arr), n as (select ssrc, count(*) as n from st group by 1),
+w as (select distinct ssrc, cast(0 as bigint) as i, cast(null as bigint) as next, cast([] as bigint[]) as held, cast([] as bigint[]) as done, cast(null as bigint) as was from st union all
+ select ssrc, i, nn, list_filter(g, lambda x: x >= nn), list_sort(list_filter(g, lambda x: x < nn)), now from (
+  select *, list_min(list_filter(list_concat([now], list_transform(g, lambda x: x + 1)), lambda c: not list_contains(g, c) and coalesce(list_max(g), c) - c < 8 or list_max(g) < c)) as nn from (
+   select w.ssrc, st.i, coalesce(w.next, st.ext_seq) as now, case when st.ext_seq < coalesce(w.next, st.ext_seq) or list_contains(w.held, st.ext_seq) then w.held else list_append(w.held, st.ext_seq) end as g from w join st on st.ssrc = w.ssrc and st.i = w.i + 1))),
+o as (select ssrc, i, unnest(done) as ext_seq, was, done from w union all select w.ssrc, w.i + 1, unnest(list_sort(held)), next, list_sort(held) from w join n on n.ssrc = w.ssrc and n.n = w.i)
+select o.ssrc, o.ext_seq, pk.size, o.ext_seq <> o.was and not list_contains(o.done, o.ext_seq - 1) as after_loss from o join pk on pk.ssrc = o.ssrc and pk.ext_seq = o.ext_seq"""
+
+
+@query("with " + REORDER)
 def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals put in order through a window of eight slots, as the stateful stream does it."""
     return ST.reordered_batch(S.arrivals(spark, sf_dir), 8)
 
 
-QUERIES["stream_reorder"] = stream_reorder
-
-
 @query(f"with {S.UNITS} select user_id, event_type, min(event_id) as first_seen from ob group by 1, 2")
 def first_seen_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RL.first_seen(S.units(spark, sf_dir), ["user_id", "event_type"], "event_id")
@@ -489,4 +500,4 @@ def summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries, which register themselves.
-from tributary.plans import bench, description, payload, streams  # noqa: E402, F401
+from tributary.plans import bench, description, measures, payload, streams  # noqa: E402, F401

@@ -119,6 +119,24 @@ def write_results(rows: DataFrame, path: str) -> None:
     rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in RESULT]).write.csv(path, header=True)
 
 
+# The columns of an encoder's statistics, in order.
+STATS = (
+    "clip", "width", "height", "frames", "fps", "encoder", "target_bps", "actual_bps", "encoded_frames", "keyframes", "inter_frames", "tiles", "partition_decisions", "blocks", "inter_blocks", "intra_blocks", "skip_blocks", "coded_blocks",
+    "compound_blocks", "split_tx_blocks", "single_tx_blocks", "luma_txbs", "primary_last", "primary_golden", "block_8x8", "block_16x16", "block_32x32", "block_64x64", "block_16x8", "block_8x16", "block_32x16", "block_16x32",
+    "tx_dct_dct", "tx_adst_dct", "tx_dct_adst", "tx_adst_adst", "tx_idtx", "non_dct_txbs", "status", "error",
+)
+
+
+def stats_line(row: dict[str, Column]) -> Column:
+    """A row of statistics as a line of a comma-separated file; what isn't given is empty."""
+    return F.to_csv(F.struct(*[row.get(c, F.lit(None).cast("string")).cast("string").alias(c) for c in STATS]))
+
+
+def write_stats(rows: DataFrame, path: str) -> None:
+    """Statistics as comma-separated files with a header."""
+    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in STATS]).write.csv(path, header=True)
+
+
 def flattened(rows: DataFrame, counters: dict[str, int]) -> DataFrame:
     """Arrays of counters as columns of their own, named by the array and the place."""
     keys = [c for c in rows.columns if c not in counters]

@@ -229,6 +229,19 @@ def segmented(rows: DataFrame, keys: list[str], order: str, size: Column, limit:
     return out.withColumn("first", F.min("place").over(Window.partitionBy(*keys, "segment")))
 
 
+def segmented_units(rows: DataFrame, keys: list[str], temporal: str, size: Column, limit: int) -> DataFrame:
+    """As :func:`segmented`, but cut between temporal units, whose numbers are in ``temporal``.
+
+    ``first`` is the number of the segment's first row in its group, ``first_unit`` that of its first temporal unit.
+    """
+    per = rows.groupBy(*keys, temporal).agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    ahead = Window.partitionBy(*keys).orderBy(temporal)  # a row for each temporal unit
+    cut = per.withColumn("segment", F.floor((F.sum("_bytes").over(ahead) - F.col("_bytes")) / limit)).withColumn("_before", F.sum("_rows").over(ahead) - F.col("_rows"))
+    within = Window.partitionBy(*keys, "segment")
+    placed = cut.select(*keys, temporal, "segment", F.min("_before").over(within).cast("int").alias("first"), F.min(temporal).over(within).cast("int").alias("first_unit"))
+    return rows.join(placed, [*keys, temporal])
+
+
 def low_overhead_stream(units: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Each group's units (type, t, s, payload) as one low-overhead stream; large groups are cut by :func:`segmented` first."""
     record = unit_bytes(F.col("type"), F.col("t"), F.col("s"), F.col("payload"))
