@@ -30,7 +30,7 @@ BUCKETS = 4096
 TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\s]++"
 #: Evidence of longer texts is scaled down to that of so many indicators, to keep memberships soft.
 EVIDENCE = 25.0
-#: Steps at most, and how far a share may be from its target; what is left is logged.
+#: Steps at most, and how far a share may be from its target; what is left is logged and returned.
 STEPS, TOLERANCE = 60, 1e-7
 LOG = logging.getLogger(__name__)
 
@@ -85,23 +85,25 @@ def mixed(docs: DataFrame, model: Memberships, targets: dict[str, float], id_col
 
     ``targets`` are weights by domain, scaled to sum to one; a domain that isn't named gets none,
     and a named one of which no label was seen is left out. Rates start at one and stay at zero or
-    above; copies are the rate rounded up or down by the hash of the id, so that their expectation is
-    the rate. A null or empty text has no tokens, the prior as its posterior, and a rate like any
+    above; copies are the rate rounded up or down by the hash of id and text, so that their expectation is
+    the rate; only rows that are equal in both are rounded alike. ``missed`` is how far the domains' shares stay from the
+    targets at most, the same for all rows; null where nothing was fitted. Rows of one id are rows like others. A null or empty text has no tokens, the prior as its posterior, and a rate like any
     other. With no labels or an empty table rates are one. Targets that no rates can meet are met as
     closely as the weighted squared error allows.
     """
     k = len(model.domains)
     text = F.col(text_col)
     found = indicators(text)
-    own = {id_col, "n_tokens", *(f"p_{d}" for d in model.domains), "rate", "copies"}
+    own = {id_col, "n_tokens", *(f"p_{d}" for d in model.domains), "rate", "copies", "missed"}
     rest = F.struct(*[c for c in keep if c not in own]) if any(c not in own for c in keep) else F.lit(None)
-    rows = docs.select(rest.alias("rest"), F.col(id_col).alias("id"), F.size(words(text)).cast("long").alias("n"), (model.posteriors(found) if k else F.array().cast("array<double>")).alias("p"))
+    rows = docs.select(rest.alias("rest"), F.col(id_col).alias("id"), F.xxhash64(F.lit("copies"), F.col(id_col), text).alias("drawn"), F.size(words(text)).cast("long").alias("n"), (model.posteriors(found) if k else F.array().cast("array<double>")).alias("p"))
     kept = [F.col(f"rest.`{c}`") for c in keep if c not in own]
-    base = written(rows.select(*(["rest"] if kept else []), "id", "n", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k)]), "memberships")
+    base = written(rows.select(*(["rest"] if kept else []), "id", "drawn", "n", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k)]), "memberships")
     p = [F.col(f"p{i}") for i in range(k)]
     total = base.agg(F.sum("n")).first()[0] or 0
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
     history: list[np.ndarray] = []
+    missed = None
 
     def rate() -> Column:
         r = F.lit(1.0)
@@ -127,9 +129,10 @@ def mixed(docs: DataFrame, model: Memberships, targets: dict[str, float], id_col
                 break
             matrix = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
             history.append(np.linalg.pinv(matrix, rcond=1e-10) @ miss)
+        missed = min(reached)
         if reached[-1] > TOLERANCE:
             del history[int(np.argmin(reached)) :]
             LOG.warning("targets are missed by up to %.3g of the tokens after %d steps", best, len(reached))
-    u = F.pmod(F.xxhash64(F.lit("copies"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod("drawn", F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = base.withColumn("rate", rate())
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"), *kept)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"), F.lit(missed).cast("double").alias("missed"), *kept)

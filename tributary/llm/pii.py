@@ -128,11 +128,18 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, probability double, bits double, removed boolean")
     terms = pairs.select("term").distinct()
-    # Texts by term are summed before the join, so that a common word among the candidates costs one row a task.
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).groupBy(F.xxhash64("t").alias("whole")).agg(F.first("t").alias("t"))
-    seen = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
-    # An inner join: a semi join would be pushed below the sum.
-    spread = seen.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).join(terms, "term")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    tokens = F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))
+    listed = terms.limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        # Candidates are picked out of each row where it is, so that copies are told by a hash and a few terms, and no text moves.
+        found = texts.select(F.xxhash64("t").alias("whole"), F.filter(tokens, lambda x: x.isin([r["term"] for r in listed])).alias("found")).filter(F.size("found") > 0)
+        spread = found.dropDuplicates(["whole"]).select(F.explode("found").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    else:
+        # Texts by term are summed before the join, so that a common word among the candidates costs one row a task.
+        different = texts.groupBy(F.xxhash64("t").alias("whole")).agg(F.first("t").alias("t"))
+        # An inner join: a semi join would be pushed below the sum.
+        spread = different.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts")).join(terms, "term")
     n = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).distinct().count()
     p = F.col("both") / F.greatest("texts", "both")
     bits = F.log2(p * F.lit(float(max(n, 1))) / F.col("mentions"))
@@ -176,7 +183,8 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Offsets are code points, ends are exclusive, spans are ordered by start and then by kind. A null
     or empty text has none. Terms are matched as whole words, case and all, wherever they stand.
-    Rows with a null id are searched like any other.
+    Rows with a null id are searched like any other, repeated rows alike, and a very long text whole; an empty table gives an empty one.
+    Other columns aren't read.
     """
     return _marked(docs.select(id_col, text_col), text_col).select(F.col(f"row.`{id_col}`").alias(id_col), "spans", F.col("removed").alias("removed_terms"))
 
