@@ -54,6 +54,13 @@ def indicators(text):
     return quality.features(data, np.array([0, len(data)]))[0]
 
 
+def test_indicators_of_a_row_do_not_depend_on_the_rows_beside_it():
+    texts = ["the dog", "dog the", "", "the the", "the", "é", "the dog"]
+    data = [t.encode() for t in texts]
+    together = quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert all(np.array_equal(f, indicators(t)) for f, t in zip(together, texts, strict=True))
+
+
 def test_hinge_model_equals_a_dense_solution(spark):
     """Counts, ratios, the dual optimum by projected gradients on the dense matrix, and the score of each document, worked out apart."""
     rng = np.random.default_rng(1)

@@ -27,8 +27,8 @@ SAMPLE = 3000
 EPOCHS, COST, KEEP = 20, 1.0, 0.75
 
 
-def _word_shapes(data: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A small code per word: kind of its first and last byte, case, repetition."""
+def _word_shapes(data: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A small code per word: kind of its first and last byte, case, repetition of the word before it in the same row."""
     kind = np.zeros(256, np.uint32)
     kind[97:123], kind[65:91], kind[48:58], kind[128:] = 1, 2, 3, 1
     kind[[44, 46, 59, 58, 63]] = 4
@@ -36,6 +36,7 @@ def _word_shapes(data: np.ndarray, hashes: np.ndarray, first: np.ndarray, last:
     kind[[33, 34, 35, 36, 37, 38, 42, 47, 60, 61, 62, 64, 92, 94, 95, 96, 123, 124, 125, 126]] = 5
     again = np.zeros(len(hashes), np.uint32)
     again[1:] = hashes[1:] == hashes[:-1]
+    again[bounds[:-1][bounds[:-1] < len(hashes)]] = 0
     second = np.minimum(first + 1, last)
     return kind[data[first]] + 6 * kind[data[second]] + 36 * kind[data[last]] + 216 * again
 
@@ -59,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     ends[stop] = inside[stop]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     hashes, bounds = word_hashes(data, offsets)
-    shape = _word_shapes(data, hashes, first, last) if len(first) else np.zeros(0, np.uint32)
+    shape = _word_shapes(data, hashes, first, last, bounds) if len(first) else np.zeros(0, np.uint32)
     one = (shape * np.uint32(0x9E3779B1) + np.uint32(77)) >> np.uint32(32 - BITS)
     two = (shape[:-1] * np.uint32(0x85EBCA77) ^ shape[1:] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
     out = []
