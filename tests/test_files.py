@@ -119,3 +119,14 @@ def test_raw_planes(formats, tmp_path):
     rows = formats.createDataFrame([(1, bytearray(b"yyyy"), bytearray(b"u"), bytearray(b"v")), (2, bytearray(b"YYYY"), bytearray(b"U"), None)], "n int, y binary, u binary, v binary").coalesce(1)
     rows.write.format("raw_planes").mode("append").save(str(tmp_path / "p"))
     assert b"".join((tmp_path / "p" / f).read_bytes() for f in names(tmp_path / "p")) == b"yyyyuvYYYYU"
+
+
+def test_digests_of_files(formats, tmp_path):
+    import hashlib
+
+    data = {"a": b"", "b": b"x" * 3_000_001, "c": b"abc"}
+    for k, v in data.items():
+        (tmp_path / k).write_bytes(v)
+    got = {os.path.basename(r.path): r for r in S.file_digests(formats, [str(tmp_path / k) for k in (*data, "missing")], 1 << 16).collect()}
+    assert {k: (got[k].size, got[k].sha256) for k in data} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in data.items()}
+    assert got["missing"].sha256 is None and got["missing"].error and S.file_digests(formats, []).collect() == []

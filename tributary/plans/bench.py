@@ -350,6 +350,19 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("file", "frame", summed("luma").alias("y"), summed("cb").alias("u"), summed("cr").alias("v"), summed("luma", 2).alias("wide"))
 
 
+_HEX = "list_aggregate(list_transform({}, lambda x: format('{{:02x}}', x)), 'string_agg', '')"
+
+
+@query(_bl(f""" select vec_id // 4 as file, cast(vec_id % 4 as int) as frame, md5(unhex({_HEX.format('q')} || case when vec_id % 3 = 0 then repeat('80', 32) else {_HEX.format('q[1:16]')} || {_HEX.format('q[17:32]')} end)) as digest from bl where vec_id // 4 < (select count(*) // 4 from bl)"""))
+def frame_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the planes of the pictures in raw files, one in three without chroma."""
+    planes = F.concat(H.plane_bytes(F.col("q")), H.plane_bytes(F.slice("q", 1, 16)), H.plane_bytes(F.slice("q", 17, 16)))
+    files = S.blocks(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 4).alias("file")).agg(F.array_sort(F.collect_list(F.struct("vec_id", planes.alias("b")))).alias("f")).filter(F.size("f") == 4)
+    frames = H.i420_frames(files.select("file", K.joined_bytes(F.transform("f", lambda x: x["b"])).alias("content")), 8, 8)
+    grey = (F.col("file") * 4 + F.col("frame")) % 3 == 0
+    return frames.select("file", "frame", H.frame_md5(F.col("y"), F.when(~grey, F.col("u")), F.when(~grey, F.col("v")), 16).alias("digest"))
+
+
 @query("select doc_id // 3 as file, cast(row_number() over (partition by doc_id // 3 order by doc_id) - 1 as int) as idx, md5(text) as digest from documents where text <> ''")
 def length_prefixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents").filter("text <> ''").select(F.floor(F.col("doc_id") / 3).alias("file"), "doc_id", H.record_bytes(F.encode("text", "utf-8")).alias("b"))

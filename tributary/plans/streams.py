@@ -38,6 +38,17 @@ def ivf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]*)-[0-9a-f]{8}-\d+-\d+\.ivf$", 1).alias("file"), "pts", "size", F.md5("payload").alias("digest"))
 
 
+@query("select regexp_replace(source, '[^A-Za-z0-9.-]', '_', 'g') as file, cast(sum(octet_length(encode(text))) as bigint) as size, sha256(string_agg(text, '' order by doc_id)) as sha256 from documents where text is not null group by 1")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a source written as the pictures of a raw file, and the digest of each file's bytes."""
+    path = session.shared_folder(FS.register(spark), "raw")
+    none = F.lit(None).cast("binary")
+    docs = S.table(spark, sf_dir, "documents").filter("text is not null").select(F.col("source").alias("file"), "doc_id", F.encode("text", "utf-8").alias("y"), none.alias("u"), none.alias("v"))
+    docs.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.format("raw_planes").option("file_bytes", 1 << 40).mode("append").save(path)
+    found = FS.file_digests(spark, FS.listed(path, ".yuv"))
+    return found.select(F.regexp_extract("path", r"([^/]*)-[0-9a-f]{8}-[0-9]+-[0-9]+[.]yuv$", 1).alias("file"), "size", "sha256")
+
+
 UNIT_FILES = f"""with {S.UNITS}, k as (select user_id, event_id, type, t, s, event_type, sum(case when type = 2 then 1 else 0 end) over (partition by user_id order by event_id) as td from ob)
 select '{{0}}' as format, user_id, type, cast(t as int) as temporal_id, cast(s as int) as spatial_id, count(*) as units, sum(length(event_type)) as bytes from k where type in (1, 6) and t < 3 group by all"""
 

@@ -178,6 +178,14 @@ def samples(plane: Column, bytes_per_sample: int = 1) -> Column:
     return F.when(n > 0, F.get(F.transform(F.array(F.hex(plane)), read), F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
+def frame_md5(y: Column, u: Column, v: Column, chroma: Column | int, bytes_per_sample: int = 1, bit_depth: int = 8) -> Column:
+    """The digest of a picture's visible planes, one behind the other; a picture without chroma counts ``chroma`` neutral samples a plane."""
+    samples_ = chroma if isinstance(chroma, Column) else F.lit(chroma)
+    middle = F.hex(_le(F.lit(1 << (bit_depth - 1)), bytes_per_sample))
+    neutral = F.unhex(F.repeat(middle, samples_.cast("int")))
+    return F.when(y.isNotNull(), F.md5(F.concat(y, F.coalesce(u, neutral), F.coalesce(v, neutral))))
+
+
 def plane_bytes(values: Column, bytes_per_sample: int = 1) -> Column:
     """Samples as the bytes of a plane."""
     return joined_bytes(F.transform(values, lambda x: _le(x, bytes_per_sample)))

@@ -16,6 +16,7 @@ moves those of the committed attempts into place, and an abort takes the folder
 
 from __future__ import annotations
 
+import hashlib
 import operator
 import struct
 import uuid
@@ -370,6 +371,31 @@ def split_index(spark: SparkSession, format_: type, paths: list[str], split: int
     return rows.mapInArrow(run, "path string, start long, stop long, idx long, unit long, following long")
 
 
+def file_digests(spark: SparkSession, paths: list[str], block: int = 1 << 20) -> DataFrame:
+    """(path, size, sha256, error) of files of any size, read block by block, a file a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                digest, size, error = hashlib.sha256(), 0, None
+                try:
+                    system, inner = opened(path)
+                    with system.open_input_stream(inner) as stream:
+                        while data := stream.read(block):
+                            digest.update(data)
+                            size += len(data)
+                except (OSError, pa.ArrowException) as e:
+                    error = type(e).__name__
+                rows.append((path, size, None, error) if error else (path, size, digest.hexdigest(), None))
+            if rows:
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "size", "sha256", "error"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return rows.mapInArrow(run, "path string, size long, sha256 string, error string")
+
+
 # --- writing ---------------------------------------------------------------------------------------
 
 
