@@ -211,7 +211,8 @@ def digests(formatted: DataFrame, id_col: str = "conv_id", tokenizer: str = TOKE
     """What :func:`read_back` gets from the ids and the mask, as lengths and SHA-256 digests, a row per conversation.
 
     Takes rows as :func:`format_chats` leaves them: the pieces of a conversation one behind the other;
-    pieces that don't follow each other are an error. Counts and digests run on from piece to piece.
+    pieces that don't follow each other are an error. Counts and digests run on from piece to piece, so a conversation of any
+    length is read piece by piece. Repeated turns count each time; an empty table gives an empty one.
     """
     import hashlib
 

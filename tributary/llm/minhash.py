@@ -163,8 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when their sets of ``words``-word shingles (A-Z lower-cased, words split at ASCII
     white space) have 100 * intersection >= ``percent`` * union; component_id is the smallest id
     reachable over links. Null and empty texts have no shingles and are classes of their own; a
-    text shorter than a shingle is one shingle. A repeated row is an exact copy. Rows with a null
-    id can't be named: they come back with a null component. An empty table gives an empty one.
+    text shorter than a shingle is one shingle. A repeated row is an exact copy; rows of one id with
+    different texts count as one document, linked with whatever any of them is. A very long text is
+    read whole, and other columns aren't read. Rows with a null id can't be named: they come back with a null component. An empty table gives an empty one.
     """
     signed = written(signatures(docs, id_col, text_col, words), "signatures")
     # Written first: a join of written tables is one whose hot keys the adaptive planner can split.

@@ -90,7 +90,8 @@ def judged(docs: DataFrame, order: list[Rule], id_col: str = "doc_id", text_col:
     """The id, the ``BASIC`` measures and ``rejected_by`` of every row.
 
     What only the cascade's own rules need is measured inside the cascade, for rows that no earlier
-    rule rejects.
+    rule rejects. A null or empty text has zeros and is rejected by the word count; repeated rows and null ids are
+    judged by their text, a very long text whole; an empty table gives an empty one. Other columns aren't read.
     """
     rows = measured(docs, id_col, text_col)
     values = measures(F.col("_t")) | {n: F.col(n) for n in BASIC}
