@@ -24,7 +24,7 @@ BLOCK, SLICE_BITS = 1 << 10, 21
 SLICES = 6
 #: An eigenvalue below this share of the largest is taken for zero: its component can't be scaled.
 NOTHING = 1e-13
-#: Steps that refine the eigenvectors.
+#: Steps that refine the eigenvectors, at most.
 REFINED = 4
 
 
@@ -204,6 +204,8 @@ def components_of(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.nda
         with np.errstate(divide="ignore", invalid="ignore"):
             fix = np.where(near, unit / 2, (turned + e[None, :] * unit) / gap)
         v = v + v @ fix
+        if np.abs(fix).max() < 1e-17:
+            break
     v = v / np.sqrt((v * v).sum(0))
     e = (v * (whole @ v)).sum(0)
     order = np.argsort(-e, kind="stable")
