@@ -9,14 +9,17 @@ with an end mark, as binary decisions down a Huffman tree.
 For each decision several predictors give a state from the counts in their hashed context: the last
 one, two, three or four bytes of the unit, or all of it so far. States are turned into log odds by
 what they were followed by, summed with weights chosen by a gate (what the two longest contexts have
-seen), and the sum is refined by a table. What a spelled unit costs depends on the unit alone, so
-each different unit is spelled once, however often it occurs.
+seen), and the sum is refined by a table. Two more predictors look across the edge between units:
+the last byte of the unit before with up to one byte of this one, and the last two bytes of the unit
+before. What the first five say of a unit depends on the unit alone and is worked out once for each
+different unit; the mixing is done along each text, decision by decision.
 
 Counts come from all training texts and are kept per context, so that they grow with the input.
 Different units are dealt into chunks; the contexts of each chunk meet in blocks of the hash range,
-are summed there, and return as states. Weights and refinement are learned online over the joint
-states of all training decisions, each without its own occurrence, in a fixed order: neither they
-nor the scores depend on the partitioning.
+are summed there, and return as states. Weights and refinement start from what is learned over the
+joint states of all training decisions, each without its own occurrence, in a fixed order. From
+there every text moves its own, online, after each ``STEP`` of its decisions, which are priced
+before they are learned from. Neither they nor the scores depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +47,24 @@ STATES = tuple(s if not v else 1 + 2 * (len(v) + 1) + s for v, s in zip(LEVELS,
 CELLS = int(np.prod(STATES))
 #: Log odds at the outermost step; weights' learning rate and passes; bounds of mixed log odds and steps of the refinement.
 EDGE, RATE, PASSES, BATCHES, WIDE, FINE = 4.5, 0.05, 12, 32, 8.0, 33
+#: Steps of the refinement for each unit of log odds; least probability; gates for each kind of the context before the longest.
+FINER, LEAST, GATE = (FINE - 1) / (2 * WIDE), 1e-6, len(LEVELS[K - 1]) + 3
 RUN = 1 << 20
 #: Different units held by a task before they are sent on; bytes of the units of a chunk; entries of a block, about.
 HELD, CHUNK, BLOCK = 1_000_000, 1 << 19, 3_000_000
-#: Units seen most often that go to all tasks; the others are joined.
-FREQUENT = 400_000
+#: Units seen most often that go to all tasks, and their bytes each, about; the others are joined.
+FREQUENT, FREQUENT_BYTES = 400_000, 16
+#: Decisions of a text between two moves of its weights and refinement; rates of either.
+STEP, ADAPT, REFINE = 32, 0.01, 0.01
+#: Bytes of the texts that are scored side by side, about, and such packs in a task.
+PACK, PACKS = 1 << 21, 4
+#: Predictors across the edge of units: contexts of either, their kind of state, and the state of a decision that they don't see.
+EDGES, CONTEXTS, EDGE_STATE = 2, 257 * 257, 3
+UNSEEN = STATES[EDGE_STATE]
+#: Where a decision's code holds the states of all predictors, above its bit, and how many bits each takes; and the last context's state behind the end of a text.
+AT, TAKES, BEHIND = (1, 4, 8, 12, 17, 22, 27), (3, 4, 4, 5, 5, 5, 5), 31
+#: Short contexts, whose states all tasks have; those of the others come with the units.
+SHORT = 2
 #: Cells of the two bits of a text's history.
 MATCH, SEEN = 16, 256
 
@@ -188,8 +205,17 @@ def _unplaned(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
+def gated(shape: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The gate of states: what the two longest contexts have seen."""
+    kinds = []
+    for k in (K - 2, K - 1):
+        last = 2 * (len(LEVELS[k]) + 1)
+        kinds.append(np.minimum((shape[k] + 1) // 2, last // 2 + 1))
+    return kinds[0] * GATE + kinds[1]
+
+
 class Mixer:
-    """The cost in bits of each bit value in each joint state, learned from how often either followed."""
+    """Odds of states, weights and refinement, learned from how often either bit value followed each joint state; and the cost in bits of each in each joint state, before a text has moved them."""
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         total, shape = zeros + ones, np.unravel_index(np.arange(CELLS), STATES)
@@ -197,13 +223,9 @@ class Mixer:
         for k in range(K):
             n1, n = np.bincount(shape[k], ones, STATES[k]), np.bincount(shape[k], total, STATES[k])
             p = (n1 + 0.4) / (n + 0.8)
-            odds.append(np.log(p / (1 - p))[shape[k]])
-        x = np.stack(odds, 1)
-        kinds = []
-        for k in (K - 2, K - 1):
-            last = 2 * (len(LEVELS[k]) + 1)
-            kinds.append(np.minimum((shape[k] + 1) // 2, last // 2 + 1))
-        gate = kinds[0] * (kinds[1].max() + 1) + kinds[1]
+            odds.append(np.log(p / (1 - p)))
+        self.odds, x = odds, np.stack([o[s] for o, s in zip(odds, shape, strict=True)], 1)
+        gate = gated(shape)
         gates = int(gate.max()) + 1
         self.weights = np.full((gates, K), 0.3)
         some = np.flatnonzero(total)
@@ -220,14 +242,121 @@ class Mixer:
                     self.weights[:, k] += RATE * step / np.sqrt(square[:, k])
         mix = np.clip((self.weights[gate] * x).sum(1), -WIDE, WIDE)
         p = 1 / (1 + np.exp(-mix))
-        cell = shape[1] * FINE + np.rint((mix + WIDE) * ((FINE - 1) / (2 * WIDE))).astype(np.int64)
+        cell = shape[1] * FINE + np.rint((mix + WIDE) * FINER).astype(np.int64)
         size = STATES[1] * FINE
         n1, n, expected, cells = np.bincount(cell, ones, size), np.bincount(cell, total, size), np.bincount(cell, p, size), np.bincount(cell, minlength=size)
-        fine = ((n1 + 4 * expected / np.maximum(cells, 1)) / (n + 4))[cell]
-        p = np.clip((p + fine) / 2, 1e-6, 1 - 1e-6)
+        # a step that no joint state's odds come to, but a text's may
+        middle = 1 / (1 + np.exp(-(np.arange(size) % FINE / FINER - WIDE)))
+        self.fine = (n1 + 4 * np.where(cells > 0, expected / np.maximum(cells, 1), middle)) / (n + 4)
+        p = np.clip((p + self.fine[cell]) / 2, LEAST, 1 - LEAST)
         self.cost = (-np.log2(np.stack([1 - p, p], 1))).astype(np.float32).ravel()
 
 
+class Adaptive:
+    """Mixing along texts: every text moves weights and refinement of its own, from the learned start."""
+
+    def __init__(self, odds: list[np.ndarray], edge_odds: list[np.ndarray], weights: np.ndarray, fine: np.ndarray, rate: float, refine: float):
+        self.x = np.concatenate([np.append(o, np.zeros((1 << t) - len(o))) for o, t in zip((*odds, *edge_odds), TAKES, strict=True)]).astype(np.float32)
+        size = 1 << np.array(TAKES)
+        self.shift, self.mask, self.begin = (np.array(v, np.uint32)[:, None, None] for v in (AT, size - 1, np.cumsum(size) - size))
+        both = np.arange(1 << (TAKES[K - 2] + TAKES[K - 1]))
+        seen = [np.minimum(x, STATES[K - 1] - 1) for x in (both & 31, both >> 5)]
+        self.gate = gated((*[np.zeros(1, int)] * (K - 2), *seen)).astype(np.int32)
+        self.weights = np.concatenate([weights, np.zeros((len(weights), EDGES))], 1).astype(np.float32)
+        self.fine = fine.astype(np.float32)
+        self.rate, self.refine = rate, refine
+
+    def bits(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """What the decisions of each text cost. A code holds the bit and the states of all predictors."""
+        n = np.diff(bounds)
+        blocks = -(-n // STEP)
+        begin = np.cumsum(blocks) - blocks
+        table = np.full(int(blocks.sum()) * STEP, BEHIND << AT[K - 1], np.uint32)
+        table[np.arange(len(codes)) + np.repeat(begin * STEP - bounds[:-1], n)] = codes
+        table = table.reshape(-1, STEP)
+        order = np.argsort(-blocks, kind="stable")
+        begin, falling, total = begin[order], -blocks[order], np.zeros(len(n))
+        gates, cells = len(self.weights), len(self.fine)
+        m = int(np.searchsorted(falling, 0))
+        w, fine = np.tile(self.weights.T, m).ravel(), np.tile(self.fine, m)
+        of = (np.arange(K + EDGES, dtype=np.int32) * np.int32(m * gates))[:, None, None]
+        text = np.arange(m, dtype=np.int32)[:, None]
+        gate_at, fine_at = text * np.int32(gates), text * np.int32(cells)
+        wide, finer, one, half, least = (np.float32(v) for v in (WIDE, FINER, 1, 0.5, LEAST))
+        for b in range(int(-falling[0]) if m else 0):
+            m = int(np.searchsorted(falling, -b))  # texts with a block left
+            code = table[begin[:m] + b]
+            bit = (code & 1).astype(np.float32)
+            at = code >> self.shift
+            at &= self.mask
+            at += self.begin
+            x = self.x.take(at, mode="clip")
+            g = self.gate.take((code >> AT[K - 2]) & (len(self.gate) - 1))
+            g += gate_at[:m]
+            g = g + of
+            u = w.take(g, mode="clip")
+            u *= x
+            mix = u.sum(0)
+            np.clip(mix, -wide, wide, out=mix)
+            p = one / (one + np.exp(-mix))
+            f = ((code >> AT[1]) & 15).astype(np.int32) * np.int32(FINE)
+            f += np.rint((mix + wide) * finer).astype(np.int32)
+            f += fine_at[:m]
+            r = fine.take(f)
+            q = np.clip((p + r) * half, least, one - least)
+            cost = np.log2(np.abs(q + bit - one))
+            behind = ((code >> AT[K - 1]) & 31) == BEHIND
+            cost[behind] = 0
+            total[order[:m]] -= cost.sum(1, dtype=np.float64)
+            if self.rate:
+                miss, off = (bit - p) * np.float32(self.rate), (bit - r) * np.float32(self.refine)
+                miss[behind] = off[behind] = 0
+                x *= miss
+                np.add.at(w, g.ravel(), x.ravel())
+                np.add.at(fine, f.ravel(), off.ravel())
+        return total
+
+
+def edges(data: np.ndarray, first: np.ndarray, length: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each unit: its first two symbols (-1: none), the contexts of the first predictor across the edge before either, and that of the second before the first."""
+    n = len(first)
+    data = np.append(data, np.uint8(0)).astype(np.int32)
+    end = first + length
+    one, two = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    one[1:] = data[np.maximum(end[:-1] - 1, 0)] + 1
+    two[1:] = np.where(length[:-1] > 1, data[np.maximum(end[:-1] - 2, 0)] + 1, 0)
+    one[bounds[:-1]] = two[bounds[:-1]] = 0
+    symbol = np.where(length > 0, data[np.minimum(first, len(data) - 1)], END)
+    second = np.where(length > 1, data[np.minimum(first + 1, len(data) - 1)], np.where(length == 1, END, -1))
+    return symbol, second, one, 257 + one * 256 + np.minimum(symbol, 255), two * 257 + one
+
+
+def seen_states(key: np.ndarray, n: np.ndarray, coder: Coder, k: int) -> tuple[tuple[np.ndarray, np.ndarray, int], np.ndarray]:
+    """From counts of symbols in short contexts: (place, state, state of all other places) of what they have seen, and the odds of each state, from each decision without itself."""
+    at, _, which = coder.decisions(key % 257)
+    place, inverse = np.unique((key // 257)[at] * 256 + coder.node[which], return_inverse=True)
+    n0, n1 = (np.bincount(inverse, n[at] * (coder.bit[which] == b), len(place)) for b in (0, 1))
+    zeros = np.bincount(states(np.maximum(n0 - 1, 0), n1, k), n0, STATES[k])
+    ones = np.bincount(states(n0, np.maximum(n1 - 1, 0), k), n1, STATES[k])
+    return (place, states(n0, n1, k), int(states(np.zeros(1), np.zeros(1), k)[0])), np.log((ones + 0.4) / (zeros + 0.4))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
+
+
+def _short(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """The contexts of one and two bytes of the unit before each symbol."""
+    back = []
+    for k in (1, 2):
+        b = np.zeros(len(symbols), np.int32)
+        b[k:] = symbols[: max(len(symbols) - k, 0)] + 1
+        b[place < k] = 0
+        back.append(b)
+    return [back[0], back[1] * 257 + back[0]]
+
+
 def unit_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The units of texts: their hashes, first bytes and lengths, and the first unit of each text; an empty unit ends each."""
     rows, n = len(offsets) - 1, len(data)
@@ -319,11 +448,12 @@ def history(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(kind, unit, n): the different units of all texts with their number in training texts (kind 0), and the training texts' history decisions (1 and 2)."""
+    """(kind, unit, n): the different units of all texts with their number in training texts (kind 0), the training texts' history decisions (1 and 2), and symbols in contexts across the edge of units (3 and 4)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         bits = [np.zeros(2 * MATCH, np.int64), np.zeros(2 * SEEN, np.int64)]
+        across: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
         def flushed() -> pa.RecordBatch:
             keys, units, n = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
@@ -344,6 +474,12 @@ def _counted(rows: DataFrame) -> DataFrame:
                 held.append((keys, units, np.bincount(rank, train, len(keys))))
                 size += len(keys)
                 match, seen, _, _ = history(hashes, bounds)
+                symbol, second, before, so_far, longer = edges(data, first, length, bounds)
+                both = train & (second >= 0)
+                for parts, keys in zip(across, (np.concatenate([before[train] * 257 + symbol[train], so_far[both] * 257 + second[both]]), longer[train] * 257 + symbol[train]), strict=True):
+                    parts.append(np.unique(keys, return_counts=True))
+                    if len(parts) == 16:
+                        parts[:] = [_summed(parts)]
                 for cells, found in zip(bits, (match, seen), strict=True):
                     cells += np.bincount(found[train & (found >= 0)], minlength=len(cells))
                 if size > HELD:
@@ -353,6 +489,10 @@ def _counted(rows: DataFrame) -> DataFrame:
             yield flushed()
         for kind, cells in enumerate(bits, 1):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), kind, np.int32)), pa.array([str(c) for c in range(len(cells))]), pa.array(cells)], names=["kind", "unit", "n"])
+        for kind, parts in enumerate(across, 3):
+            if parts:
+                key, n = _summed(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key).cast(pa.string()), pa.array(n)], names=["kind", "unit", "n"])
 
     return rows.select("text", "held_out").mapInArrow(build, "kind int, unit string, n long").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
 
@@ -381,24 +521,32 @@ def _entries(batch: pa.RecordBatch, r: int, blocks: int) -> tuple[Entries, np.nd
     return Entries(data, offsets - offsets[0], n, blocks), n, data, offsets - offsets[0]
 
 
-def _byte_counts(chunks: DataFrame) -> np.ndarray:
-    """How often training units' bytes and ends occur, which gives the tree."""
+def _short_counts(chunks: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """How often training units have each symbol (their bytes and ends) in each context of one and of two bytes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(257)
+        counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(SHORT)]
         for batch in batches:
             for r in range(batch.num_rows):
                 units, n = (batch.column(c).slice(r, 1).flatten() for c in (1, 2))
-                n, done = n.to_numpy(), 0
+                n = n.to_numpy()
                 for i, j, data, offsets in text_runs(units):
-                    counts[:256] += np.bincount(data, np.repeat(n[i:j], np.diff(offsets)), 256)
-                counts[END] += n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(counts.astype(np.int64))], names=["symbol", "n"])
-
-    out = np.zeros(257, np.int64)
-    for r in chunks.mapInArrow(build, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        out[r["symbol"]] = r["n"]
-    return out
+                    symbols, _, unit = spelled(data, offsets)
+                    weight = n[i:j][unit]
+                    some = np.flatnonzero(weight)
+                    place = np.arange(len(symbols)) - (offsets[:-1] + np.arange(j - i))[unit]
+                    for parts, context in zip(counts, _short(symbols, place), strict=True):
+                        parts.append(_summed([((context * 257 + symbols)[some], weight[some])]))
+                        if len(parts) == 16:
+                            parts[:] = [_summed(parts)]
+        for k, parts in enumerate(counts):
+            if parts:
+                key, n = _summed(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(n)], names=["k", "key", "n"])
+
+    got = chunks.mapInArrow(build, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).orderBy("k", "key").toArrow()  # at most 257 * (CONTEXTS + 257) rows
+    k, key, n = (got.column(c).to_numpy() for c in range(3))
+    return [(key[k == x], n[k == x]) for x in range(SHORT)]
 
 
 def _returned(chunks: DataFrame, coder: Coder, blocks: int) -> DataFrame:
@@ -484,30 +632,157 @@ def _learned(table: DataFrame, coder: Coder, blocks: int) -> Mixer:
     return Mixer(counts[0::2], counts[1::2])
 
 
-def _costs(table: DataFrame, coder: Coder, mixer: Mixer, blocks: int) -> DataFrame:
-    """(key, unit, n, bits): what each unit costs to spell."""
-    shared = table.sparkSession.sparkContext.broadcast((coder, mixer.cost))
+def _spellings(table: DataFrame, coder: Coder, blocks: int) -> DataFrame:
+    """(key, unit, n, code): the states that the longer contexts have for the decisions that spell each unit, two bytes each."""
+    shared = table.sparkSession.sparkContext.broadcast(coder)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, cost = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
-                cell, bit, unit, n = _decided(batch, r, code, blocks, 0)
-                bits = np.bincount(unit, cost[cell * 2 + bit], len(n))
+                cell, _, unit, n = _decided(batch, r, shared.value, blocks, 0)
+                shape, raw = np.unravel_index(cell, STATES), np.zeros(len(cell), "<u2")
+                for k in range(SHORT, K):
+                    raw |= (shape[k] << (AT[k] - AT[SHORT])).astype("<u2")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(n)) * 2)]).astype(np.int64)
+                code = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
                 units = batch.column(1).slice(r, 1).flatten()
                 _, _, data, offsets = next(text_runs(units, 1 << 62))
-                yield pa.RecordBatch.from_arrays([pa.array(unit_hashes(data, offsets).view(np.int64)), units, pa.array(n), pa.array(bits)], names=["key", "unit", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(unit_hashes(data, offsets).view(np.int64)), units, pa.array(n), code], names=["key", "unit", "n", "code"])
+
+    return table.mapInArrow(build, "key long, unit string, n long, code binary")
 
-    return table.mapInArrow(build, "key long, unit string, n long, bits double")
+
+class Known:
+    """Units by key: whether they are tokens, how often their words occur, and the decisions that spell them."""
+
+    def __init__(self, key: np.ndarray, token: np.ndarray, count: np.ndarray, code: pa.Array):
+        order = np.argsort(key)
+        self.key, self.token, self.count = key[order], token[order], count[order]
+        code = code.cast(pa.large_binary())
+        ends = np.frombuffer(code.buffers()[1], np.int64)[code.offset : code.offset + len(code) + 1] if len(code) else np.zeros(1, np.int64)
+        self.raw = np.frombuffer(code.buffers()[2] or b"", np.uint8)[int(ends[0]) : int(ends[-1])].view("<u2")
+        self.begin, self.length = (ends[:-1] - ends[0])[order] // 2, np.diff(ends)[order] // 2
+
+    def found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are here, and where."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return self.key[spot] == key, spot
+
+    def codes(self, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The decisions of units one after the other, and how many each has."""
+        length = self.length[spot]
+        return self.raw[np.arange(int(length.sum())) + np.repeat(self.begin[spot] - (np.cumsum(length) - length), length)], length
+
+
+def _packs(rows: DataFrame, known) -> DataFrame:
+    """(pack, id, length, text, held_out, rare): texts of like length in packs of bounded size, one row each, their bytes compressed, with the keys of their units that ``known`` doesn't have."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, number = known.value[0], TaskContext.get().partitionId() << 32
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(pc.binary_length(batch.column(1)).to_numpy(), kind="stable")))
+            for i, j, whole, offsets in text_runs(batch.column(1), PACK):
+                length, packed = np.diff(offsets), pa.compress(whole.tobytes(), "zstd", asbytes=True)
+                part, rare = batch.slice(i, j - i), [np.zeros(0, np.int64)]
+                for _, _, data, offsets in text_runs(part.column(1), RUN):
+                    keys = np.unique(unit_runs(data, offsets)[0].view(np.int64))
+                    rare.append(keys[~often.found(keys)[0]])
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (part.column(0), pa.array(length), part.column(2), pa.array(np.unique(np.concatenate(rare))))]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *columns, pa.array([packed], pa.binary())], names=["pack", "id", "length", "held_out", "rare", "text"])
+                number += 1
+
+    return rows.select("id", "text", "held_out").mapInArrow(build, f"pack long, id array<{kind}>, length array<long>, held_out array<boolean>, rare array<long>, text binary")
+
+
+def _scored(packs: DataFrame, known) -> DataFrame:
+    """Per text of packs: tokens, known tokens, the sum of their base logs, bits and bytes."""
+    kind = packs.schema["id"].dataType.elementType.simpleString()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, coder, found, (on_match, on_seen), learned = known.value
+        model, seen_at = Adaptive(*learned), []
+        for place, state, other in found:
+            table = np.full(CONTEXTS * 256, other, np.uint8)
+            table[place] = state
+            seen_at.append(table)
+
+        def coded(data: np.ndarray, offsets: np.ndarray, rare: Known) -> tuple[list[np.ndarray], np.ndarray]:
+            hashes, first, length, bounds = unit_runs(data, offsets)
+            match, seen, new, share = history(hashes, bounds)
+            bits = share + np.where(match >= 0, on_match[match], 0.0) + np.where(seen >= 0, on_seen[seen], 0.0)
+            keys, _, _, rank = ranked(hashes)
+            keys = keys.view(np.int64)
+            token, count, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            parts, begin, done = [], np.zeros(len(keys), np.int64), 0
+            for source in (often, rare):
+                hit, spot = source.found(keys)
+                hit = np.flatnonzero(hit)
+                spot = spot[hit]
+                codes, size[hit] = source.codes(spot)
+                begin[hit] = done + np.cumsum(size[hit]) - size[hit]
+                token[hit], count[hit], done = source.token[spot], source.count[spot], done + len(codes)
+                parts.append(codes)
+            # the decisions of the units that are new to their text, in order
+            new = np.flatnonzero(new)
+            units = rank[new]
+            n = size[units]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            codes = np.concatenate(parts)[np.arange(int(ends[-1])) + np.repeat(begin[units] - ends[:-1], n)].astype(np.uint32) << AT[SHORT]
+            # their symbols, with an end mark each
+            size = length[new] + 1
+            at = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(at, size)
+            symbols = np.append(data, np.uint8(0))[np.minimum(np.repeat(first[new], size) + place, len(data))].astype(np.int32)
+            symbols[at + size - 1] = END
+            which, _, path = coder.decisions(symbols)
+            codes |= coder.bit[path].astype(np.uint32)
+            node = coder.node[path]
+            for k, context in enumerate(_short(symbols, place)):
+                codes |= seen_at[k].take(context[which] * 256 + node).astype(np.uint32) << AT[k]
+            codes |= np.uint32(UNSEEN << AT[K] | UNSEEN << AT[K + 1])
+            symbol, second, before, so_far, longer = (x[new] for x in edges(data, first, length, bounds))
+            start = ends[:-1]
+            for e, at, context, s in ((0, start, before, symbol), (1, start, longer, symbol), (0, start + coder.length[symbol], so_far, second)):
+                some = np.flatnonzero(s >= 0)
+                which, step, path = coder.decisions(s[some])
+                state = seen_at[SHORT + e].take(context[some][which] * 256 + coder.node[path]).astype(np.uint32)
+                codes[at[some][which] + step] ^= (state ^ np.uint32(UNSEEN)) << AT[K + e]
+            token, count = token[rank], count[rank]
+
+            def sums(x: np.ndarray) -> np.ndarray:
+                total = np.concatenate([[0], np.cumsum(x)])
+                return total[bounds[1:]] - total[bounds[:-1]]
+
+            return [sums(token), sums(token & (count > 0)), sums(np.where(token, np.log10(count + 0.1), 0.0)), sums(bits), np.diff(offsets), np.diff(ends[np.searchsorted(new, bounds)])], codes
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, length, flags, rare = (batch.column(c).slice(r, 1).flatten() for c in ("id", "length", "held_out", "rare"))
+                ends = np.concatenate([[0], np.cumsum(length.to_numpy())]).astype(np.int64)
+                whole = pa.decompress(batch.column("text")[r].as_buffer(), int(ends[-1]), "zstd") if ends[-1] else pa.py_buffer(b"")
+                texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), whole)
+                rare = Known(*(rare.field(c).to_numpy(zero_copy_only=False) for c in range(3)), rare.field(3))
+                parts = [coded(data, offsets, rare) for _, _, data, offsets in text_runs(texts, RUN // 4)]
+                *columns, n = (np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True))
+                columns[3] = columns[3] + model.bits(np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(n)]))
+                yield pa.RecordBatch.from_arrays([ids, flags, *(pa.array(x) for x in columns)], names=["id", "held_out", "n_tokens", "n_known", "base", "bits", "n_bytes"])
+
+    return packs.mapInArrow(build, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long")
 
 
 # A-Z and what they are lower-cased to.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.0, refine: float = 0.0) -> DataFrame:
     """Unigram and mixed-context scores of every text, learned from the rows where ``held_out`` is false.
 
+    Weights and refinement move along each text by ``rate`` and ``refine`` (``ADAPT`` and ``REFINE``
+    suit most texts); with a rate of zero they stay where training has left them.
+
     Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (log10, additive smoothing of
     0.1 over the training words and one unknown), score (log10 probability of the text), n_bytes and
     bits_per_byte (of bytes and end mark). A null text is empty: one end token. A row with a null
@@ -519,88 +794,67 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     counted = written(_counted(rows), "counted")
     bits = [np.full(2 * MATCH, 0.5), np.full(2 * SEEN, 0.5)]
-    for r in counted.filter("kind > 0").collect():  # at most 2 * (MATCH + SEEN) rows
+    for r in counted.filter("kind in (1, 2)").collect():  # at most 2 * (MATCH + SEEN) rows
         bits[r["kind"] - 1][int(r["unit"])] += r["n"]
     flags = [-np.log2((b.reshape(-1, 2) / b.reshape(-1, 2).sum(1, keepdims=True)).ravel()) for b in bits]
+    across = []
+    for kind in range(3, 3 + EDGES):  # at most 257 * CONTEXTS rows, two bytes and a symbol
+        got = counted.filter(F.col("kind") == kind).select(F.col("unit").cast("long").alias("key"), "n").orderBy("key").toArrow()
+        across.append((got.column(0).to_numpy(), got.column(1).to_numpy()))
     units = counted.filter("kind = 0").select("unit", "n")
     chunks = written(_chunks(units.orderBy("unit")), "units")
     size = units.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("unit")).alias("bytes")).first()
     blocks = 1 + (size["n"] + (size["bytes"] or 0)) * K // BLOCK
-    coder = Coder(_byte_counts(chunks))
+    short = _short_counts(chunks)
+    coder = Coder(np.bincount(short[0][0] % 257, short[0][1], 257).astype(np.int64))
     back = _returned(chunks, coder, blocks).groupBy("chunk").agg(F.collect_list(F.struct("block", "every", "others")).alias("paths"))
     table = written(chunks.join(back, "chunk").select("chunk", "units", "n", "paths"), "paths")
     dropped(chunks)
-    costs = written(_costs(table, coder, _learned(table, coder, blocks), blocks), "costs")
+    mixer = _learned(table, coder, blocks)
+    spellings = written(_spellings(table, coder, blocks), "spellings")
     dropped(table)
     dropped(counted)
 
     # The base is over lower-cased words and one end a text; white space units are no words.
     word = F.translate("unit", _UPPER, _LOWER)
     is_word, ends = F.col("unit").rlike(r"^[^\x20\x09-\x0D]"), F.col("unit") == ""
-    known = costs.filter((F.col("n") > 0) & (is_word | ends)).groupBy(word.alias("word")).agg(F.sum("n").alias("c"))
-    prices = costs.join(known, (word == F.col("word")) & (is_word | ends), "left").select("key", "n", "bits", (is_word | ends).alias("token"), F.coalesce("c", F.lit(0)).alias("c"))
+    known = spellings.filter((F.col("n") > 0) & (is_word | ends)).groupBy(word.alias("word")).agg(F.sum("n").alias("c"))
+    band = F.floor(F.log2(F.col("n") + 1) * 4)
+    prices = spellings.join(known, (word == F.col("word")) & (is_word | ends), "left").select("key", band.alias("band"), F.octet_length("unit").alias("bytes"), (is_word | ends).alias("token"), F.coalesce("c", F.lit(0)).alias("c"))
     prices = written(prices, "prices")
     totals = known.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total, distinct = totals["n"] or 0, totals["v"]
-    bands = prices.groupBy(F.floor(F.log2(F.col("n") + 1) * 4).alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect()
-    least, room = None, FREQUENT
-    for band in bands:  # the most frequent bands that fit
-        room -= band["n"]
-        if room < 0:
+    bands = prices.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("band")).collect()
+    least, room, most = None, FREQUENT, FREQUENT * FREQUENT_BYTES
+    for found in bands:  # the most frequent bands that fit
+        room, most = room - found["n"], most - found["bytes"]
+        if room < 0 or most < 0:
             break
-        least = band["band"]
-    often = F.lit(False) if least is None else F.floor(F.log2(F.col("n") + 1) * 4) >= least
-    top = prices.filter(often).select("key", "bits", "token", "c").toArrow()
-    key = top.column("key").to_numpy()
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((key[order], *(top.column(c).to_numpy()[order] for c in ("bits", "token", "c")), flags))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, price, token, count, (on_match, on_seen) = shared.value
-        logs = np.where(token, np.log10(count + 0.1), 0.0)
-        hits = token & (count > 0)
-        none = len(keys) == 0
-
-        def sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(x)])
-            return total[bounds[1:]] - total[bounds[:-1]]
-
-        for batch in batches:
-            for i, j, data, offsets in text_runs(batch.column(1), RUN):
-                hashes, first, length, bounds = unit_runs(data, offsets)
-                match, seen, new, share = history(hashes, bounds)
-                bits = share + np.where(match >= 0, on_match[match], 0.0) + np.where(seen >= 0, on_seen[seen], 0.0)
-                words = (length == 0) | ~_SPACE[data[np.minimum(first, max(len(data) - 1, 0))]] if len(data) else np.ones(len(hashes), bool)
-                distinct_keys, _, _, rank = ranked(hashes)
-                signed = distinct_keys.view(np.int64)
-                spot = np.zeros(len(signed), np.int64) if none else np.minimum(np.searchsorted(keys, signed), len(keys) - 1)
-                hit = np.zeros(len(signed), bool) if none else keys[spot] == signed
-                spot, hit = spot[rank], hit[rank]
-                if not none:
-                    bits += np.where(hit & new, price[spot], 0.0)
-                rare = np.flatnonzero(~hit)
-                rare_at = np.searchsorted(rare, bounds).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sums(words, bounds)), pa.array(sums(hit & hits[spot], bounds) if not none else np.zeros(j - i, np.int64)),
-                     pa.array(sums(np.where(hit, logs[spot], 0.0), bounds) if not none else np.zeros(j - i)), pa.array(sums(bits, bounds)), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(rare_at), pa.array(hashes[rare].view(np.int64)))],
-                    names=["id", "held_out", "n_tokens", "n_frequent", "frequent", "bits", "n_bytes", "rare"],
-                )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_frequent long, frequent double, bits double, n_bytes long, rare array<long>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # A unit that isn't among the frequent ones is priced by a join, once for each text that has it.
-    lone = scored.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    joined = lone.join(prices.filter(~often), "key")
-    tail = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("token"), F.col("times") * F.log10(F.col("c") + 0.1)).otherwise(0.0)).alias("tail"),
-        F.sum(F.when(F.col("token") & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("n_tail"), F.sum("bits").alias("tail_bits"),
-    )
-    out = scored.drop("rare").join(tail, "row", "left").withColumn("all_bits", F.col("bits") + F.coalesce("tail_bits", F.lit(0.0)))
+        least = found["band"]
+    often = F.lit(False) if least is None else F.col("band") >= least
+    priced = spellings.select("key", band.alias("band"), "code")
+    codes = priced.filter(often).select("key", "code").orderBy("key").toArrow().combine_chunks()
+    top = prices.filter(often).select("key", "token", "c").orderBy("key").toArrow()
+    code = codes.column("code").combine_chunks() if codes.num_rows else pa.array([], pa.binary())
+    found = [seen_states(*counts, coder, k) for counts, k in zip((*short, *across), (*range(SHORT), *[EDGE_STATE] * EDGES), strict=True)]
+    shared = spark.sparkContext.broadcast((
+        Known(*(top.column(c).to_numpy() for c in ("key", "token", "c")), code), coder, [f[0] for f in found], flags,
+        (mixer.odds, [f[1] for f in found[SHORT:]], mixer.weights, mixer.fine, rate, refine),
+    ))
+
+    packs = written(_packs(rows, shared), "packs")
+    parts = 1 + packs.count() // PACKS
+    # A unit that isn't among the frequent ones comes by a join, once for each pack that has it.
+    lone = packs.select("pack", F.explode("rare").alias("key"))
+    joined = lone.join(prices.filter(~often).select("key", "token", "c"), "key").join(priced.filter(~often).select("key", "code"), "key")
+    rare = joined.repartition(parts, "pack").groupBy("pack").agg(F.collect_list(F.struct("key", "token", "c", "code")).alias("rare"))
+    whole = packs.drop("rare").repartition(parts, "pack").join(rare, "pack", "left").withColumn("rare", F.coalesce("rare", F.array().cast(rare.schema["rare"].dataType)))
+    scored = written(_scored(whole, shared), "scored")
+    for left in (packs, prices, spellings):
+        dropped(left)
     below = float(np.log10(total + 0.1 * (distinct + 1)))
-    base = F.col("frequent") + F.coalesce("tail", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)
-    return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (-F.col("all_bits") * F.lit(float(np.log10(2)))).alias("score"),
-        "n_bytes", (F.col("all_bits") / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(below)).alias("base_score"), (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
+        "n_bytes", (F.col("bits") / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

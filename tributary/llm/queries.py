@@ -98,8 +98,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unigram and mixed-context log probabilities of all documents, learned from nine folds of ten."""
-    return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0)
+    """Unigram and mixed-context log probabilities of all documents, learned from nine folds of ten and adapted along each text."""
+    return lm.score(_table(spark, sf_dir, "documents"), _fold(10) == 0, rate=lm.ADAPT, refine=lm.REFINE)
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
