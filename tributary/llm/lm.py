@@ -31,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.hashing import _BASE, _SPACE, mixed, text_runs
-from tributary.llm.scratch import dropped, written
+from tributary.llm.scratch import dropped, swept, written
 
 END = 256
 #: Predictors: contexts of one to four bytes, and the unit so far. For each, the bounds between the
@@ -49,7 +49,9 @@ CELLS = int(np.prod(STATES))
 EDGE, RATE, PASSES, BATCHES, WIDE, FINE = 4.5, 0.05, 12, 32, 8.0, 33
 #: Steps of the refinement for each unit of log odds; least probability; gates for each kind of the context before the longest.
 FINER, LEAST, GATE = (FINE - 1) / (2 * WIDE), 1e-6, len(LEVELS[K - 1]) + 3
-RUN = 1 << 20
+RUN = 1 << 18
+#: Decisions that are worked on at once, about, where they need not be held together; texts that are mixed side by side.
+SLICE, BESIDE = 1 << 18, 512
 #: Different units held by a task before they are sent on; bytes of the units of a chunk; entries of a block, about.
 HELD, CHUNK, BLOCK = 1_000_000, 1 << 19, 3_000_000
 #: Units seen most often that go to all tasks, and their bytes each, about; the others are joined.
@@ -57,7 +59,9 @@ FREQUENT, FREQUENT_BYTES = 400_000, 16
 #: Decisions of a text between two moves of its weights and refinement; rates of either.
 STEP, ADAPT, REFINE = 32, 0.01, 0.01
 #: Bytes of the texts that are scored side by side, about, and such packs in a task.
-PACK, PACKS = 1 << 21, 4
+PACK, PACKS = 1 << 20, 8
+#: Rows of rare units that a task gathers before they are sent to their packs.
+GATHERED = 300_000
 #: Predictors across the edge of units: contexts of either, their kind of state, and the state of a decision that they don't see.
 EDGES, CONTEXTS, EDGE_STATE = 2, 257 * 257, 3
 UNSEEN = STATES[EDGE_STATE]
@@ -91,6 +95,15 @@ def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
     return paths
 
 
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin``, ``begin`` + 1 ... of each stretch of ``size`` (one at least), one stretch after the other."""
+    ends = np.cumsum(size)
+    steps = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    steps[ends[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
+    steps[:1] = begin[:1]
+    return np.cumsum(steps, out=steps)
+
+
 class Coder:
     """The decisions (tree node and bit) of each symbol."""
 
@@ -103,10 +116,9 @@ class Coder:
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the decisions of the symbols in order: the symbol's place, the step of its path, and which entry of ``node`` and ``bit`` it is."""
-        length = self.length[symbols]
-        at = np.repeat(np.arange(len(symbols)), length)
-        step = np.arange(len(at)) - (np.cumsum(length) - length)[at]
-        return at, step, self.first[symbols][at] + step
+        length, first = self.length[symbols], self.first[symbols]
+        at, which = np.repeat(np.arange(len(symbols)), length), _places(first, length)
+        return at, which - first[at], which
 
 
 def states(n0: np.ndarray, n1: np.ndarray, k: int) -> np.ndarray:
@@ -123,6 +135,19 @@ def states(n0: np.ndarray, n1: np.ndarray, k: int) -> np.ndarray:
     return np.where(n <= 0, 0, out).astype(np.uint8)
 
 
+def _turned() -> np.ndarray:
+    """For the states of the longer contexts, two bytes with the bit behind: the same states told by what the bit is to them, most often the value they have seen. Turning twice changes nothing."""
+    both = np.arange(2 << (AT[K] - AT[SHORT]), dtype=np.int64)
+    bit, out = both & 1, np.zeros(len(both), np.int64)
+    for k in range(SHORT, K):
+        at, first = AT[k] - AT[SHORT] + 1, 1 + 2 * (len(LEVELS[k]) + 1)
+        s = (both >> at) & ((1 << TAKES[k]) - 1)
+        single, step = (s > 0) & (s < first), (s >= first) & (s < STATES[k])
+        s = np.where(single, ((s - 1) ^ bit) + 1, np.where(step & (bit == 0), first + STATES[k] - 1 - s, s))
+        out |= s << (at - 1)
+    return out.astype("<u2")
+
+
 def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The symbols of units with their end marks, the contexts before each, and the unit of each."""
     rows = len(offsets) - 1
@@ -256,63 +281,70 @@ class Adaptive:
     """Mixing along texts: every text moves weights and refinement of its own, from the learned start."""
 
     def __init__(self, odds: list[np.ndarray], edge_odds: list[np.ndarray], weights: np.ndarray, fine: np.ndarray, rate: float, refine: float):
-        self.x = np.concatenate([np.append(o, np.zeros((1 << t) - len(o))) for o, t in zip((*odds, *edge_odds), TAKES, strict=True)]).astype(np.float32)
-        size = 1 << np.array(TAKES)
-        self.shift, self.mask, self.begin = (np.array(v, np.uint32)[:, None, None] for v in (AT, size - 1, np.cumsum(size) - size))
+        x = [np.append(o, np.zeros((1 << t) - len(o))).astype(np.float32) for o, t in zip((*odds, *edge_odds), TAKES, strict=True)]
+        # predictors go in pairs, a complex number each: their log odds by the states of both, where those are in a code, and their weights
+        self.pairs = []
+        for k in range(0, len(x), 2):
+            one, two = x[k], x[k + 1] if k + 1 < len(x) else np.zeros(1, np.float32)
+            self.pairs.append((AT[k], len(one) * len(two) - 1, (one[None, :] + 1j * two[:, None]).astype(np.complex64).ravel()))
         both = np.arange(1 << (TAKES[K - 2] + TAKES[K - 1]))
         seen = [np.minimum(x, STATES[K - 1] - 1) for x in (both & 31, both >> 5)]
-        self.gate = gated((*[np.zeros(1, int)] * (K - 2), *seen)).astype(np.int32)
-        self.weights = np.concatenate([weights, np.zeros((len(weights), EDGES))], 1).astype(np.float32)
+        self.gate = gated((*[np.zeros(1, int)] * (K - 2), *seen)).astype(np.int64)
+        every = np.concatenate([weights, np.zeros((len(weights), 2 * len(self.pairs) - K))], 1).astype(np.float32)
+        self.weights = [np.ascontiguousarray(every[:, 2 * k] + 1j * every[:, 2 * k + 1]).astype(np.complex64) for k in range(len(self.pairs))]
         self.fine = fine.astype(np.float32)
         self.rate, self.refine = rate, refine
 
     def bits(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """What the decisions of each text cost. A code holds the bit and the states of all predictors."""
         n = np.diff(bounds)
+        order, total = np.argsort(-n, kind="stable"), np.zeros(len(n))
+        for some in (order[i : i + BESIDE] for i in range(0, len(order), BESIDE)):
+            total[some] = self._beside(codes, bounds[:-1][some], n[some])
+        return total
+
+    def _beside(self, codes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same for some texts, longest first, which move side by side."""
         blocks = -(-n // STEP)
         begin = np.cumsum(blocks) - blocks
         table = np.full(int(blocks.sum()) * STEP, BEHIND << AT[K - 1], np.uint32)
-        table[np.arange(len(codes)) + np.repeat(begin * STEP - bounds[:-1], n)] = codes
+        for a, i, size in zip((begin * STEP).tolist(), start.tolist(), n.tolist(), strict=True):
+            table[a : a + size] = codes[i : i + size]
         table = table.reshape(-1, STEP)
-        order = np.argsort(-blocks, kind="stable")
-        begin, falling, total = begin[order], -blocks[order], np.zeros(len(n))
-        gates, cells = len(self.weights), len(self.fine)
-        m = int(np.searchsorted(falling, 0))
-        w, fine = np.tile(self.weights.T, m).ravel(), np.tile(self.fine, m)
-        of = (np.arange(K + EDGES, dtype=np.int32) * np.int32(m * gates))[:, None, None]
-        text = np.arange(m, dtype=np.int32)[:, None]
-        gate_at, fine_at = text * np.int32(gates), text * np.int32(cells)
+        falling, total = -blocks, np.zeros(len(n))
+        gates, cells = len(self.weights[0]), len(self.fine)
+        left = [int(x) for x in np.searchsorted(falling, -np.arange(int(blocks.max(initial=0)) + 1))]  # texts with a block left
+        w, fine = [np.tile(x, left[0]) for x in self.weights], np.tile(self.fine, left[0])
+        gate_at, fine_at = (np.arange(left[0])[:, None] * size for size in (gates, cells))
         wide, finer, one, half, least = (np.float32(v) for v in (WIDE, FINER, 1, 0.5, LEAST))
-        for b in range(int(-falling[0]) if m else 0):
-            m = int(np.searchsorted(falling, -b))  # texts with a block left
-            code = table[begin[:m] + b]
+        rate, refine = np.float32(self.rate), np.float32(self.refine)
+        for b, (m, after) in enumerate(zip(left[:-1], left[1:], strict=True)):
+            code = table[begin[:m] + b].astype(np.int64)
             bit = (code & 1).astype(np.float32)
-            at = code >> self.shift
-            at &= self.mask
-            at += self.begin
-            x = self.x.take(at, mode="clip")
-            g = self.gate.take((code >> AT[K - 2]) & (len(self.gate) - 1))
+            g = self.gate.take((code >> AT[K - 2]) & (len(self.gate) - 1), mode="clip")
             g += gate_at[:m]
-            g = g + of
-            u = w.take(g, mode="clip")
-            u *= x
-            mix = u.sum(0)
+            x = [odds.take((code >> at) & mask, mode="clip") for at, mask, odds in self.pairs]
+            u = sum(o.view(np.float32) * v.take(g, mode="clip").view(np.float32) for o, v in zip(x, w, strict=True)).view(np.complex64)
+            mix = u.real + u.imag
             np.clip(mix, -wide, wide, out=mix)
             p = one / (one + np.exp(-mix))
-            f = ((code >> AT[1]) & 15).astype(np.int32) * np.int32(FINE)
-            f += np.rint((mix + wide) * finer).astype(np.int32)
+            f = ((code >> AT[1]) & 15) * FINE
+            f += np.rint((mix + wide) * finer).astype(np.int64)
             f += fine_at[:m]
-            r = fine.take(f)
+            r = fine.take(f, mode="clip")
             q = np.clip((p + r) * half, least, one - least)
             cost = np.log2(np.abs(q + bit - one))
-            behind = ((code >> AT[K - 1]) & 31) == BEHIND
-            cost[behind] = 0
-            total[order[:m]] -= cost.sum(1, dtype=np.float64)
+            behind = ((code[after:] >> AT[K - 1]) & 31) == BEHIND  # only in a text's last block
+            cost[after:][behind] = 0
+            total[:m] -= cost.sum(1, dtype=np.float64)
             if self.rate:
-                miss, off = (bit - p) * np.float32(self.rate), (bit - r) * np.float32(self.refine)
-                miss[behind] = off[behind] = 0
-                x *= miss
-                np.add.at(w, g.ravel(), x.ravel())
+                miss, off = (bit - p) * rate, (bit - r) * refine
+                miss[after:][behind] = off[after:][behind] = 0
+                twice, g = np.repeat(miss.ravel(), 2), g.ravel()
+                for o, v in zip(x, w, strict=True):
+                    moves = o.ravel().view(np.float32)
+                    moves *= twice
+                    np.add.at(v, g, moves.view(np.complex64))
                 np.add.at(fine, f.ravel(), off.ravel())
         return total
 
@@ -389,6 +421,20 @@ def unit_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, first, size, at
 
 
+def _told(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """What :func:`unit_runs` gives, and :func:`history` of it, found in runs of texts."""
+    parts, told, units, a = [], [], 0, 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + RUN, side="right")) - 1)
+        hashes, first, size, at = unit_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        parts.append((hashes, first + offsets[a], size, at[:-1] + units))
+        told.append(history(hashes, at))
+        units += len(hashes)
+        a = b
+    hashes, first, size, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return (hashes, first, size, np.append(at, units)), tuple(np.concatenate(x) for x in zip(*told, strict=True))
+
+
 def unit_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The hashes that :func:`unit_runs` gives to units, one row each."""
     length = np.diff(offsets)
@@ -570,17 +616,26 @@ def _returned(chunks: DataFrame, coder: Coder, blocks: int) -> DataFrame:
         _, place, _, rank = ranked(_pairs(context, symbol))
         total = np.bincount(rank, n, len(place))
         context, symbol = context[place], symbol[place]
-        at, _, which = code.decisions(symbol)
-        node, bit = code.node[which], code.bit[which]
-        _, _, _, cell = ranked(mixed(context[at] ^ mixed((node.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))))
-        weight = total[at]
-        n0, n1 = (np.bincount(cell, weight * (bit == b))[cell] if len(cell) else np.zeros(0) for b in (0, 1))
-        kind = (context & np.uint64(7)).astype(np.int64)[at]
-        every, other = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
-        for k in range(K):
-            m = np.flatnonzero(kind == k)
-            a, b, one = n0[m], n1[m], bit[m]
-            every[m], other[m] = states(a, b, k), states(np.maximum(a - (1 - one), 0), np.maximum(b - one, 0), k)
+        # a part at a time, with all symbols of its contexts
+        part = (mixed(context) >> np.uint64(40)) % np.uint64(1 + len(context) * 4 // SLICE)
+        order = np.argsort(part, kind="stable")
+        context, symbol, total, part = context[order], symbol[order], total[order], part[order]
+        rank = np.argsort(order)[rank]
+        every, other, cuts = [], [], [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at, _, which = code.decisions(symbol[a:b])
+            node, bit = code.node[which], code.bit[which]
+            _, _, _, cell = ranked(mixed(context[a:b][at] ^ mixed((node.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))))
+            weight = total[a:b][at]
+            n0, n1 = (np.bincount(cell, weight * (bit == v))[cell] if len(cell) else np.zeros(0) for v in (0, 1))
+            kind = (context[a:b] & np.uint64(7)).astype(np.int64)[at]
+            every.append(np.zeros(len(at), np.uint8))
+            other.append(np.zeros(len(at), np.uint8))
+            for k in range(K):
+                m = np.flatnonzero(kind == k)
+                zero, seen, one = n0[m], n1[m], bit[m]
+                every[-1][m], other[-1][m] = states(zero, seen, k), states(np.maximum(zero - (1 - one), 0), np.maximum(seen - one, 0), k)
+        every, other = np.concatenate(every), np.concatenate(other)
         # each chunk gets the paths of its own entries, in its order
         length = code.length[symbol]
         begin = np.cumsum(length) - length
@@ -598,19 +653,20 @@ def _returned(chunks: DataFrame, coder: Coder, blocks: int) -> DataFrame:
 
 
 def _decided(batch: pa.RecordBatch, r: int, coder: Coder, blocks: int, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(joint state, bit, unit, count of the unit) of the decisions of a chunk."""
+    """(joint state, bit, unit, count of the unit) of the decisions of a chunk, in slices."""
     e, n, _, _ = _entries(batch, r, blocks)
     parts = sorted(batch.column(3)[r].as_py(), key=lambda x: x["block"])
     paths = np.frombuffer(b"".join(p["every" if column == 0 else "others"] for p in parts), np.uint8)
     length = coder.length[e.symbol]
     begin = np.cumsum(length) - length
-    at, step, which = coder.decisions(e.symbols)
-    cell = np.zeros(len(at), np.int64)
-    for k in range(K):
-        cell *= STATES[k]
-        cell += paths[begin[e.ranks[k]][at] + step]
-    unit = e.unit[at]
-    return cell, coder.bit[which], unit, n
+    for a in range(0, len(e.symbols), SLICE // 4):
+        b = a + SLICE // 4
+        at, step, which = coder.decisions(e.symbols[a:b])
+        cell = np.zeros(len(at), np.int64)
+        for k in range(K):
+            cell *= STATES[k]
+            cell += paths[begin[e.ranks[k][a:b]][at] + step]
+        yield cell, coder.bit[which], e.unit[a:b][at], n
 
 
 def _learned(table: DataFrame, coder: Coder, blocks: int) -> Mixer:
@@ -621,8 +677,8 @@ def _learned(table: DataFrame, coder: Coder, blocks: int) -> Mixer:
         counts = np.zeros(2 * CELLS)
         for batch in batches:
             for r in range(batch.num_rows):
-                cell, bit, unit, n = _decided(batch, r, shared.value, blocks, 1)
-                counts += np.bincount(cell * 2 + bit, n[unit], 2 * CELLS)
+                for cell, bit, unit, n in _decided(batch, r, shared.value, blocks, 1):
+                    np.add.at(counts, cell * 2 + bit, n[unit].astype(np.float64))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], names=["cell", "n"])
 
@@ -633,17 +689,22 @@ def _learned(table: DataFrame, coder: Coder, blocks: int) -> Mixer:
 
 
 def _spellings(table: DataFrame, coder: Coder, blocks: int) -> DataFrame:
-    """(key, unit, n, code): the states that the longer contexts have for the decisions that spell each unit, two bytes each."""
+    """(key, unit, n, code): the states that the longer contexts have for the decisions that spell each unit, two bytes each, turned by the bits, so that they compress."""
     shared = table.sparkSession.sparkContext.broadcast(coder)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned = _turned()
         for batch in batches:
             for r in range(batch.num_rows):
-                cell, _, unit, n = _decided(batch, r, shared.value, blocks, 0)
-                shape, raw = np.unravel_index(cell, STATES), np.zeros(len(cell), "<u2")
-                for k in range(SHORT, K):
-                    raw |= (shape[k] << (AT[k] - AT[SHORT])).astype("<u2")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(n)) * 2)]).astype(np.int64)
+                raws, many = [], 0
+                for cell, bit, unit, n in _decided(batch, r, shared.value, blocks, 0):
+                    shape, raw = np.unravel_index(cell, STATES), np.zeros(len(cell), "<u2")
+                    for k in range(SHORT, K):
+                        raw |= (shape[k] << (AT[k] - AT[SHORT])).astype("<u2")
+                    raws.append(turned.take(raw.astype(np.int64) << 1 | bit))
+                    many += np.bincount(unit, minlength=len(n))
+                raw = np.concatenate(raws)
+                ends = np.concatenate([[0], np.cumsum(many * 2)]).astype(np.int64)
                 code = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
                 units = batch.column(1).slice(r, 1).flatten()
                 _, _, data, offsets = next(text_runs(units, 1 << 62))
@@ -652,36 +713,50 @@ def _spellings(table: DataFrame, coder: Coder, blocks: int) -> DataFrame:
     return table.mapInArrow(build, "key long, unit string, n long, code binary")
 
 
+def _among(ordered: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among those in order, and where."""
+    if not len(ordered):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    spot = np.minimum(np.searchsorted(ordered, key), len(ordered) - 1)
+    return ordered[spot] == key, spot
+
+
+def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of stretches that together have about ``SLICE`` decisions."""
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
+        yield a, b
+        a = b
+
+
+def _raw(code: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions in a column of codes, and how many each row has."""
+    code = code.cast(pa.large_binary())
+    ends = np.frombuffer(code.buffers()[1], np.int64)[code.offset : code.offset + len(code) + 1] if len(code) else np.zeros(1, np.int64)
+    return np.frombuffer(code.buffers()[2] or b"", np.uint8)[int(ends[0]) : int(ends[-1])].view("<u2"), np.diff(ends) // 2
+
+
 class Known:
     """Units by key: whether they are tokens, how often their words occur, and the decisions that spell them."""
 
-    def __init__(self, key: np.ndarray, token: np.ndarray, count: np.ndarray, code: pa.Array):
+    def __init__(self, key: np.ndarray, token: np.ndarray, count: np.ndarray, raw: np.ndarray, length: np.ndarray):
         order = np.argsort(key)
-        self.key, self.token, self.count = key[order], token[order], count[order]
-        code = code.cast(pa.large_binary())
-        ends = np.frombuffer(code.buffers()[1], np.int64)[code.offset : code.offset + len(code) + 1] if len(code) else np.zeros(1, np.int64)
-        self.raw = np.frombuffer(code.buffers()[2] or b"", np.uint8)[int(ends[0]) : int(ends[-1])].view("<u2")
-        self.begin, self.length = (ends[:-1] - ends[0])[order] // 2, np.diff(ends)[order] // 2
+        self.key, self.token, self.count, self.raw = key[order], token[order], count[order], raw
+        self.begin, self.length = (np.cumsum(length) - length)[order], length[order]
 
     def found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are here, and where."""
-        if not len(self.key):
-            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-        spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return self.key[spot] == key, spot
+        return _among(self.key, key)
 
-    def codes(self, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The decisions of units one after the other, and how many each has."""
-        length = self.length[spot]
-        return self.raw[np.arange(int(length.sum())) + np.repeat(self.begin[spot] - (np.cumsum(length) - length), length)], length
 
-
-def _packs(rows: DataFrame, known) -> DataFrame:
-    """(pack, id, length, text, held_out, rare): texts of like length in packs of bounded size, one row each, their bytes compressed, with the keys of their units that ``known`` doesn't have."""
+def _packs(rows: DataFrame, often_keys) -> DataFrame:
+    """(pack, id, length, text, held_out, rare): texts of like length in packs of bounded size, one row each, their bytes compressed, with the keys of their units that are not among ``often_keys``, which are in order."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, number = known.value[0], TaskContext.get().partitionId() << 32
+        often, number = often_keys.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             batch = batch.take(pa.array(np.argsort(pc.binary_length(batch.column(1)).to_numpy(), kind="stable")))
             for i, j, whole, offsets in text_runs(batch.column(1), PACK):
@@ -689,7 +764,7 @@ def _packs(rows: DataFrame, known) -> DataFrame:
                 part, rare = batch.slice(i, j - i), [np.zeros(0, np.int64)]
                 for _, _, data, offsets in text_runs(part.column(1), RUN):
                     keys = np.unique(unit_runs(data, offsets)[0].view(np.int64))
-                    rare.append(keys[~often.found(keys)[0]])
+                    rare.append(keys[~_among(often, keys)[0]])
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (part.column(0), pa.array(length), part.column(2), pa.array(np.unique(np.concatenate(rare))))]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *columns, pa.array([packed], pa.binary())], names=["pack", "id", "length", "held_out", "rare", "text"])
                 number += 1
@@ -697,6 +772,60 @@ def _packs(rows: DataFrame, known) -> DataFrame:
     return rows.select("id", "text", "held_out").mapInArrow(build, f"pack long, id array<{kind}>, length array<long>, held_out array<boolean>, rare array<long>, text binary")
 
 
+def _gathered(joined: DataFrame) -> DataFrame:
+    """(pack, n, decisions, units): rows of (pack, spot, token, c, code), those of a pack that come together as one row, column by column and compressed."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def sent() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            pack, spot, c = (t.column(x).to_numpy() for x in ("pack", "spot", "c"))
+            token = t.column("token").to_numpy().astype(np.uint8)
+            raw, length = _raw(t.column("code").combine_chunks() if t.num_rows else pa.array([], pa.binary()))
+            begin, order, out = np.cumsum(length) - length, np.lexsort((spot, pack)), []
+            for some in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1):
+                code = raw[_places(begin[some], length[some])]
+                states = [((code >> (AT[k] - AT[SHORT])) & ((1 << TAKES[k]) - 1)).astype(np.uint8).tobytes() for k in range(SHORT, K)]
+                columns = (_planes(np.diff(spot[some], prepend=0).astype(np.int32)), token[some].tobytes(), _planes(c[some]), _planes(length[some].astype(np.int32)), *states)
+                out.append((int(pack[some[0]]), len(some), len(code), pa.compress(b"".join(columns), "zstd", asbytes=True)))
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["pack", "n", "decisions", "units"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > GATHERED:
+                rows = 0
+                yield sent()
+        if held:
+            yield sent()
+
+    return joined.select("pack", "spot", "token", "c", "code").mapInArrow(build, "pack long, n long, decisions long, units binary")
+
+
+def _spread(units: list[dict], keys: np.ndarray) -> Known:
+    """The units of a pack, from its rows of :func:`_gathered` and their keys by spot."""
+    parts = [[np.zeros(0, kind)] for kind in (np.int64, np.bool_, np.int64, "<u2", np.int64)]
+    for x in units:
+        n, many = x["n"], x["decisions"]
+        data, at = pa.decompress(x["units"], 17 * n + (K - SHORT) * many, "zstd", asbytes=True), 0
+
+        def column(size: int) -> bytes:
+            nonlocal at
+            at += size
+            return data[at - size : at]  # noqa: B023
+
+        spot, token, c, length = np.cumsum(_unplaned(column(4 * n), np.int32)), np.frombuffer(column(n), np.bool_), _unplaned(column(8 * n), np.int64), _unplaned(column(4 * n), np.int32)
+        code = np.zeros(many, "<u2")
+        for k in range(SHORT, K):
+            code |= np.frombuffer(column(many), np.uint8).astype("<u2") << (AT[k] - AT[SHORT])
+        for part, got in zip(parts, (keys[spot], token, c, code, length.astype(np.int64)), strict=True):
+            part.append(got)
+    return Known(*(np.concatenate(p) for p in parts))
+
+
 def _scored(packs: DataFrame, known) -> DataFrame:
     """Per text of packs: tokens, known tokens, the sum of their base logs, bits and bytes."""
     kind = packs.schema["id"].dataType.elementType.simpleString()
@@ -705,51 +834,73 @@ def _scored(packs: DataFrame, known) -> DataFrame:
         often, coder, found, (on_match, on_seen), learned = known.value
         model, seen_at = Adaptive(*learned), []
         for place, state, other in found:
-            table = np.full(CONTEXTS * 256, other, np.uint8)
-            table[place] = state
-            seen_at.append(table)
-
-        def coded(data: np.ndarray, offsets: np.ndarray, rare: Known) -> tuple[list[np.ndarray], np.ndarray]:
-            hashes, first, length, bounds = unit_runs(data, offsets)
-            match, seen, new, share = history(hashes, bounds)
+            # a row for each context that was seen, and one for all others
+            context, rows = place // 256, np.zeros(CONTEXTS, np.int64)
+            some = np.unique(context)
+            rows[some] = np.arange(1, len(some) + 1) * 256
+            table = np.full((len(some) + 1) * 256, other, np.uint8)
+            table[rows[context] + place % 256] = state
+            seen_at.append((rows, table))
+        bit_at, turned = coder.bit.astype(np.uint32), _turned()
+
+        def seen_as(k: int, context: np.ndarray, length: np.ndarray, node: np.ndarray) -> np.ndarray:
+            """The states of a short context for the decisions of symbols, of which each has ``length``."""
+            rows, table = seen_at[k]
+            at = np.repeat(rows.take(context, mode="clip"), length)
+            at += node
+            return table.take(at, mode="clip").astype(np.uint32)
+
+        def coded(data: np.ndarray, offsets: np.ndarray, units: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
+            (hashes, first, length, bounds), (match, seen, new, share) = _told(data, offsets)
             bits = share + np.where(match >= 0, on_match[match], 0.0) + np.where(seen >= 0, on_seen[seen], 0.0)
-            keys, _, _, rank = ranked(hashes)
-            keys = keys.view(np.int64)
-            token, count, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            parts, begin, done = [], np.zeros(len(keys), np.int64), 0
+            keys, spot, _, rank = ranked(hashes)
+            keys, data = keys.view(np.int64), np.append(data, np.uint8(0))
+            token, count, size, begin = np.zeros(len(keys), bool), *np.zeros((3, len(keys)), np.int64)
+            done, rare = 0, _spread(units, np.sort(keys[~often.found(keys)[0]]))
             for source in (often, rare):
-                hit, spot = source.found(keys)
+                hit, where = source.found(keys)
                 hit = np.flatnonzero(hit)
-                spot = spot[hit]
-                codes, size[hit] = source.codes(spot)
-                begin[hit] = done + np.cumsum(size[hit]) - size[hit]
-                token[hit], count[hit], done = source.token[spot], source.count[spot], done + len(codes)
-                parts.append(codes)
-            # the decisions of the units that are new to their text, in order
+                where = where[hit]
+                token[hit], count[hit], size[hit], begin[hit] = source.token[where], source.count[where], source.length[where], source.begin[where] + done
+                done += len(source.raw)
+            # the decisions of each different unit, with the states of the contexts within it
+            ends = np.concatenate([[0], np.cumsum(size)])
+            spelling = np.empty(int(ends[-1]), np.uint32)
+            for a, b in _slices(size):
+                at = _places(begin[a:b], size[a:b])
+                far = at >= len(often.raw)
+                codes = often.raw.take(at, mode="clip") if len(often.raw) else np.zeros(len(at), "<u2")
+                codes[far] = rare.raw[at[far] - len(often.raw)]
+                # their symbols, with an end mark each
+                more = length[spot[a:b]] + 1
+                place = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+                symbols = data[np.minimum(_places(first[spot[a:b]], more), len(data) - 1)].astype(np.int32)
+                symbols[np.cumsum(more) - 1] = END
+                long = coder.length[symbols]
+                path = _places(coder.first[symbols], long)
+                bit = bit_at.take(path, mode="clip")
+                codes = turned.take(codes.astype(np.int64) << 1 | bit, mode="clip").astype(np.uint32) << AT[SHORT] | bit
+                node = coder.node.take(path, mode="clip")
+                for k, context in enumerate(_short(symbols, place)):
+                    codes |= seen_as(k, context, long, node) << AT[k]
+                codes |= np.uint32(UNSEEN << AT[K] | UNSEEN << AT[K + 1])
+                spelling[ends[a] : ends[b]] = codes
+            # those of the units that are new to their text, in order, with the states of the contexts across the edge
             new = np.flatnonzero(new)
-            units = rank[new]
-            n = size[units]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            codes = np.concatenate(parts)[np.arange(int(ends[-1])) + np.repeat(begin[units] - ends[:-1], n)].astype(np.uint32) << AT[SHORT]
-            # their symbols, with an end mark each
-            size = length[new] + 1
-            at = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(at, size)
-            symbols = np.append(data, np.uint8(0))[np.minimum(np.repeat(first[new], size) + place, len(data))].astype(np.int32)
-            symbols[at + size - 1] = END
-            which, _, path = coder.decisions(symbols)
-            codes |= coder.bit[path].astype(np.uint32)
-            node = coder.node[path]
-            for k, context in enumerate(_short(symbols, place)):
-                codes |= seen_at[k].take(context[which] * 256 + node).astype(np.uint32) << AT[k]
-            codes |= np.uint32(UNSEEN << AT[K] | UNSEEN << AT[K + 1])
-            symbol, second, before, so_far, longer = (x[new] for x in edges(data, first, length, bounds))
-            start = ends[:-1]
-            for e, at, context, s in ((0, start, before, symbol), (1, start, longer, symbol), (0, start + coder.length[symbol], so_far, second)):
-                some = np.flatnonzero(s >= 0)
-                which, step, path = coder.decisions(s[some])
-                state = seen_at[SHORT + e].take(context[some][which] * 256 + coder.node[path]).astype(np.uint32)
-                codes[at[some][which] + step] ^= (state ^ np.uint32(UNSEEN)) << AT[K + e]
+            begin, size = ends[rank[new]], size[rank[new]]
+            symbol, second, before, so_far, longer = (x[new] for x in edges(data[:-1], first, length, bounds))
+            ends = np.concatenate([[0], np.cumsum(size)])
+            codes = np.empty(int(ends[-1]), np.uint32)
+            for a, b in _slices(size):
+                part = spelling.take(_places(begin[a:b], size[a:b]), mode="clip")
+                start = ends[a:b] - ends[a]
+                for e, at, context, x in ((0, start, before, symbol), (1, start, longer, symbol), (0, start + coder.length[symbol[a:b]], so_far, second)):
+                    some = np.flatnonzero(x[a:b] >= 0)
+                    x = x[a:b][some]
+                    long = coder.length[x]
+                    state = seen_as(SHORT + e, context[a:b][some], long, coder.node.take(_places(coder.first[x], long), mode="clip"))
+                    part[_places(at[some], long)] ^= (state ^ np.uint32(UNSEEN)) << AT[K + e]
+                codes[ends[a] : ends[b]] = part
             token, count = token[rank], count[rank]
 
             def sums(x: np.ndarray) -> np.ndarray:
@@ -760,14 +911,12 @@ def _scored(packs: DataFrame, known) -> DataFrame:
 
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, length, flags, rare = (batch.column(c).slice(r, 1).flatten() for c in ("id", "length", "held_out", "rare"))
+                ids, length, flags = (batch.column(c).slice(r, 1).flatten() for c in ("id", "length", "held_out"))
                 ends = np.concatenate([[0], np.cumsum(length.to_numpy())]).astype(np.int64)
                 whole = pa.decompress(batch.column("text")[r].as_buffer(), int(ends[-1]), "zstd") if ends[-1] else pa.py_buffer(b"")
                 texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), whole)
-                rare = Known(*(rare.field(c).to_numpy(zero_copy_only=False) for c in range(3)), rare.field(3))
-                parts = [coded(data, offsets, rare) for _, _, data, offsets in text_runs(texts, RUN // 4)]
-                *columns, n = (np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True))
-                columns[3] = columns[3] + model.bits(np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(n)]))
+                (*columns, n), codes = coded(*next(text_runs(texts, 1 << 62))[2:], batch.column("rare")[r].as_py())
+                columns[3] = columns[3] + model.bits(codes, np.concatenate([[0], np.cumsum(n)]))
                 yield pa.RecordBatch.from_arrays([ids, flags, *(pa.array(x) for x in columns)], names=["id", "held_out", "n_tokens", "n_known", "base", "bits", "n_bytes"])
 
     return packs.mapInArrow(build, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long")
@@ -810,19 +959,25 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     back = _returned(chunks, coder, blocks).groupBy("chunk").agg(F.collect_list(F.struct("block", "every", "others")).alias("paths"))
     table = written(chunks.join(back, "chunk").select("chunk", "units", "n", "paths"), "paths")
     dropped(chunks)
+    swept(spark)
     mixer = _learned(table, coder, blocks)
     spellings = written(_spellings(table, coder, blocks), "spellings")
     dropped(table)
     dropped(counted)
+    swept(spark)
 
     # The base is over lower-cased words and one end a text; white space units are no words.
-    word = F.translate("unit", _UPPER, _LOWER)
-    is_word, ends = F.col("unit").rlike(r"^[^\x20\x09-\x0D]"), F.col("unit") == ""
-    known = spellings.filter((F.col("n") > 0) & (is_word | ends)).groupBy(word.alias("word")).agg(F.sum("n").alias("c"))
+    token = F.col("unit").rlike(r"^[^\x20\x09-\x0D]") | (F.col("unit") == "")
+    same = Window.partitionBy(F.translate("unit", _UPPER, _LOWER))
     band = F.floor(F.log2(F.col("n") + 1) * 4)
-    prices = spellings.join(known, (word == F.col("word")) & (is_word | ends), "left").select("key", band.alias("band"), F.octet_length("unit").alias("bytes"), (is_word | ends).alias("token"), F.coalesce("c", F.lit(0)).alias("c"))
+    prices = spellings.select(
+        "key", band.alias("band"), F.octet_length("unit").alias("bytes"), token.alias("token"), F.when(token, F.sum("n").over(same)).otherwise(0).alias("c"),
+        (token & (F.col("unit") == F.min("unit").over(same))).alias("first"), "code",
+    )
     prices = written(prices, "prices")
-    totals = known.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
+    dropped(spellings)
+    swept(spark)
+    totals = prices.filter("first and c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total, distinct = totals["n"] or 0, totals["v"]
     bands = prices.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("band")).collect()
     least, room, most = None, FREQUENT, FREQUENT * FREQUENT_BYTES
@@ -832,25 +987,27 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             break
         least = found["band"]
     often = F.lit(False) if least is None else F.col("band") >= least
-    priced = spellings.select("key", band.alias("band"), "code")
-    codes = priced.filter(often).select("key", "code").orderBy("key").toArrow().combine_chunks()
-    top = prices.filter(often).select("key", "token", "c").orderBy("key").toArrow()
-    code = codes.column("code").combine_chunks() if codes.num_rows else pa.array([], pa.binary())
+    top = prices.filter(often).select("key", "token", "c", "code").orderBy("key").toArrow().combine_chunks()
+    code = top.column("code").combine_chunks() if top.num_rows else pa.array([], pa.binary())
+    keys = top.column("key").to_numpy()
     found = [seen_states(*counts, coder, k) for counts, k in zip((*short, *across), (*range(SHORT), *[EDGE_STATE] * EDGES), strict=True)]
     shared = spark.sparkContext.broadcast((
-        Known(*(top.column(c).to_numpy() for c in ("key", "token", "c")), code), coder, [f[0] for f in found], flags,
+        Known(*(top.column(c).to_numpy() for c in ("key", "token", "c")), *_raw(code)), coder, [f[0] for f in found], flags,
         (mixer.odds, [f[1] for f in found[SHORT:]], mixer.weights, mixer.fine, rate, refine),
     ))
 
-    packs = written(_packs(rows, shared), "packs")
+    often_keys = spark.sparkContext.broadcast(keys)
+    packs = written(_packs(rows, often_keys), "packs")
+    often_keys.unpersist()
+    swept(spark)
     parts = 1 + packs.count() // PACKS
     # A unit that isn't among the frequent ones comes by a join, once for each pack that has it.
-    lone = packs.select("pack", F.explode("rare").alias("key"))
-    joined = lone.join(prices.filter(~often).select("key", "token", "c"), "key").join(priced.filter(~often).select("key", "code"), "key")
-    rare = joined.repartition(parts, "pack").groupBy("pack").agg(F.collect_list(F.struct("key", "token", "c", "code")).alias("rare"))
+    lone = packs.select("pack", F.posexplode("rare").alias("spot", "key"))
+    joined = lone.join(prices.filter(~often).select("key", "token", "c", "code"), "key")
+    rare = _gathered(joined).repartition(parts, "pack").groupBy("pack").agg(F.collect_list(F.struct("n", "decisions", "units")).alias("rare"))
     whole = packs.drop("rare").repartition(parts, "pack").join(rare, "pack", "left").withColumn("rare", F.coalesce("rare", F.array().cast(rare.schema["rare"].dataType)))
     scored = written(_scored(whole, shared), "scored")
-    for left in (packs, prices, spellings):
+    for left in (packs, prices):
         dropped(left)
     below = float(np.log10(total + 0.1 * (distinct + 1)))
     return scored.select(

@@ -50,3 +50,11 @@ def dropped(df: DataFrame | None) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let the shuffle files go of steps that are written and that nothing refers to any more.
+
+    Spark removes them once the driver has collected its garbage, which may take it half an hour.
+    """
+    spark._jvm.System.gc()
