@@ -1004,10 +1004,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     # A unit that isn't among the frequent ones comes by a join, once for each pack that has it.
     lone = packs.select("pack", F.posexplode("rare").alias("spot", "key"))
     joined = lone.join(prices.filter(~often).select("key", "token", "c", "code"), "key")
-    rare = _gathered(joined).repartition(parts, "pack").groupBy("pack").agg(F.collect_list(F.struct("n", "decisions", "units")).alias("rare"))
+    gathered = written(_gathered(joined), "gathered")
+    dropped(prices)
+    swept(spark)
+    rare = gathered.repartition(parts, "pack").groupBy("pack").agg(F.collect_list(F.struct("n", "decisions", "units")).alias("rare"))
     whole = packs.drop("rare").repartition(parts, "pack").join(rare, "pack", "left").withColumn("rare", F.coalesce("rare", F.array().cast(rare.schema["rare"].dataType)))
     scored = written(_scored(whole, shared), "scored")
-    for left in (packs, prices):
+    for left in (packs, gathered):
         dropped(left)
     below = float(np.log10(total + 0.1 * (distinct + 1)))
     return scored.select(
