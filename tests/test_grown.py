@@ -7,6 +7,7 @@ from compare import same
 from conftest import SF
 
 from tributary.plans import registry
+from tributary.sources import files as S
 
 
 def against_sql(spark, folder, name, **tables):
@@ -48,3 +49,20 @@ def test_units_without_text_or_id(spark, tmp_path):
     long = "z" * 2398
     rows = [("a", 0, ""), ("a", 1, long), ("a", 2, ""), ("a", 3, None), ("a", 5, ""), ("a", 5, long), ("a", None, long), ("a", None, "w" * 4000), ("b", None, ""), ("b", 7, "v")]
     against_sql(spark, tmp_path, "sql_units", documents=documents(*rows))
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    S.register(spark)
+    rows = spark.range(1200).selectExpr("cast(id % 300 as string) as file", "id", "cast(id % 7 as int) as type", "0 as temporal_id", "0 as spatial_id", "cast(repeat('x', cast(id % 200 as int)) as binary) as payload", "id as temporal_unit")
+    for name, source in (("annexb_units", S.AnnexB), ("low_overhead_units", S.LowOverhead)):
+        path = f"{tmp_path}/{name}"
+        rows.coalesce(1).sortWithinPartitions("file", "id").write.format(name).mode("append").save(path)
+        (tmp_path / name / "1-faulty").with_suffix(source.suffix).write_bytes(b"\xff\xff")
+        found = spark.read.format(name).load(path)
+        assert found.rdd.getNumPartitions() <= 8
+        assert sorted((r.type, r.size) for r in found.filter("error is null").collect()) == sorted((i % 7, i % 200) for i in range(1200)) and found.filter("error is not null").count() == 1
+        parts = [S.Part(f"{k}", 0, size, (0, 0), None) for k, size in enumerate([1 << 28, 5, 1 << 19, 1 << 18, 1 << 19, 0, 1 << 27])]
+        assert [[p.path for p in b.parts] for b in S.bundled(parts, S.PART)] == [["0"], ["1", "2", "3", "4", "5"], ["6"]]
+    with monkeypatch.context() as m:
+        m.setattr(S, "_Source", None)  # the driver opens none of them
+        assert len(S._Reader(S.AnnexB, None, {"path": f"{tmp_path}/annexb_units"}).partitions()) <= 8

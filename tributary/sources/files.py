@@ -3,6 +3,7 @@
 A file is read by places: only headers are read on the way, and payloads where they are asked for. A large
 file is cut into parts at records, found by walking over the headers, so that no file has to fit
 into one task or one cell; of many files the parts are found by a job of their own, :func:`split_index`.
+Small files are bundled: a task reads many of them, and the driver doesn't open them.
 Filters on the numbers of a record are pushed into the reader, which leaves out whole parts and reads
 no payload of what it skips; columns that the schema given to ``spark.read`` leaves out aren't read.
 
@@ -17,10 +18,11 @@ moves those of the committed attempts into place, and an abort takes the folder
 from __future__ import annotations
 
 import hashlib
+import itertools
 import operator
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,6 +37,8 @@ from tributary.sources.containers import leb128
 
 #: Bytes of a part of a file, of a written file, read ahead at once, and of a batch.
 PART, FILE, AHEAD, BATCH = 128 << 20, 64 << 20, 1 << 16, 8 << 20
+#: What opening a file counts for in bytes, the least size of a bundle of files, and how many bundles there are, about, until they have the size of a part.
+OPENING, BUNDLE, BUNDLES = 1 << 12, 1 << 20, 200
 
 
 def opened(path: str) -> tuple[files.FileSystem, str]:
@@ -60,6 +64,8 @@ class _Source:
 
     def number(self, at: int, end: int) -> tuple[int, int]:
         """(value, next place) of a variable-length integer before ``end``."""
+        if at < end and (first := self.take(at, 1, "size")[0]) < 128:
+            return first, at + 1
         value, size = leb128(self.take(at, min(8, end - at), "size"), 0)
         return value, at + size
 
@@ -127,6 +133,8 @@ def _unit(src: _Source, at: int, end: int) -> tuple[dict, int, int]:
 
 
 def _coded(n: int) -> bytes:
+    if n < 128:
+        return bytes((n,))
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -242,8 +250,31 @@ class Part(D.InputPartition):
     following: int | None
 
 
-def parts_of(format_: type, path: str, split: int) -> Iterator[Part]:
-    """The parts of a file; a fault ends the walk, and the last part runs into it again."""
+@dataclass
+class Bundle(D.InputPartition):
+    """Parts that one task reads, one behind the other."""
+
+    parts: list[Part]
+
+
+def bundled(parts: list[Part], split: int) -> list[Bundle]:
+    """Parts in bundles of neighbours; none of several parts is larger than ``split``."""
+    sizes = [p.stop - p.start + OPENING for p in parts]
+    limit, out, held = min(split, max(BUNDLE, sum(sizes) // BUNDLES)), [], 0
+    for part, size in zip(parts, sizes, strict=True):
+        if not out or held + size > limit:
+            out.append(Bundle([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += size
+    return out
+
+
+def parts_of(format_: type, path: str, split: int, size: int | None = None) -> Iterator[Part]:
+    """The parts of a file; a fault ends the walk, and the last part runs into it again. A file whose ``size`` is known to be small isn't opened."""
+    if size is not None and size <= split:
+        yield Part(path, 0, size, (0, 0), None)
+        return
     system, inner = opened(path)
     src = _Source(system, inner)
     start, state = 0, (0, 0)
@@ -259,16 +290,20 @@ def parts_of(format_: type, path: str, split: int) -> Iterator[Part]:
     src.close()
 
 
-def listed(path: str, suffix: str) -> list[str]:
-    """The files at or under a path, without those whose name begins with a dot or an underscore."""
+def sized(path: str, suffix: str) -> list[tuple[str, int]]:
+    """The files at or under a path and their sizes, without those whose name begins with a dot or an underscore."""
     system, inner = opened(path)
     info = system.get_file_info(inner)
     if info.type == files.FileType.File:
-        return [path]
+        return [(path, info.size)]
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    found = [f.path for f in system.get_file_info(files.FileSelector(inner, recursive=True)) if f.type == files.FileType.File]
-    below = [f for f in found if not any(x[:1] in "._" for x in f[len(inner.rstrip("/")) + 1 :].split("/"))]
-    return sorted(prefix + f for f in below if f.endswith(suffix))
+    found = [f for f in system.get_file_info(files.FileSelector(inner, recursive=True)) if f.type == files.FileType.File and f.path.endswith(suffix)]
+    return sorted((prefix + f.path, f.size) for f in found if not any(x[:1] in "._" for x in f.path[len(inner.rstrip("/")) + 1 :].split("/")))
+
+
+def listed(path: str, suffix: str) -> list[str]:
+    """The files of :func:`sized`."""
+    return [f for f, _ in sized(path, suffix)]
 
 
 _TESTS = {D.EqualTo: operator.eq, D.GreaterThan: operator.gt, D.GreaterThanOrEqual: operator.ge, D.LessThan: operator.lt, D.LessThanOrEqual: operator.le, D.In: lambda a, b: a in b}
@@ -289,9 +324,18 @@ class _Reader(D.DataSourceReader):
             else:
                 yield f
 
-    def _passes(self, fields: dict) -> bool:
-        tests = {c.__name__: t for c, t in _TESTS.items()}
-        return all(fields.get(n) is not None and (k == "IsNotNull" or tests[k](fields[n], v)) for n, k, v in self.tests)
+    def _passing(self) -> Callable[[dict], bool]:
+        """Whether a record passes, by its fields."""
+        kinds = {c.__name__: t for c, t in _TESTS.items()} | {"IsNotNull": lambda a, b: True}
+        tests = [(n, kinds[k], v) for n, k, v in self.tests]
+
+        def passes(fields: dict) -> bool:
+            for name, test, value in tests:
+                if (x := fields.get(name)) is None or not test(x, value):
+                    return False
+            return True
+
+        return passes
 
     def _may_hold(self, part: Part) -> bool:
         """Whether a part can hold records that pass, by the numbers of its first record and of the one behind it."""
@@ -307,17 +351,17 @@ class _Reader(D.DataSourceReader):
                     return False
         return True
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Bundle]:
         split = int(self.options.get("split", PART))
         if "index" in self.options:
             system, inner = opened(self.options["index"])
             rows = pyarrow.parquet.read_table(inner, filesystem=system).to_pylist()
             found = [Part(r["path"], r["start"], r["stop"], (r["idx"], r["unit"]), r["following"]) for r in rows]
         else:
-            found = [p for f in listed(self.options["path"], self.options.get("suffix", self.format.suffix)) for p in parts_of(self.format, f, split)]
-        return [p for p in found if self._may_hold(p)]
+            found = [p for f, size in sized(self.options["path"], self.options.get("suffix", self.format.suffix)) for p in parts_of(self.format, f, split, size)]
+        return bundled([p for p in found if self._may_hold(p)], split)
 
-    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Bundle | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no parts
             return
         arrow = to_arrow_schema(self.schema)
@@ -334,26 +378,28 @@ class _Reader(D.DataSourceReader):
             for n, c in columns.items():
                 c.append(row.get(n))
 
-        system, inner = opened(partition.path)
-        src = _Source(system, inner)
-        try:
-            for r in self.format.walk(src, partition.start, partition.state, partition.stop):
-                row = r.fields | {"path": partition.path, "size": r.size}
-                if not self._passes(row):
-                    continue
-                if "payload" in columns:
-                    row["payload"] = src.take(r.place, r.size, "payload")
-                    held += r.size
-                add(row)
-                held += 64
-                if held > BATCH:
-                    yield batch()
-                    held = 0
-        except (ValueError, IndexError, struct.error) as e:
-            if not self.tests:  # a fault has no numbers, so no test on them holds
-                add({"path": partition.path, "error": str(e) or type(e).__name__})
-        finally:
-            src.close()
+        passes = self._passing()
+        for part in partition.parts:
+            system, inner = opened(part.path)
+            src = _Source(system, inner)
+            try:
+                for r in self.format.walk(src, part.start, part.state, part.stop):
+                    if not passes(r.fields):
+                        continue
+                    row = r.fields | {"path": part.path, "size": r.size}
+                    if "payload" in columns:
+                        row["payload"] = src.take(r.place, r.size, "payload")
+                        held += r.size
+                    add(row)
+                    held += 64
+                    if held > BATCH:
+                        yield batch()
+                        held = 0
+            except (ValueError, IndexError, struct.error) as e:
+                if not self.tests:  # a fault has no numbers, so no test on them holds
+                    add({"path": part.path, "error": str(e) or type(e).__name__})
+            finally:
+                src.close()
         if arrow.names and columns[arrow.names[0]]:
             yield batch()
 
@@ -427,8 +473,8 @@ class _Writer(D.DataSourceArrowWriter):
             file = f"{name}-{self.run}-{task.partitionId():05d}-{len(done):05d}{self.format.suffix}"
             with system.open_output_stream(f"{inner}/{file}") as out:
                 out.write(self.format.head(self.options, count))
-                for b in body:
-                    out.write(b)
+                for k in range(0, len(body), 256):
+                    out.write(b"".join(body[k : k + 256]))
             done.append((f"{inner}/{file}", file))
 
         for name, rows in _by_name(iterator):
@@ -466,17 +512,19 @@ class _Writer(D.DataSourceArrowWriter):
 
 def _by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[dict]]]:
     """Runs of rows of one ``file`` (without that column, all rows); names are taken safe for a path."""
-    rows = (r for b in batches for part in range(0, len(b), 256) for r in b.slice(part, 256).to_pylist())
-    pending: list[dict] = [r for r in [next(rows, None)] if r is not None]
 
-    def run(name: str | None) -> Iterator[dict]:
-        while pending and pending[0].get("file") == name:
-            yield pending.pop()
-            pending.extend(r for r in [next(rows, None)] if r is not None)
+    def cells(c: pa.Array) -> list:
+        return c.to_numpy().tolist() if pa.types.is_integer(c.type) and not c.null_count else c.to_pylist()
+
+    def rows() -> Iterator[dict]:
+        for b in batches:
+            names = b.schema.names
+            for k in range(0, len(b), 256):
+                for values in zip(*map(cells, b.slice(k, 256).columns), strict=True):
+                    yield dict(zip(names, values, strict=True))
 
-    while pending:
-        name = pending[0].get("file")
-        yield "".join(c if c.isalnum() or c in "-." else "_" for c in name or "part"), run(name)
+    for name, run in itertools.groupby(rows(), key=lambda r: r.get("file")):
+        yield "".join(c if c.isalnum() or c in "-." else "_" for c in name or "part"), run
 
 
 # --- the sources -----------------------------------------------------------------------------------
