@@ -66,3 +66,12 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(S, "_Source", None)  # the driver opens none of them
         assert len(S._Reader(S.AnnexB, None, {"path": f"{tmp_path}/annexb_units"}).partitions()) <= 8
+
+
+def test_nearest_of_many_different_values_takes_steps_in_proportion(spark, tmp_path):
+    n = 60_000
+    customers = pa.table({"c_custkey": pa.array(range(n), pa.int64()), "c_nationkey": pa.array([int(k % 50 == 0) for k in range(n)], pa.int32()), "c_acctbal": pa.array([(k * 7919 % n) / 100 for k in range(n)])})
+    suppliers = pa.table({"s_nationkey": pa.array([0, 0, 1, 2], pa.int32()), "s_acctbal": [300.0, 300.25, -5.0, 1.0]})
+    against_sql(spark, tmp_path, "sweep_nearest", customer=customers, supplier=suppliers)
+    plan = registry.QUERIES["sweep_nearest"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan

@@ -126,15 +126,17 @@ def order_statistics(runs: DataFrame, keys: list[str], value: str, buckets: int
 def nearest(jobs: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """For each job the candidate nearest to its target, ties to values below it and then to the smaller level.
 
-    Jobs and candidates are put in one order of values, and each job looks at the last candidate before it and the first one behind: no pairs are made.
+    Jobs and candidates are put in order of values, upwards and downwards, and each job looks at the last candidate before it: no pairs are made,
+    and no frame ends behind its row (Spark works such a frame out again for each row). A candidate without a value is none.
     """
-    levels = candidates.groupBy(*keys, F.round(F.col("value").cast("double"), 9).alias("at")).agg(F.min("level").alias("level"))
+    levels = candidates.filter(F.col("value").isNotNull()).groupBy(*keys, F.round(F.col("value").cast("double"), 9).alias("at")).agg(F.min("level").alias("level"))
     both = levels.select(*keys, "at", F.struct("at", "level").alias("here"), F.lit(None).cast(jobs.schema["goal"].dataType).alias("goal")).unionByName(
         jobs.select(*keys, F.round(F.col("goal").cast("double"), 9).alias("at"), F.lit(None).cast(levels.select(F.struct("at", "level").alias("x")).schema["x"].dataType).alias("here"), "goal"))
-    order = Window.partitionBy(*keys).orderBy("at", F.col("here").isNull())
-    below = F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("here", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("below", below).withColumn("above", above).filter("goal is not null")
+
+    def before(order: Column) -> Column:
+        return F.last("here", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, F.col("here").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+
+    found = both.withColumn("below", before(F.col("at").asc())).withColumn("above", before(F.col("at").desc())).filter("goal is not null")
     options = F.filter(F.array("below", "above"), lambda c: c.isNotNull())
     best = F.array_min(F.transform(options, lambda c, i: F.struct(F.round(F.abs(c["at"] - F.col("goal")), 9).alias("gap"), (c["at"] > F.col("goal")).alias("over"), c["level"].alias("level"))))
     return found.withColumn("b", best).filter("b is not null").select(*keys, "goal", "b.level", F.col("b.gap").alias("gap"))
