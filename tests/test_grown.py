@@ -75,3 +75,12 @@ def test_nearest_of_many_different_values_takes_steps_in_proportion(spark, tmp_p
     against_sql(spark, tmp_path, "sweep_nearest", customer=customers, supplier=suppliers)
     plan = registry.QUERIES["sweep_nearest"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
+
+
+def test_frames_of_any_size_and_rows_without_one(spark, tmp_path, monkeypatch):
+    rows = [("a/b", 3, "x" * 3000), ("a_b", 3, "y"), ("a/b", 1, ""), ("a/b", 2, None), ("a/b", None, "z"), (None, 0, "w"), ("none", 5, "v"), ("a/b", -4, "u"), ("é" * 200, 1, "t"), ("b", 1, None)]
+    rows += [("big", k, f"{k} " * (k * 37 % 900)) for k in range(400)]
+    monkeypatch.setattr(registry, "FILE", 10_000)
+    against_sql(spark, tmp_path, "ivf_roundtrip", documents=documents(*rows))
+    plan = registry.QUERIES["ivf_roundtrip"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

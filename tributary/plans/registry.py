@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tributary import session
 from tributary.functions import columns as C
 from tributary.functions import text as T
 from tributary.operators import blocks as B
@@ -12,6 +14,7 @@ from tributary.operators import quality as Q
 from tributary.operators import relational as RL
 from tributary.operators import transport as R
 from tributary.sources import containers as K
+from tributary.sources import files as FS
 from tributary.sources import rtcp as RC
 from tributary.sources import tables as S
 from tributary.streaming import state as ST
@@ -377,11 +380,24 @@ FILE = 64 << 20
 
 @query("""select source, cast(row_number() over (partition by source order by doc_id) - 1 as int) as idx, doc_id * 3000 as pts, octet_length(encode(text)) as size, md5(text) as digest from documents""")
 def ivf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as the frames of a file per source, and read back."""
-    docs = S.table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").alias("idx"), (F.col("doc_id") * 3000).alias("pts"), F.encode("text", "utf-8").alias("payload"))
-    parts = K.segmented(docs, ["source"], "doc_id", F.octet_length("payload").cast("long") + 12, FILE)
-    frames = K.ivf_frames(K.ivf_file(parts, ["source", "segment", "first"], 64, 64, 90000, 1))
-    return frames.select("source", (F.col("first") + F.col("idx")).alias("idx"), "pts", F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("digest"))
+    """Texts written as the frames of a file per source, and read back.
+
+    Files go through the data source, cut at 64 MB, so that none has to fit into a cell. Rows that no frame can carry, those
+    without a text or without a time of zero or more, take their places in the order beside the frames.
+    """
+    path = session.shared_folder(FS.register(spark), "ivf_roundtrip")
+    name, later = F.coalesce(F.md5("source"), F.lit("none")), F.col("pts").asc_nulls_last()
+    docs = S.table(spark, sf_dir, "documents").select("source", (F.col("doc_id") * 3000).alias("pts"), F.encode("text", "utf-8").alias("payload"))
+    framed = F.col("payload").isNotNull() & F.coalesce(F.col("pts") >= 0, F.lit(False))
+    rows = docs.filter(framed).select(name.alias("file"), "pts", "payload").repartition("file").sortWithinPartitions("file", "pts")
+    rows.write.format("ivf").option("width", 64).option("height", 64).option("den", 90000).option("num", 1).option("file_bytes", FILE).mode("append").save(path)
+    part = lambda k: F.regexp_extract("path", r"([^/-]*)-[0-9a-f]{8}-\d+-(\d+)\.ivf$", k)
+    found = spark.read.format("ivf").load(path).select(part(1).alias("file"), "pts", part(2).cast("int").alias("number"), "idx", F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("digest"))
+    frames = found.join(docs.select("source", name.alias("file")).distinct(), "file").drop("file")
+    none = F.lit(None).cast("int")
+    bare = docs.filter(~framed).select("source", "pts", none.alias("number"), none.alias("idx"), F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("digest"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(later, "number", "idx")) - 1
+    return frames.unionByName(bare).select("source", place.cast("int").alias("idx"), "pts", "size", "digest")
 
 
 UNIT_ROWS = f"""with {S.UNITS}, k as (select user_id, event_id, case when type = 2 then 3 else type end as type, t, s, event_type from ob)
