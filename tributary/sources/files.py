@@ -469,24 +469,23 @@ class _Writer(D.DataSourceArrowWriter):
         system.create_dir(inner, recursive=False)
         limit, done = int(self.options.get("file_bytes", FILE)), []
 
-        def save(name: str, count: int, body: list[bytes]) -> None:
+        def save(name: str, count: int, body: bytearray) -> None:
             file = f"{name}-{self.run}-{task.partitionId():05d}-{len(done):05d}{self.format.suffix}"
             with system.open_output_stream(f"{inner}/{file}") as out:
                 out.write(self.format.head(self.options, count))
-                for k in range(0, len(body), 256):
-                    out.write(b"".join(body[k : k + 256]))
+                out.write(body)
             done.append((f"{inner}/{file}", file))
 
         for name, rows in _by_name(iterator):
-            body, held = [], 0
+            body, count = bytearray(), 0  # one block, which goes back to the system when it is dropped
             for record in self.format.encoded(rows):
-                if body and held + len(record) > limit:
-                    save(name, len(body), body)
-                    body, held = [], 0
-                body.append(record)
-                held += len(record)
-            if body:
-                save(name, len(body), body)
+                if count and len(body) + len(record) > limit:
+                    save(name, count, body)
+                    body, count = bytearray(), 0
+                body += record
+                count += 1
+            if count:
+                save(name, count, body)
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
